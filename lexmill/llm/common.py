@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.shipping import ship
+
 #: A word: a run of characters other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -17,7 +19,7 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words(text: str | None) -> list[str]:

@@ -5,21 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import orc_tokens, packing
-from lexmill.llm.common import table
+from lexmill.llm import fm_quality, html_diff, langid, orc_tokens, packing
+from lexmill.llm.common import crc_mod, table
+
+
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    return fm_quality.score(docs, fm_quality.fit(docs, labels), held_out)
+
+
+def op5_hashed_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
+    return langid.predict(docs, langid.fit(docs.filter(~held_out)), held_out)
 
 
 def op8_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_diff.main_text(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = orc_tokens.token_files(table(spark, sf_dir, "documents"))
     return back.select("doc_id", "start", "n_tokens", orc_tokens.ids_crc32("ids").alias("ids_crc32"))
 
 
 QUERIES = {
+    "op2_factorisation_machine": op2_factorisation_machine,
+    "op5_hashed_subwords": op5_hashed_subwords,
     "op8_min_bin_slack": op8_min_bin_slack,
+    "op9_nearest_url": op9_nearest_url,
     "op10_orc_token_ids": op10_orc_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
