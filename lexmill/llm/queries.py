@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fm_quality, html_diff, langid, orc_tokens, packing
+from lexmill.llm import fm_quality, html_diff, langid, mcd_rules, orc_tokens, packing
 from lexmill.llm.common import crc_mod, table
 
 
@@ -15,6 +15,10 @@ def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.score(docs, fm_quality.fit(docs, labels), held_out)
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_hashed_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
     return langid.predict(docs, langid.fit(docs.filter(~held_out)), held_out)
@@ -36,6 +40,7 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_factorisation_machine": op2_factorisation_machine,
+    "op3_robust_outliers": op3_robust_outliers,
     "op5_hashed_subwords": op5_hashed_subwords,
     "op8_min_bin_slack": op8_min_bin_slack,
     "op9_nearest_url": op9_nearest_url,
