@@ -68,13 +68,13 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
 def banded(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int]:
     """Least errors of aligning the whole of ``item`` to some stretch of ``text`` on the diagonals that
     ``text`` leaves, and where the stretch ends; errors above the budget mean none."""
-    width = len(text) - len(item) + 1 + budget
+    width = len(text) - len(item) + 1 + 2 * budget
     if width < 1:
         return budget + 1, 0
     lanes = np.arange(width, dtype=np.int32)
     big = np.int32(1 << 20)
     row = np.zeros(width, np.int32)  # row[d]: item[:i] aligned to a stretch that ends at text[i + d - budget]
-    padded = np.concatenate([np.full(budget, 0xFFFFFFFF, np.uint32), text, np.full(budget + 1, 0xFFFFFFFF, np.uint32)])
+    padded = np.concatenate([np.full(budget, 0xFFFFFFFF, np.uint32), text, np.full(2 * budget + 1, 0xFFFFFFFF, np.uint32)])
     for i in range(len(item)):
         step = row + (padded[i : i + width] != item[i])
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
