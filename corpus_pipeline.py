@@ -1,25 +1,66 @@
-"""The corpus pipeline: quality classifier, near-duplicates, repeated passages, decontamination, packing."""
+"""The corpus pipeline: quality classifier, near-duplicates, repeated passages, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return
+the columns of documents; where a stage changes a text, ``n_chars`` follows it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import chosen_path, fm_quality, packing, qgram_decontam, substring_dedup
+from lexmill.llm.common import crc_mod, shared_path, table
+from lexmill.shipping import ship
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good; it learns from two thirds of the labels."""
+    ship(spark)
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    machine = fm_quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return fm_quality.keep_good(docs, fm_quality.score(docs, machine, held_out))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    ship(spark)
+    return chosen_path.first_of_each(docs, chosen_path.near_duplicates(docs))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that an earlier document or place has; documents of which
+    nothing is left go."""
+    ship(spark)
+    return substring_dedup.with_kept_text(docs)
+
 
-from lexmill.llm import packing
-from lexmill.llm.common import shared_path
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    return qgram_decontam.without_leaks(docs, qgram_decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' tokens and their places in sequences."""
+    ship(spark)
     return packing.packed_digests(docs)
 
 
 STAGES = [
-    ("best_fit_packing", pack_documents),
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
+#: No stage but the last could be written in SQL: a trained model, a similarity join, an index and alignments.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import fm_quality, html_diff, langid, mcd_rules, orc_tokens, packing
+from lexmill.llm import chosen_path, fm_quality, html_diff, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
 from lexmill.llm.common import crc_mod, table
 
 
@@ -19,11 +19,24 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_hashed_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
     return langid.predict(docs, langid.fit(docs.filter(~held_out)), held_out)
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op8_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +54,10 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_factorisation_machine": op2_factorisation_machine,
     "op3_robust_outliers": op3_robust_outliers,
+    "op4_qgram_lemma": op4_qgram_lemma,
     "op5_hashed_subwords": op5_hashed_subwords,
+    "op6_fm_index": op6_fm_index,
+    "op7_chosen_path": op7_chosen_path,
     "op8_min_bin_slack": op8_min_bin_slack,
     "op9_nearest_url": op9_nearest_url,
     "op10_orc_token_ids": op10_orc_token_ids,
