@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chosen_path, fm_quality, html_diff, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
+from lexmill.llm import chosen_path, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
 from lexmill.llm.common import crc_mod, table
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 1
     labels = table(spark, sf_dir, "labels").filter(~held_out)
@@ -52,6 +56,7 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz_backoff": op1_katz_backoff,
     "op2_factorisation_machine": op2_factorisation_machine,
     "op3_robust_outliers": op3_robust_outliers,
     "op4_qgram_lemma": op4_qgram_lemma,

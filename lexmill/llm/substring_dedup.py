@@ -18,12 +18,10 @@ document would be; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +29,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import SPACE_RUN, cut
 from lexmill.llm.fm_index import FMIndex
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
+from lexmill.llm.packed import pack, unpack
 
 GRAM = 8
 CHUNK_DOCS, CHUNK_BYTES = 1000, 4 << 20
@@ -38,14 +37,6 @@ NULL_ID = -(1 << 63)
 _CHUNKS = "chunk bigint, ids array<bigint>, n_words array<int>, sig1 array<bigint>, sig2 array<bigint>, payload binary, minimizers array<binary>"
 
 
-def _pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
-
-
-def _unpack(raw: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
-
-
 def stretches(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer hash, first window and last window of each run of windows with one minimizer."""
     if len(h) < width:
@@ -89,7 +80,7 @@ def _chunk(width: int, n_buckets: int):
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = order[a:b]
                 blobs.append(np.concatenate([key[own][count[own] > 1], [np.uint64(0)], key[own][count[own] == 1]]).tobytes() if b > a else b"")
-            payload = _pack(texts)
+            payload = pack(texts)
             row = [[(part << 32) | seq], [ids], [n], [s1], [s2], [payload], [blobs]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
             out = pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds)], names=["chunk", "ids", "n_words", "sig1", "sig2", "payload", "minimizers"])
@@ -137,7 +128,7 @@ def _cut_stretches(width: int, n_buckets: int):
                 shared = np.sort(np.frombuffer(b"".join(keys or []), np.uint64))
                 skip = set(skip or [])
                 doc_of, first, last, names, bucket, content = [], [], [], [], [], []
-                for d, text in enumerate(_unpack(payload) if len(shared) else []):
+                for d, text in enumerate(unpack(payload) if len(shared) else []):
                     if d in skip:
                         continue
                     h = word_hashes(split_words(text, lower=False))
@@ -163,13 +154,13 @@ def _cut_stretches(width: int, n_buckets: int):
                 which = np.empty(len(order), np.int64)
                 which[order] = np.cumsum(new) - 1
                 lead = order[new]
-                rows = [(-1, _pack((doc_of.astype(np.int32), first.astype(np.int32), which.astype(np.int32), bucket[lead].astype(np.int32))))]
+                rows = [(-1, pack((doc_of.astype(np.int32), first.astype(np.int32), which.astype(np.int32), bucket[lead].astype(np.int32))))]
                 bounds = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1], [True]]))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = lead[a:b]
                     vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]), return_inverse=True)
                     small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
-                    rows.append((int(bucket[own[0]]), _pack((vocabulary, codes.astype(small), (last[own] - first[own] + width).astype(np.uint16 if width < 1 << 14 else np.uint32), id_of[own], first[own].astype(np.int32)))))
+                    rows.append((int(bucket[own[0]]), pack((vocabulary, codes.astype(small), (last[own] - first[own] + width).astype(np.uint16 if width < 1 << 14 else np.uint32), id_of[own], first[own].astype(np.int32)))))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "blob"])
 
     return run
@@ -188,7 +179,7 @@ def _search_shard(width: int):
     window of its stretches."""
 
     def shard(table: pa.Table) -> pa.RecordBatch:
-        parts = [_unpack(b) for b in table.column("blob").to_pylist()]
+        parts = [unpack(b) for b in table.column("blob").to_pylist()]
         vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
         words = np.concatenate([np.searchsorted(vocabulary, p[0])[p[1]] for p in parts]).astype(np.int64) + 1
         lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -224,7 +215,7 @@ def _search_shard(width: int):
             k += len(p[2])
             w = windows[own]
             values = found[np.repeat(begin[own] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))]
-            out.append(_pack((docs[values >> 32], (values & 0xFFFFFFFF).astype(np.int32), w.astype(np.int32))))
+            out.append(pack((docs[values >> 32], (values & 0xFFFFFFFF).astype(np.int32), w.astype(np.int32))))
         return pa.RecordBatch.from_arrays([table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(out, pa.binary())], names=["of_chunk", "bucket", "answer"])
 
     return lambda batches: by_run(batches, "bucket", shard)
@@ -236,8 +227,8 @@ def _finish(width: int):
             for ids, n_words, payload, skip, places, answers in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_words", "payload", "skip", "places", "answers"))):
                 skip, spans = set(skip or []), {}
                 if places is not None:
-                    doc_of, first, which, buckets = _unpack(places)
-                    got = {a["bucket"]: _unpack(a["answer"]) for a in answers}
+                    doc_of, first, which, buckets = unpack(places)
+                    got = {a["bucket"]: unpack(a["answer"]) for a in answers}
                     used = np.unique(buckets)  # the distinct stretches stand in the order of their buckets
                     docs, starts, windows = (np.concatenate([got[int(b)][k] for b in used]) for k in range(3))
                     begin = np.cumsum(windows.astype(np.int64)) - windows
@@ -253,7 +244,7 @@ def _finish(width: int):
                     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, int)
                     spans = {int(doc[a]): at[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
                 texts, removed = [], []
-                for d, (text, n) in enumerate(zip(_unpack(payload), n_words)):
+                for d, (text, n) in enumerate(zip(unpack(payload), n_words)):
                     if d in skip and n >= width:
                         texts.append("")
                         removed.append(n)
