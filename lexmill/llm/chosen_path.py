@@ -81,18 +81,20 @@ def _signatures(width: int):
 
 def _leaves(classes: DataFrame) -> DataFrame:
     """(leaf, doc_id, block, blocks): members of every node that is small enough, or of the last depth."""
-    rows = classes.select("doc_id", "n_shingles", "minwise", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.lit(0).cast("bigint").alias("node"))
+    first = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get(F.col("minwise"), t * DEPTH)).alias("node")))
+    rows = classes.select("doc_id", "n_shingles", F.inline(first))
     leaves = []
     for depth in range(DEPTH):
-        rows = rows.withColumn("node", F.xxhash64("node", "tree", F.get(F.col("minwise"), F.col("tree") * DEPTH + depth)))
+        if depth:  # only members of large nodes come here; the tokens are fetched for them alone
+            token = F.get(F.col("minwise"), F.col("tree") * DEPTH + depth)
+            rows = rows.join(classes.select("doc_id", "minwise"), "doc_id").select("doc_id", "n_shingles", "tree", F.xxhash64("node", "tree", token).alias("node"))
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
-        rows = rows.join(sizes, "node")
         large = (F.col("members") > NODE_MEMBERS) | (F.col("shingles") > NODE_SHINGLES)
-        rows = cut(rows.withColumn("large", large).select("node", "doc_id", "members", "shingles", "large", "tree", "n_shingles", F.when(large, F.col("minwise")).alias("minwise")))
+        rows = cut(rows.join(sizes, "node").select("doc_id", "n_shingles", "tree", "node", "members", "shingles", large.alias("large")))
         blocks = F.lit(1) if depth < DEPTH - 1 else F.ceil(F.greatest(2 * F.col("members") / NODE_MEMBERS, 2 * F.col("shingles") / NODE_SHINGLES)).cast("int")
         leaf = rows if depth == DEPTH - 1 else rows.filter(~F.col("large"))
         leaves.append(leaf.select(F.col("node").alias("leaf"), "doc_id", F.when(F.col("large"), blocks).otherwise(1).alias("blocks")))
-        rows = rows.filter("large").drop("members", "shingles", "large")
+        rows = rows.filter("large").select("doc_id", "n_shingles", "tree", "node")
         if rows.isEmpty():
             break
     out = leaves[0]
