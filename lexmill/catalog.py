@@ -1,4 +1,6 @@
 """Every query of the library by name, with its DuckDB oracle where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lexmill.plans import language
+from lexmill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "language"]
