@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 #: Hashes kept per worker; beyond it words are hashed anew each time.
-CACHE_WORDS = 500_000
-_CACHE: dict[bytes, int] = {}
+CACHE_WORDS = 400_000
+_CACHE: dict[bytes, bytes] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -21,8 +21,8 @@ def split_words(text: str | None, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
+def _hash(word: bytes) -> bytes:
+    h = xxhash.xxh64_digest(word)
     if len(_CACHE) < CACHE_WORDS and len(word) <= 48:
         _CACHE[word] = h
     return h
@@ -35,7 +35,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     for _ in range(out.count(None)):
         at = out.index(None, at + 1)
         out[at] = _CACHE.get(words[at]) or _hash(words[at])
-    return np.array(out, dtype=np.uint64)
+    return np.frombuffer(b"".join(out), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,13 +45,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every run of ``k`` hashes."""
+    """64-bit hash of every run of ``k`` hashes, put together from runs of powers of two."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
     n = len(h) - k + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out ^ h[i : i + n])
+    out, have, power, width = np.zeros(n, np.uint64), 0, h, 1
+    while width <= k:
+        if k & width:
+            out = mix(out * _M2 + power[have : have + n])
+            have += width
+        if 2 * width <= k:
+            power = mix(power[:-width] * _M1 + power[width:])
+        width *= 2
     return out
 
 

@@ -7,8 +7,8 @@ import pickle
 import zstandard
 
 
-def pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+def pack(value, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
 
 
 def unpack(raw: bytes):

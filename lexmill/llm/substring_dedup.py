@@ -32,7 +32,7 @@ from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_ha
 from lexmill.llm.packed import pack, unpack
 
 GRAM = 8
-CHUNK_DOCS, CHUNK_BYTES = 1000, 4 << 20
+CHUNK_DOCS, CHUNK_BYTES = 8000, 16 << 20
 NULL_ID = -(1 << 63)
 _CHUNKS = "chunk bigint, ids array<bigint>, n_words array<int>, sig1 array<bigint>, sig2 array<bigint>, payload binary, minimizers array<binary>"
 
@@ -42,11 +42,13 @@ def stretches(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(h) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = min(GRAM, width)
-    g = window_hashes(h, gram)
-    span = width - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1)
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return g[at[new]], new, np.concatenate([new[1:], [len(at)]]) - 1
+    least, span, size = window_hashes(h, gram), width - gram + 1, 1
+    while size < span:  # minimum over ``span`` grams by doubling
+        step = min(size, span - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return least[new], new, np.concatenate([new[1:], [len(least)]]) - 1
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
@@ -71,16 +73,20 @@ def _chunk(width: int, n_buckets: int):
                 sig = np.array([mix(h * order).sum(dtype=np.uint64), mix((h ^ np.uint64(0x9E3779B97F4A7C15)) * order).sum(dtype=np.uint64)]).view(np.int64)
                 s1.append(int(sig[0]))
                 s2.append(int(sig[1]))
-                keys.append(stretches(h, width)[0])
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
+                key = stretches(h, width)[0]
+                if len(key):
+                    gram, times = np.unique(window_hashes(h, min(GRAM, width)), return_counts=True)
+                    again = gram[times > 1]  # such a minimizer may repeat within one stretch
+                    keys += [key, key[np.isin(key, again)]] if len(again) else [key]
+            key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
             bucket = _buckets(key, n_buckets)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             blobs = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = order[a:b]
-                blobs.append(np.concatenate([key[own][count[own] > 1], [np.uint64(0)], key[own][count[own] == 1]]).tobytes() if b > a else b"")
-            payload = pack(texts)
+                blobs.append(_short(key[own]) + (count[own] > 1).tobytes() if b > a else b"")
+            payload = pack(texts, level=3)
             row = [[(part << 32) | seq], [ids], [n], [s1], [s2], [payload], [blobs]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
             out = pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds)], names=["chunk", "ids", "n_words", "sig1", "sig2", "payload", "minimizers"])
@@ -103,16 +109,31 @@ def _chunk(width: int, n_buckets: int):
     return run
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The upper 40 bits of each key.  Keys that agree in them only bring stretches to a shard in vain."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64)[:, 0]
+
+
 def _shared(table: pa.Table) -> pa.RecordBatch | None:
     """For each chunk those of its minimizers in this bucket that the corpus holds more than once."""
-    parts = [np.frombuffer(b, np.uint64) for b in table.column("blob").to_pylist()]
-    split = [int(np.flatnonzero(p == 0)[0]) for p in parts]
-    twice = [p[:k] for p, k in zip(parts, split)]
-    keys = [np.concatenate([t, p[k + 1 :]]) for t, p, k in zip(twice, parts, split)]
-    every, count = np.unique(np.concatenate(keys), return_counts=True)
-    many = np.union1d(every[count > 1], np.concatenate(twice))
-    own = [k[np.isin(k, many)].tobytes() for k in keys]
-    rows = [(c, o) for c, o in zip(table.column("chunk").to_pylist(), own) if o]
+    blobs = table.column("blob").to_pylist()
+    sizes = [len(b) // 6 for b in blobs]
+    keys = np.concatenate([_long(b[: 5 * n]) for b, n in zip(blobs, sizes)])
+    twice = np.concatenate([np.frombuffer(b[5 * n :], bool) for b, n in zip(blobs, sizes)])
+    _, of = np.unique(keys, return_inverse=True)
+    many = np.bincount(of, weights=1 + twice)[of] > 1
+    rows, at = [], 0
+    for chunk, n in zip(table.column("chunk").to_pylist(), sizes):
+        own = keys[at : at + n][many[at : at + n]]
+        at += n
+        if len(own):
+            rows.append((chunk, _short(own)))
     if not rows:
         return None
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["of_chunk", "keys"])
@@ -125,7 +146,7 @@ def _cut_stretches(width: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, payload, keys, skip in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "payload", "keys", "skip"))):
-                shared = np.sort(np.frombuffer(b"".join(keys or []), np.uint64))
+                shared = np.unique(_long(b"".join(keys or [])))
                 skip = set(skip or [])
                 doc_of, first, last, names, bucket, content = [], [], [], [], [], []
                 for d, text in enumerate(unpack(payload) if len(shared) else []):
@@ -133,7 +154,8 @@ def _cut_stretches(width: int, n_buckets: int):
                         continue
                     h = word_hashes(split_words(text, lower=False))
                     key, a, b = stretches(h, width)
-                    keep = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key)
+                    short = key & np.uint64(0xFFFFFFFFFF000000)
+                    keep = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short)
                     if not len(keep):
                         continue
                     key, a, b = key[keep], a[keep], b[keep]
@@ -158,20 +180,31 @@ def _cut_stretches(width: int, n_buckets: int):
                 bounds = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1], [True]]))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = lead[a:b]
-                    vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]), return_inverse=True)
+                    vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]) >> np.uint64(16), return_inverse=True)
                     small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
-                    rows.append((int(bucket[own[0]]), pack((vocabulary, codes.astype(small), (last[own] - first[own] + width).astype(np.uint16 if width < 1 << 14 else np.uint32), id_of[own], first[own].astype(np.int32)))))
+                    rows.append((int(bucket[own[0]]), pack((np.ascontiguousarray(vocabulary.view(np.uint8).reshape(-1, 8)[:, :6]), codes.astype(small), (last[own] - first[own] + width).astype(np.uint16 if width < 1 << 14 else np.uint32), id_of[own], first[own].astype(np.int32)))))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "blob"])
 
     return run
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = _POWERS[base] = np.cumprod(np.full(max(1 << 16, n), base, np.uint64), dtype=np.uint64)
+    return have[:n]
+
+
 def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    return _power_table(_BASE, n)
 
 
 def _inverse_powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64), dtype=np.uint64)
+    return _power_table(pow(_BASE, -1, 1 << 64), n)
 
 
 def _search_shard(width: int):
@@ -180,8 +213,9 @@ def _search_shard(width: int):
 
     def shard(table: pa.Table) -> pa.RecordBatch:
         parts = [unpack(b) for b in table.column("blob").to_pylist()]
-        vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
-        words = np.concatenate([np.searchsorted(vocabulary, p[0])[p[1]] for p in parts]).astype(np.int64) + 1
+        own_words = [np.ascontiguousarray(np.pad(p[0], ((0, 0), (0, 2)))).view(np.uint64)[:, 0] for p in parts]  # 48 bits of each hash
+        vocabulary = np.unique(np.concatenate(own_words))
+        words = np.concatenate([np.searchsorted(vocabulary, w)[p[1]] for w, p in zip(own_words, parts)]).astype(np.int64) + 1
         lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
         id_of, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
         ends = np.cumsum(lengths)
