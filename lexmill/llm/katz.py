@@ -8,8 +8,8 @@ the Good-Turing ratio; where the counts of counts give no ratio in (0, 1], by ab
 that has only larger counts keeps one pseudo count for its unseen words, so every weight is positive.
 
 Counts live in tables partitioned by a hash.  Documents travel in chunks: a chunk asks each partition about
-its distinct words, then about its distinct pairs, and the answers are joined back to it by the chunk's
-number; scoring is then local and evaluates each token recursively from pair to word.  Pairs are partitioned
+its distinct words, which get numbers, then about its distinct pairs, and the answers are joined back to it by
+the chunk's number; scoring is then local and evaluates each token recursively from pair to word.  Pairs are partitioned
 by their first word, and those of frequent first words also by the second, whose sums are added up by the
 asking chunk; so no word's pairs meet in one task.
 
@@ -33,10 +33,10 @@ from lexmill.llm.hashing import by_run, mix, split_words, word_hashes
 from lexmill.llm.packed import pack, unpack
 
 K = 5
-CHUNK_DOCS, CHUNK_BYTES = 4000, 6 << 20
+CHUNK_DOCS, CHUNK_BYTES = 8000, 16 << 20
 #: First words with more training tokens than this have their pairs dealt out by the second word too.
 HOT_TOKENS, HOT_PARTS = 200_000, 64
-END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567696E)
+END = np.uint64(0x656E64)
 _CHUNKS = "chunk bigint, payload binary, bucket int, ask binary"
 
 
@@ -61,8 +61,18 @@ def _slices(bucket: np.ndarray, n: int):
     return [(b, order[bounds[b] : bounds[b + 1]]) for b in range(n) if bounds[b + 1] > bounds[b]]
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit numbers, byte by byte, which compresses small numbers well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplanes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.T).view("<u4")[:, 0].astype(np.int64)
+
+
 def _ask_words(n_buckets: int, modulus: int):
-    """A chunk's texts, and for each bucket its distinct words with their training counts."""
+    """A chunk's tokens as positions in its words, frequent ones first, and for each bucket the words there
+    with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -73,11 +83,15 @@ def _ask_words(n_buckets: int, modulus: int):
             nonlocal seq, size
             tokens, sizes = _tokens(texts)
             held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus == 0 for i in ids])
-            words, of = np.unique(tokens, return_inverse=True)
-            count = np.bincount(of, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
-            rows = [(None, pack((ids, held, texts)), None)]
-            for b, at in _slices(_bucket_of(words, n_buckets), n_buckets):
-                rows.append((b, None, pack((words[at], count[at].astype(np.int32)))))
+            words, of, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words, of = words[order], place[of]
+            count = np.bincount(of, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int32)
+            bucket = _bucket_of(words, n_buckets)
+            rows = [(None, pack((ids, held, sizes.astype(np.int32), _planes(of), bucket.astype(np.uint32)), level=3), None)]
+            rows += [(b, None, pack((words[at], count[at]))) for b, at in _slices(bucket, n_buckets)]
             chunk = (part << 32) | seq
             seq, size = seq + 1, 0
             ids.clear()
@@ -111,15 +125,24 @@ def _answer(table: pa.Table, out: list[bytes], stats: list[int]) -> pa.RecordBat
 _ANSWERS = "of_chunk bigint, bucket int, answer binary, stats array<bigint>"
 
 
-def _count_words(table: pa.Table) -> pa.RecordBatch:
-    parts = [unpack(b) for b in table.column("ask").to_pylist()]
-    words, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.bincount(of, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
-    out, at = [], 0
-    for p in parts:
-        out.append(pack(total[of[at : at + len(p[0])]]))
-        at += len(p[0])
-    return _answer(table, out, _counts_of_counts(total))
+def _count_words(n_buckets: int):
+    """Training counts and numbers of a bucket's words: frequent words have small numbers, unknown ones 0."""
+
+    def bucket(table: pa.Table) -> pa.RecordBatch:
+        parts = [unpack(b) for b in table.column("ask").to_pylist()]
+        words, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * n_buckets + table.column("bucket")[0].as_py() + 1
+        number[total == 0] = 0
+        out, at = [], 0
+        for p in parts:
+            own = of[at : at + len(p[0])]
+            out.append(pack((total[own], number[own])))
+            at += len(p[0])
+        return _answer(table, out, _counts_of_counts(total))
+
+    return lambda batches: by_run(batches, "bucket", bucket)
 
 
 class Discounts:
@@ -153,62 +176,73 @@ class Words:
         return np.where(count > 0, self.discounts.mass(count) * self.scale, self.unknown)
 
 
-def _join_answers(answers: list, key: str = "bucket") -> dict[int, object]:
-    return {a[key]: unpack(a["answer"]) for a in answers}
-
-
-def _word_counts(tokens: np.ndarray, answers: list, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, of = np.unique(tokens, return_inverse=True)
-    got, count = _join_answers(answers), np.zeros(len(words), np.int64)
-    for b, at in _slices(_bucket_of(words, n_buckets), n_buckets):
-        count[at] = got[b]
-    return words, of, count
-
-
-def _pairs(words: np.ndarray, of: np.ndarray, count: np.ndarray, sizes: np.ndarray, held: np.ndarray, n_buckets: int, train_docs: int, hot_tokens: int):
-    """Distinct pairs (context, word) of a chunk as positions in ``words`` (the number of words stands for the
-    begin of a text), each token's pair, training counts, and the buckets that are asked for each."""
-    begin = len(words)
-    first = np.empty(len(of), np.int64)
-    first[1:] = of[:-1]
-    first[np.cumsum(sizes) - sizes] = begin
-    key, pair_of = np.unique(first * (begin + 1) + of, return_inverse=True)
-    context, word = key // (begin + 1), key % (begin + 1)
-    trained = np.bincount(pair_of, weights=np.repeat(~held, sizes), minlength=len(key)).astype(np.int64)
-    hashes = np.append(words, BEGIN)
-    hot = np.append(count, train_docs) > hot_tokens
-    salt = np.where(hot[context], _bucket_of(hashes[word], HOT_PARTS) + 1, 0)
-    bucket = _bucket_of(mix(hashes[context]) + salt.astype(np.uint64), n_buckets)
-    return hashes, hot, key, pair_of, context, word, trained, salt, bucket
-
-
-def _ask_pairs(n_buckets: int, model: Words, train_docs: int, hot_tokens: int):
+def _join_answers(answers: list) -> dict[int, object]:
+    return {a["bucket"]: unpack(a["answer"]) for a in answers}
+
+
+class _Chunk:
+    """A chunk's tokens, its words' counts and numbers, and its distinct pairs.
+
+    ``context`` and ``word`` are positions in the chunk's words; the number of words stands for the begin of a
+    text, whose number is 0.  ``ask`` are the pairs of known words, the only ones that training can have."""
+
+    def __init__(self, payload: bytes, answers: list, n_buckets: int, train_docs: int, hot_tokens: int):
+        self.ids, self.held, sizes, planes, bucket = unpack(payload)
+        self.sizes, self.of = sizes.astype(np.int64), _unplanes(planes)
+        n = len(bucket)
+        self.count, number = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        got = _join_answers(answers)
+        for b, at in _slices(bucket.astype(np.int64), n_buckets):
+            self.count[at], number[at] = got[b]
+        self.tokens_of = np.append(self.count, train_docs)
+        first = np.empty(len(self.of), np.int64)
+        first[1:] = self.of[:-1]
+        first[np.cumsum(self.sizes) - self.sizes] = n
+        key, self.pair_of = np.unique(first * (n + 1) + self.of, return_inverse=True)
+        self.context, self.word = key // (n + 1), key % (n + 1)
+        self.ask = np.flatnonzero((self.tokens_of[self.context] > 0) & (self.count[self.word] > 0))
+        hot = np.flatnonzero((self.tokens_of > hot_tokens) & (np.bincount(self.context, minlength=n + 1) > 0))
+        salt = np.where(np.isin(self.context[self.ask], hot), _bucket_of(number[self.word[self.ask]].astype(np.uint64), HOT_PARTS) + 1, 0)
+        self.number, self.head = number, number[self.context[self.ask]] * (HOT_PARTS + 1) + salt
+        # every part of a frequent context is asked for its sums, whether or not the chunk has pairs in it
+        parts = np.repeat(number[hot], HOT_PARTS) * (HOT_PARTS + 1) + np.tile(np.arange(1, HOT_PARTS + 1), len(hot))
+        owner = np.concatenate([self.context[self.ask], np.repeat(hot, HOT_PARTS)])
+        self.heads, at, self.head_of = np.unique(np.concatenate([self.head, parts]), return_index=True, return_inverse=True)
+        self.head_of, self.owner = self.head_of[: len(self.ask)], owner[at]
+        self.bucket = _bucket_of(self.heads.astype(np.uint64), n_buckets)
+
+    def by_bucket(self, n_buckets: int):
+        """(bucket, its heads, its asked pairs in the order of heads, then of the words' numbers)."""
+        number = self.number[self.word[self.ask]]
+        order = np.lexsort((number, self.head_of))
+        bounds = np.searchsorted(self.head_of[order], np.arange(len(self.heads) + 1))
+        for b, heads in _slices(self.bucket, n_buckets):
+            size = bounds[heads + 1] - bounds[heads]
+            at = np.repeat(bounds[heads] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield b, heads, size, order[at]
+
+
+def _smallest(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.uint8 if codes.max(initial=0) < 256 else np.uint16 if codes.max(initial=0) < 65536 else np.uint32)
+
+
+def _ask_pairs(n_buckets: int, train_docs: int, hot_tokens: int):
     """For each bucket a chunk's distinct pairs with their training counts, and how often their words occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload, answers in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist()):
-                _, held, texts = unpack(payload.as_py())
-                tokens, sizes = _tokens(texts)
-                words, of, count = _word_counts(tokens, answers, n_buckets)
-                hashes, hot, _, _, context, word, trained, salt, bucket = _pairs(words, of, count, sizes, held, n_buckets, train_docs, hot_tokens)
-                counts = np.append(count, train_docs)
-                # every part of a frequent context is asked for its sums, whether or not the chunk has pairs in it
-                extra_context = np.repeat(np.flatnonzero(hot), HOT_PARTS)
-                extra_salt = np.tile(np.arange(1, HOT_PARTS + 1), int(hot.sum()))
-                extra_bucket = _bucket_of(mix(hashes[extra_context]) + extra_salt.astype(np.uint64), n_buckets)
-                context, word = np.concatenate([context, extra_context]), np.concatenate([word, np.full(len(extra_context), -1)])
-                trained, salt = np.concatenate([trained, np.zeros(len(extra_context), np.int64)]), np.concatenate([salt, extra_salt])
-                bucket = np.concatenate([bucket, extra_bucket])
+                c = _Chunk(payload.as_py(), answers, n_buckets, train_docs, hot_tokens)
+                held = np.repeat(c.held, c.sizes)
+                trained = np.bincount(c.pair_of, weights=~held, minlength=len(c.context)).astype(np.int64)
+                wanted = np.zeros(len(c.tokens_of), bool)
+                wanted[c.context[c.pair_of[held]]] = True
                 rows = []
-                for b, at in _slices(bucket, n_buckets):
-                    group = context[at] * (HOT_PARTS + 1) + salt[at]
-                    order = np.argsort(group, kind="stable")
-                    at = at[order]
-                    new = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-                    heads = mix(hashes[context[at[new]]]) + salt[at[new]].astype(np.uint64)
-                    w = word[at]
-                    rows.append((b, pack((heads, np.diff(np.append(new, len(at))).astype(np.int32), np.where(w < 0, np.uint64(0), hashes[w]), trained[at].astype(np.int32), np.where(w < 0, 0, counts[w]).astype(np.int32)))))
+                for b, heads, size, pairs in c.by_bucket(n_buckets):
+                    own = c.ask[pairs]
+                    vocabulary, at, codes = np.unique(c.number[c.word[own]], return_index=True, return_inverse=True)
+                    times = c.count[c.word[own]][at] if len(own) else np.zeros(0, np.int64)
+                    rows.append((b, pack((np.diff(c.heads[heads], prepend=0), _smallest(size), wanted[c.owner[heads]], np.diff(vocabulary, prepend=0), times, _smallest(codes), _smallest(trained[own])))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "ask"])
 
@@ -221,28 +255,24 @@ def _count_pairs(model: Words):
 
     def bucket(table: pa.Table) -> pa.RecordBatch:
         parts = [unpack(b) for b in table.column("ask").to_pylist()]
-        heads, head_of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        heads, head_of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
         size = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        context = np.repeat(head_of, size)
-        word, trained = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        occurs = np.concatenate([p[4] for p in parts]).astype(np.int64)
-        order = np.lexsort((word, context))
-        new = np.concatenate([[True], (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])])
-        pair_of = np.empty(len(order), np.int64)
-        pair_of[order] = np.cumsum(new) - 1
-        lead = order[new]
-        total = np.bincount(pair_of, weights=trained, minlength=len(lead)).astype(np.int64)
-        real = word[lead] != 0
-        seen, of = (total > 0) & real, context[lead]
-        types = np.stack([np.bincount(of[seen & (total == r)], minlength=len(heads)) for r in range(1, K + 1)], 1)
-        big = np.bincount(of[seen], weights=np.where(total[seen] > K, total[seen], 0), minlength=len(heads)).astype(np.int64)
-        single = np.bincount(of[seen], weights=model.probability(occurs[lead][seen]), minlength=len(heads))
+        word = np.concatenate([np.cumsum(p[3])[p[5]] for p in parts]).astype(np.int64)
+        occurs = np.concatenate([p[4][p[5]] for p in parts]).astype(np.int64)
+        trained = np.concatenate([p[6] for p in parts]).astype(np.int64)
+        radix = int(word.max(initial=0)) + 1
+        key, at, pair_of = np.unique(np.repeat(head_of, size) * radix + word, return_index=True, return_inverse=True)
+        total = np.bincount(pair_of, weights=trained, minlength=len(key)).astype(np.int64)
+        seen, of = total > 0, key // radix
+        types = np.stack([np.bincount(of[total == r], minlength=len(heads)) for r in range(1, K + 1)], 1)
+        big = np.bincount(of, weights=np.where(total > K, total, 0), minlength=len(heads)).astype(np.int64)
+        single = np.bincount(of[seen], weights=model.probability(occurs[at][seen]), minlength=len(heads))
         out, h, k = [], 0, 0
         for p in parts:
             own = head_of[h : h + len(p[0])]
-            out.append(pack((total[pair_of[k : k + len(p[2])]].astype(np.int32), types[own].astype(np.int32), big[own], single[own])))
-            h, k = h + len(p[0]), k + len(p[2])
-        return _answer(table, out, _counts_of_counts(total[real]))
+            out.append(pack((_smallest(total[pair_of[k : k + len(p[5])]]), _smallest(types[own]), _smallest(big[own]), single[own[p[2]]])))
+            h, k = h + len(p[0]), k + len(p[5])
+        return _answer(table, out, _counts_of_counts(total))
 
     return lambda batches: by_run(batches, "bucket", bucket)
 
@@ -251,45 +281,33 @@ def _score(n_buckets: int, model: Words, train_docs: int, hot_tokens: int, pairs
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, word_answers, pair_answers in zip(batch.column("payload"), batch.column("answers").to_pylist(), batch.column("pair_answers").to_pylist()):
-                ids, held, texts = unpack(payload.as_py())
-                tokens, sizes = _tokens(texts)
-                words, of, count = _word_counts(tokens, word_answers, n_buckets)
-                hashes, hot, key, pair_of, context, word, _, salt, bucket = _pairs(words, of, count, sizes, held, n_buckets, train_docs, hot_tokens)
-                n_pairs = len(key)
-                extra = np.repeat(np.flatnonzero(hot), HOT_PARTS)
-                extra_salt = np.tile(np.arange(1, HOT_PARTS + 1), int(hot.sum()))
-                every, salts = np.concatenate([context, extra]), np.concatenate([salt, extra_salt])
-                asked = np.concatenate([bucket, _bucket_of(mix(hashes[extra]) + extra_salt.astype(np.uint64), n_buckets)])
-                got = _join_answers(pair_answers)
-                total = np.zeros(len(every), np.int64)
-                types = np.zeros((len(hashes), K), np.int64)
-                big, single = np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
-                for b, at in _slices(asked, n_buckets):
-                    group = every[at] * (HOT_PARTS + 1) + salts[at]
-                    order = np.argsort(group, kind="stable")
-                    at, group = at[order], group[order]
-                    new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                c = _Chunk(payload.as_py(), word_answers, n_buckets, train_docs, hot_tokens)
+                n = len(c.tokens_of)
+                total, types = np.zeros(len(c.context), np.int64), np.zeros((n, K), np.int64)
+                big, single = np.zeros(n, np.int64), np.zeros(n)
+                wanted = np.zeros(n, bool)
+                wanted[c.context[c.pair_of[np.repeat(c.held, c.sizes)]]] = True
+                got = _join_answers(pair_answers or [])
+                for b, heads, _, asked in c.by_bucket(n_buckets):
                     counts, t, g, s = got[b]
-                    total[at] = counts
-                    head = every[at[new]]
-                    np.add.at(types, head, t)
-                    np.add.at(big, head, g)
-                    np.add.at(single, head, s)
-                total = total[:n_pairs]
-                tokens_of = np.append(count, train_docs)
+                    total[c.ask[asked]] = counts
+                    owner = c.owner[heads]
+                    np.add.at(types, owner, t)
+                    np.add.at(big, owner, g)
+                    np.add.at(single, owner[wanted[owner]], s)
                 kept = types @ (pairs.ratio[1 : K + 1] * np.arange(1, K + 1)) + big
-                room = tokens_of - kept
-                bottom = np.where(room > 1e-9 * np.maximum(tokens_of, 1), tokens_of, tokens_of + 1).astype(float)
-                alpha = np.where(tokens_of > 0, (1 - kept / np.maximum(bottom, 1)) / np.maximum(1 - single, 1e-300), 1.0)
-                lower = model.probability(np.append(count, 0))
-                p = np.where(total > 0, pairs.mass(total) / np.maximum(bottom[context], 1), alpha[context] * lower[word])
-                base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-                starts = np.cumsum(sizes) - sizes
-                known = np.add.reduceat((count > 0)[of].astype(np.int64), starts)
+                room = c.tokens_of - kept
+                bottom = np.where(room > 1e-9 * np.maximum(c.tokens_of, 1), c.tokens_of, c.tokens_of + 1).astype(float)
+                alpha = np.where(c.tokens_of > 0, (1 - kept / np.maximum(bottom, 1)) / np.maximum(1 - single, 1e-300), 1.0)
+                lower = model.probability(c.count)
+                p = np.where(total > 0, pairs.mass(total) / np.maximum(bottom[c.context], 1), alpha[c.context] * lower[c.word])
+                base = np.log10((c.count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+                starts = np.cumsum(c.sizes) - c.sizes
+                known = np.add.reduceat((c.count > 0)[c.of].astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(ids), model.tokens), pa.int64()),
-                        pa.array(np.add.reduceat(base[of], starts), pa.float64()), pa.array(np.add.reduceat(np.log10(p)[pair_of], starts), pa.float64()),
+                        pa.array(c.ids, pa.int64()), pa.array(c.held, pa.bool_()), pa.array(c.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(c.ids), model.tokens), pa.int64()),
+                        pa.array(np.add.reduceat(base[c.of], starts), pa.float64()), pa.array(np.add.reduceat(np.log10(p)[c.pair_of], starts), pa.float64()),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -317,12 +335,12 @@ def score_texts(docs: DataFrame, modulus: int = 10, buckets: int | None = None,
     asked = cut(docs.mapInArrow(_ask_words(n, modulus), _CHUNKS))
     chunks = asked.filter("bucket IS NULL").select("chunk", "payload")
     to_words = asked.filter("bucket IS NOT NULL").select("chunk", "bucket", "ask").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
-    word_counts = cut(to_words.mapInArrow(lambda batches: by_run(batches, "bucket", _count_words), _ANSWERS))
+    word_counts = cut(to_words.mapInArrow(_count_words(n), _ANSWERS))
     model = Words(_summed(word_counts))
     with_words = chunks.join(_gather(word_counts, "answers"), F.col("chunk") == F.col("of_chunk")).drop("of_chunk")
-    to_pairs = with_words.mapInArrow(_ask_pairs(n, model, train_docs, hot_tokens), "chunk bigint, bucket int, ask binary").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+    to_pairs = with_words.mapInArrow(_ask_pairs(n, train_docs, hot_tokens), "chunk bigint, bucket int, ask binary").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
     pair_counts = cut(to_pairs.mapInArrow(_count_pairs(model), _ANSWERS))
     discounts = Discounts(_summed(pair_counts))
-    ready = with_words.join(_gather(pair_counts, "pair_answers"), F.col("chunk") == F.col("of_chunk"))
+    ready = with_words.join(_gather(pair_counts, "pair_answers"), F.col("chunk") == F.col("of_chunk"), "left")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return ready.select("payload", "answers", "pair_answers").mapInArrow(_score(n, model, train_docs, hot_tokens, discounts), out)
