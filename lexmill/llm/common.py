@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -57,3 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` computed once and kept in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM happens to collect its garbage, which a small driver heap seldom does
+    before the next large shuffle is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, release
 from lexmill.llm.hashing import by_run, mix, split_words, word_hashes
 from lexmill.llm.packed import pack, unpack
 
 K = 5
-CHUNK_DOCS, CHUNK_BYTES = 8000, 16 << 20
+CHUNK_DOCS, CHUNK_BYTES = 4000, 8 << 20
 #: First words with more training tokens than this have their pairs dealt out by the second word too.
 HOT_TOKENS, HOT_PARTS = 200_000, 64
 END = np.uint64(0x656E64)
@@ -322,6 +322,13 @@ def _summed(answers: DataFrame) -> list[int]:
     return [int(found.get(k, 0)) for k in range(K + 4)]
 
 
+def _exchange(asks: DataFrame, n: int, count) -> DataFrame:
+    """The asks (chunk, bucket, ask) brought together by bucket and answered; their shuffle files go afterwards."""
+    answers = cut(asks.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(count, _ANSWERS))
+    release(asks.sparkSession)
+    return answers
+
+
 def _gather(answers: DataFrame, name: str) -> DataFrame:
     return answers.filter("of_chunk >= 0").groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
@@ -333,13 +340,10 @@ def score_texts(docs: DataFrame, modulus: int = 10, buckets: int | None = None,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     train_docs = docs.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) != 0).count()
     asked = cut(docs.mapInArrow(_ask_words(n, modulus), _CHUNKS))
-    chunks = asked.filter("bucket IS NULL").select("chunk", "payload")
-    to_words = asked.filter("bucket IS NOT NULL").select("chunk", "bucket", "ask").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
-    word_counts = cut(to_words.mapInArrow(_count_words(n), _ANSWERS))
+    word_counts = _exchange(asked.filter("bucket IS NOT NULL").select("chunk", "bucket", "ask"), n, _count_words(n))
     model = Words(_summed(word_counts))
-    with_words = chunks.join(_gather(word_counts, "answers"), F.col("chunk") == F.col("of_chunk")).drop("of_chunk")
-    to_pairs = with_words.mapInArrow(_ask_pairs(n, train_docs, hot_tokens), "chunk bigint, bucket int, ask binary").repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
-    pair_counts = cut(to_pairs.mapInArrow(_count_pairs(model), _ANSWERS))
+    with_words = asked.filter("bucket IS NULL").select("chunk", "payload").join(_gather(word_counts, "answers"), F.col("chunk") == F.col("of_chunk")).drop("of_chunk")
+    pair_counts = _exchange(with_words.mapInArrow(_ask_pairs(n, train_docs, hot_tokens), "chunk bigint, bucket int, ask binary"), n, _count_pairs(model))
     discounts = Discounts(_summed(pair_counts))
     ready = with_words.join(_gather(pair_counts, "pair_answers"), F.col("chunk") == F.col("of_chunk"), "left")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
