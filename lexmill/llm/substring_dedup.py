@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACE_RUN, cut
+from lexmill.llm.common import SPACE_RUN, cut, release
 from lexmill.llm.fm_index import FMIndex
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
 from lexmill.llm.packed import pack, unpack
@@ -299,27 +299,41 @@ def _finish(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, shards: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) of every row."""
-    spark = docs.sparkSession
-    shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_chunk(width, shards), _CHUNKS))
+def _repeated_documents(chunks: DataFrame) -> DataFrame:
+    """of_skip and the positions of documents that repeat all words of one with a smaller id."""
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "n_words", "sig1", "sig2")).alias("at", "r")).select("chunk", "at", "r.*").filter("n_words > 0")
     least = rows.groupBy("sig1", "sig2", "n_words").agg(F.min("ids").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    skip = rows.join(least, ["sig1", "sig2", "n_words"]).filter("ids > first_id").groupBy("chunk").agg(F.collect_list("at").alias("skip")).withColumnRenamed("chunk", "of_skip")
-    skip = cut(skip)
+    skip = rows.join(least, ["sig1", "sig2", "n_words"]).filter("ids > first_id").groupBy("chunk").agg(F.collect_list("at").alias("skip"))
+    return cut(skip.withColumnRenamed("chunk", "of_skip"))
+
+
+def _with_skip(chunks: DataFrame, skip: DataFrame) -> DataFrame:
+    return chunks.select("chunk", "ids", "n_words", "payload").join(skip, F.col("chunk") == F.col("of_skip"), "left").drop("of_skip")
+
+
+def _pieces(chunks: DataFrame, skip: DataFrame, width: int, shards: int) -> DataFrame:
     by_bucket = chunks.select("chunk", F.posexplode("minimizers").alias("bucket", "blob")).filter(F.length("blob") > 0)
     by_bucket = by_bucket.repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
     shared = by_bucket.mapInArrow(lambda batches: by_run(batches, "bucket", _shared), "of_chunk bigint, keys binary")
     keys = shared.groupBy("of_chunk").agg(F.collect_list("keys").alias("keys"))
-    base = chunks.select("chunk", "ids", "n_words", "payload").join(skip, F.col("chunk") == F.col("of_skip"), "left").drop("of_skip")
-    pieces = cut(base.join(keys, F.col("chunk") == F.col("of_chunk")).select("chunk", "ids", "payload", "keys", "skip").mapInArrow(_cut_stretches(width, shards), "chunk bigint, bucket int, blob binary"))
+    ready = _with_skip(chunks, skip).join(keys, F.col("chunk") == F.col("of_chunk")).select("chunk", "ids", "payload", "keys", "skip")
+    return cut(ready.mapInArrow(_cut_stretches(width, shards), "chunk bigint, bucket int, blob binary"))
+
+
+def remove_repeats(docs: DataFrame, width: int = 20, shards: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) of every row."""
+    spark = docs.sparkSession
+    shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_chunk(width, shards), _CHUNKS))
+    skip = _repeated_documents(chunks)
+    pieces = _pieces(chunks, skip, width, shards)
+    release(spark)
     to_shards = pieces.filter("bucket >= 0").repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
     answers = to_shards.mapInArrow(_search_shard(width), "of_chunk bigint, bucket int, answer binary")
     answers = answers.groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     places = pieces.filter("bucket < 0").select(F.col("chunk").alias("of_chunk"), F.col("blob").alias("places"))
     found = places.join(answers, "of_chunk")
-    whole = base.join(found, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "n_words", "payload", "skip", "places", "answers")
+    whole = _with_skip(chunks, skip).join(found, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "n_words", "payload", "skip", "places", "answers")
     return whole.mapInArrow(_finish(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
