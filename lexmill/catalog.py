@@ -1,6 +1,6 @@
 """Every query of the library by name, with its DuckDB oracle where SQL can express it."""
 
-from lexmill.plans import language, stores
+from lexmill.plans import correction, language, stores
 from lexmill.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "language", "stores"]
+__all__ = ["ORACLE_SQL", "QUERIES", "correction", "language", "stores"]
