@@ -67,9 +67,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for text in batch.column("text"):
             k, c = np.unique(subwords(text.as_py() or ""), return_counts=True)
-            keys.append(k.astype(np.int32))
-            counts.append(c.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["doc_id", "lang", "keys", "counts"])
+            keys.append(k.astype(np.uint16).tobytes())
+            counts.append(c.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "keys", "counts"])
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
@@ -83,17 +83,18 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     return labelled.filter(draw < rate[F.col("lang")])
 
 
-def fit(docs: DataFrame, per_language: int = 1500, dim: int = 16, epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 800, dim: int = 16, epochs: int = 6, rate: float = 0.6, seed: int = 7) -> Model | None:
     """Train on ``docs`` (doc_id, text, lang); rows without text or lang teach nothing."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
-    rows = sample(docs, per_language).mapInArrow(_features, "doc_id bigint, lang string, keys array<int>, counts array<float>").toPandas()
-    rows = rows[rows["keys"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
-    if rows.empty:
+    rows = sample(docs, per_language).mapInArrow(_features, "doc_id bigint, lang string, keys binary, counts binary").collect()
+    rows = sorted((r for r in rows if len(r["keys"])), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
+    if not rows:
         return None
-    languages = tuple(sorted(rows["lang"].unique()))
-    target = np.searchsorted(np.array(languages), rows["lang"].to_numpy().astype(str))
-    keys = [np.asarray(k, np.int64) for k in rows["keys"]]
-    weights = [np.asarray(c, np.float32) / np.float32(np.sum(c)) for c in rows["counts"]]
+    languages = tuple(sorted({r["lang"] for r in rows}))
+    target = np.searchsorted(np.array(languages), [r["lang"] for r in rows])
+    keys = [np.frombuffer(r["keys"], np.uint16) for r in rows]
+    weights = [np.frombuffer(r["counts"], np.float32) for r in rows]
+    weights = [w / w.sum() for w in weights]
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((dim, len(languages)), np.float32)
