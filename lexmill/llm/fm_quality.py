@@ -94,7 +94,7 @@ class Machine:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [vector(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "quality", "at", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["doc_id", "quality", "at", "x"])
 
 
 def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
@@ -111,13 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000, rank: int
     chosen = labels.filter(draw < share).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(chosen.limit(2 * max_labels))  # so many rows at most, of 12 bytes
     rows = _inputs(docs).join(chosen, "doc_id").select("doc_id", "text", "n_chars", "quality")
-    rows = rows.mapInArrow(_features, "doc_id bigint, quality int, at array<int>, x array<float>").toPandas()
-    if rows.empty:
+    rows = rows.mapInArrow(_features, "doc_id bigint, quality int, at binary, x binary").collect()
+    if not rows:
         return None
-    rows = rows.sort_values(["doc_id", "quality"], kind="stable")
-    y = (rows["quality"].to_numpy() > 0).astype(np.float64)
-    at = [np.asarray(a, np.int64) for a in rows["at"]]
-    xs = [np.asarray(x, np.float32) for x in rows["x"]]
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["at"]))
+    y = np.array([float(r["quality"] > 0) for r in rows])
+    at = [np.frombuffer(r["at"], np.int32) for r in rows]
+    xs = [np.frombuffer(r["x"], np.float32) for r in rows]
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) ** 0.5
     rng = np.random.default_rng(seed)
     linear, factors = np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, rank)).astype(np.float32)
