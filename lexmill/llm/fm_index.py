@@ -75,36 +75,41 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))])
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns with ``symbol`` put in front."""
+        """Intervals of the patterns with ``symbol`` put in front; empty ones for symbols that the text lacks."""
+        known = (symbol >= 0) & (symbol < len(self.before) - 1)
+        symbol = np.where(known, symbol, 0)
         a, b = self.tree.rank(symbol, low, high)
-        return self.before[symbol] + a, self.before[symbol] + b
+        return np.where(known, self.before[symbol] + a, 0), np.where(known, self.before[symbol] + b, 0)
 
     def matches(self, patterns: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all patterns (concatenated) at once: pattern, position and group of every position from which at
-        least ``depth`` symbols match.  A position's match is the whole rest of its pattern while the interval
-        is not empty; patterns that are not in the index start anew where it becomes empty."""
+        least ``depth`` symbols match.  One backward pass gives the interval of the whole rest of a pattern at
+        each position, which lies within one group; a pattern that is not in the text as a whole is searched
+        window by window instead."""
         ends = np.cumsum(lengths)
         by_length = np.argsort(-lengths, kind="stable")
         sorted_lengths = lengths[by_length]
-        n = len(self.order)
-        low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), n, np.int64)
-        run = np.zeros(len(lengths), np.int64)
+        low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.order), np.int64)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for step in range(int(sorted_lengths[0]) if len(lengths) else 0):
             live = by_length[: int(np.searchsorted(-sorted_lengths, -step, side="left"))]
-            symbol = patterns[ends[live] - 1 - step]
-            lo, hi = self.extend(symbol, low[live], high[live])
-            gone = lo >= hi
-            if gone.any():
-                again = live[gone]
-                lo[gone], hi[gone] = self.extend(symbol[gone], np.zeros(len(again), np.int64), np.full(len(again), n, np.int64))
-                run[again] = 0
-            low[live], high[live] = lo, hi
-            run[live] += 1
-            hit = (run[live] >= depth) & (lo < hi)
-            if hit.any():
-                which = live[hit]
-                out.append((which, lengths[which] - 1 - step, self.group[lo[hit]]))
+            live = live[low[live] < high[live]]
+            low[live], high[live] = self.extend(patterns[ends[live] - 1 - step], low[live], high[live])
+            if step >= depth - 1:
+                live = live[low[live] < high[live]]
+                out.append((live, lengths[live] - 1 - step, self.group[low[live]]))
+        failed = np.flatnonzero((low >= high) & (lengths >= depth))
+        if len(failed):
+            out = [tuple(x[~np.isin(o[0], failed)] for x in o) for o in out]
+            count = lengths[failed] - depth + 1
+            which, at = np.repeat(failed, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            begin = ends[which] - lengths[which] + at
+            low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.order), np.int64)
+            for step in range(depth - 1, -1, -1):
+                live = np.flatnonzero(low < high)
+                low[live], high[live] = self.extend(patterns[begin[live] + step], low[live], high[live])
+            live = np.flatnonzero(low < high)
+            out.append((which[live], at[live], self.group[low[live]]))
         if not out:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
