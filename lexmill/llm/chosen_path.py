@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, release
 from lexmill.llm.components import connected
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
 
@@ -33,7 +33,7 @@ TREES, DEPTH = 12, 8
 NODE_MEMBERS, NODE_SHINGLES = 600, 6_000_000
 SKETCH_MARGIN = 4.2
 _SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SIGNATURE = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, minwise array<bigint>, sketch binary"
+_SIGNATURE = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, minwise array<int>, sketch binary"
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -69,10 +69,10 @@ def _signatures(width: int):
                     s1.append(int(both[0]))
                     s2.append(int(both[1]))
                     m = minwise(s) if len(s) else np.zeros(0, np.uint64)
-                    mins.append(m.view(np.int64))
+                    mins.append((m >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     sketches.append((m >> np.uint64(56)).astype(np.uint8).tobytes() if len(m) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(mins, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
                     names=["doc_id", "n_shingles", "sig1", "sig2", "minwise", "sketch"],
                 )
 
@@ -171,9 +171,41 @@ def _candidates(threshold: float):
     return lambda batches: by_run(batches, "leaf", leaf)
 
 
-def _sets(width: int):
+FILTER_WORDS = 1 << 18
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in a filter of FILTER_WORDS * 64 bits."""
+    h = mix(ids.astype(np.uint64) ^ np.uint64(0x1234567))
+    return np.stack([h % np.uint64(64 * FILTER_WORDS), (h >> np.uint64(32)) % np.uint64(64 * FILTER_WORDS)])
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over doc_id: what it lets through is still joined exactly, so it only saves
+    work, and none once there are too many ids for it."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    rows = ids.mapInArrow(words, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # FILTER_WORDS rows at most
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    if rows:
+        out[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    return out
+
+
+def _sets(width: int, bloom):
+    """The shingle sets of documents that pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bloom.value
         for whole in batches:
+            ids = whole.column("doc_id")
+            at = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            whole = whole.filter(pa.array(hit & ~ids.is_null().to_numpy(zero_copy_only=False)))
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
@@ -206,21 +238,33 @@ def _links(percent: int):
     return lambda batches: by_run(batches, "party", party)
 
 
+def _classes(all_rows: DataFrame, filled: DataFrame) -> DataFrame:
+    """One row, that of the smallest id, for each distinct set."""
+    reps = filled.select(F.col("class_id").alias("doc_id"), "sig1", "sig2")
+    rows = all_rows.join(reps, ["doc_id", "sig1", "sig2"], "left_semi").dropDuplicates(["doc_id"])
+    return cut(rows.select("doc_id", "n_shingles", "minwise", "sketch"))
+
+
+def _parties(classes: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """(party, doc_id): groups of classes that candidate pairs hold together, each content once."""
+    in_leaves = _leaves(classes).join(small, "doc_id").repartition("leaf").sortWithinPartitions("leaf", "doc_id")
+    return cut(in_leaves.select("leaf", "doc_id", "n_shingles", "sketch").mapInArrow(_candidates(percent / 100), "party bigint, doc_id bigint").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable) for every row of ``docs``."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     all_rows = cut(docs.mapInArrow(_signatures(width), _SIGNATURE))
     members = all_rows.select("doc_id", "n_shingles", "sig1", "sig2")
-    filled = members.filter("n_shingles > 0").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    filled = cut(filled)
-    reps = filled.select(F.col("class_id").alias("doc_id"), "sig1", "sig2")
-    classes = all_rows.join(reps, ["doc_id", "sig1", "sig2"], "left_semi").dropDuplicates(["doc_id"])
-    classes = cut(classes.select("doc_id", "n_shingles", "minwise", "sketch"))
+    filled = cut(members.filter("n_shingles > 0").groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("class_id")))
+    classes = _classes(all_rows, filled)
     small = classes.select("doc_id", "n_shingles", "sketch")
-    in_leaves = _leaves(classes).join(small, "doc_id").repartition("leaf").sortWithinPartitions("leaf", "doc_id")
-    parties = cut(in_leaves.select("leaf", "doc_id", "n_shingles", "sketch").mapInArrow(_candidates(percent / 100), "party bigint, doc_id bigint").distinct())
+    parties = _parties(classes, small, percent)
+    release(spark)
     active = parties.select("doc_id").distinct()
-    sets = docs.join(active, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary").join(small, "doc_id").filter(F.length("shingles") == 8 * F.col("n_shingles"))
+    bloom = spark.sparkContext.broadcast(_bloom(active))
+    sets = docs.mapInArrow(_sets(width, bloom), "doc_id bigint, shingles binary").join(small, "doc_id").filter(F.length("shingles") == 8 * F.col("n_shingles"))
     sets = sets.dropDuplicates(["doc_id"])
     ready = parties.join(sets, "doc_id").repartition("party").sortWithinPartitions("party", "doc_id")
     edges = ready.select("party", "doc_id", "n_shingles", "sketch", "shingles").mapInArrow(_links(percent), "u bigint, v bigint")
