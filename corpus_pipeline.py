@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ship(spark)
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     machine = fm_quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    return fm_quality.keep_good(docs, fm_quality.score(docs, machine, held_out))
+    return fm_quality.keep_good(docs, machine)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,7 +156,14 @@ def score(docs: DataFrame, machine: Machine | None, held_out: Column) -> DataFra
     return _inputs(docs, held_out.alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document was predicted to be of quality 1, with their own columns."""
-    good = scored.filter("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs.doc_id.cast("bigint").eqNullSafe(F.col("_good")), "left_semi")
+def keep_good(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows of ``docs`` whose text is predicted to be of quality 1, with all their columns; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fm = model.value
+        for batch in batches:
+            texts, recorded = batch.column("text"), batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+            yield batch.filter(pa.array([fm is None or fm.score(*vector(t.as_py(), n)) >= 0.5 for t, n in zip(texts, recorded)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

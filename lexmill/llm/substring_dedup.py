@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lexmill.llm.common import SPACE_RUN, cut, release
+from lexmill.llm.common import cut, release
 from lexmill.llm.fm_index import FMIndex
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
 from lexmill.llm.packed import pack, unpack
@@ -55,13 +56,25 @@ def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return (mix(keys ^ np.uint64(0xA5A5A5A5)) >> np.uint64(33)).astype(np.int64) % n
 
 
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    """The columns that only travel along."""
+    if not batches or not batches[0].num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as writer:
+        for b in batches:
+            writer.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
 def _chunk(width: int, n_buckets: int):
     """Chunks of documents with their signatures and, for each bucket, their distinct minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
-        texts: list[str] = []
+        texts: list[str | None] = []
+        rest: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
@@ -86,23 +99,30 @@ def _chunk(width: int, n_buckets: int):
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = order[a:b]
                 blobs.append(_short(key[own]) + (count[own] > 1).tobytes() if b > a else b"")
-            payload = pack(texts, level=3)
+            payload = pack((texts, _ipc(rest)), level=3)
             row = [[(part << 32) | seq], [ids], [n], [s1], [s2], [payload], [blobs]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
             out = pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds)], names=["chunk", "ids", "n_words", "sig1", "sig2", "payload", "minimizers"])
             seq, size = seq + 1, 0
             ids.clear()
             texts.clear()
+            rest.clear()
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py() or ""
+            others = batch.select([c for c in batch.schema.names if c not in ("_id", "_text")])
+            at = 0
+            for row, (doc_id, text) in enumerate(zip(batch.column("_id").to_pylist(), batch.column("_text"))):
+                text = text.as_py()
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 texts.append(text)
-                size += len(text)
+                size += len(text or "")
                 if len(ids) >= CHUNK_DOCS or size >= CHUNK_BYTES:
+                    rest.append(others.slice(at, row + 1 - at))
+                    at = row + 1
                     yield flush()
+            if at < batch.num_rows:
+                rest.append(others.slice(at))
         if ids:
             yield flush()
 
@@ -149,7 +169,7 @@ def _cut_stretches(width: int, n_buckets: int):
                 shared = np.unique(_long(b"".join(keys or [])))
                 skip = set(skip or [])
                 doc_of, first, last, names, bucket, content = [], [], [], [], [], []
-                for d, text in enumerate(unpack(payload) if len(shared) else []):
+                for d, text in enumerate(unpack(payload)[0] if len(shared) else []):
                     if d in skip:
                         continue
                     h = word_hashes(split_words(text, lower=False))
@@ -255,7 +275,9 @@ def _search_shard(width: int):
     return lambda batches: by_run(batches, "bucket", shard)
 
 
-def _finish(width: int):
+def _finish(width: int, columns: list[str] | None = None):
+    """The rows' results, or the rows themselves (``columns``) with what is left of their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, n_words, payload, skip, places, answers in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_words", "payload", "skip", "places", "answers"))):
@@ -278,7 +300,8 @@ def _finish(width: int):
                     cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(0, int)
                     spans = {int(doc[a]): at[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
                 texts, removed = [], []
-                for d, (text, n) in enumerate(zip(unpack(payload), n_words)):
+                own_texts, others = unpack(payload)
+                for d, (text, n) in enumerate(zip(own_texts, n_words)):
                     if d in skip and n >= width:
                         texts.append("")
                         removed.append(n)
@@ -290,11 +313,17 @@ def _finish(width: int):
                         texts.append(b" ".join([w for w, g in zip(split_words(text, lower=False), gone.tolist()) if not g]).decode("utf-8", "surrogatepass"))
                         removed.append(int(gone.sum()))
                     else:
-                        texts.append(b" ".join(split_words(text, lower=False)).decode("utf-8", "surrogatepass"))
+                        texts.append(text if columns else b" ".join(split_words(text, lower=False)).decode("utf-8", "surrogatepass"))
                         removed.append(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"]
-                )
+                if columns is None:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"]
+                    )
+                    continue
+                table = pa.ipc.open_stream(others).read_all() if others else None
+                out = [pa.array(texts, pa.string()) if c == "text" else table.column(c).combine_chunks() for c in columns]
+                keep = pa.array([not r or t != "" for r, t in zip(removed, texts)])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(removed, pa.int64())], names=[*columns, "_removed"]).filter(keep)
 
     return run
 
@@ -320,11 +349,12 @@ def _pieces(chunks: DataFrame, skip: DataFrame, width: int, shards: int) -> Data
     return cut(ready.mapInArrow(_cut_stretches(width, shards), "chunk bigint, bucket int, blob binary"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, shards: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) of every row."""
+def _judged(docs: DataFrame, width: int, shards: int | None, carried: list[str]) -> DataFrame:
+    """Chunks with everything that ``_finish`` needs; ``carried`` columns travel along."""
     spark = docs.sparkSession
     shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_chunk(width, shards), _CHUNKS))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"), *carried)
+    chunks = cut(rows.mapInArrow(_chunk(width, shards), _CHUNKS))
     skip = _repeated_documents(chunks)
     pieces = _pieces(chunks, skip, width, shards)
     release(spark)
@@ -333,24 +363,23 @@ def remove_repeats(docs: DataFrame, width: int = 20, shards: int | None = None)
     answers = answers.groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     places = pieces.filter("bucket < 0").select(F.col("chunk").alias("of_chunk"), F.col("blob").alias("places"))
     found = places.join(answers, "of_chunk")
-    whole = _with_skip(chunks, skip).join(found, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "n_words", "payload", "skip", "places", "answers")
-    return whole.mapInArrow(_finish(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return _with_skip(chunks, skip).join(found, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "n_words", "payload", "skip", "places", "answers")
+
+
+def remove_repeats(docs: DataFrame, width: int = 20, shards: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) of every row."""
+    return _judged(docs, width, shards, []).mapInArrow(_finish(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
-def with_kept_text(docs: DataFrame, width: int = 20) -> DataFrame:
+def with_kept_text(docs: DataFrame, width: int = 20, shards: int | None = None) -> DataFrame:
     """``docs`` with the kept text in place of those that lost words, and without those that lost all.
 
-    Texts that lose nothing stay as they are, white space included."""
-    kept = remove_repeats(docs, width).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_of"), "n_words", "n_removed", "kept_text")
-    kept = kept.groupBy("_of", "n_words").agg(F.min(F.struct("n_removed", "kept_text")).alias("_kept"))
-    words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.array_remove(F.split("text", SPACE_RUN), ""))).cast("bigint")
-    joined = docs.join(kept, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)) == F.col("_of")) & (words == F.col("n_words")), "left")
-    lost = F.col("_kept").isNotNull()
-    changed = {"text": F.when(lost, F.col("_kept.kept_text")).otherwise(F.col("text"))}
+    Texts that lose nothing stay as they are, white space included; ``n_chars`` follows a changed text."""
+    schema = StructType([*docs.schema.fields, StructField("_removed", LongType())])
+    out = _judged(docs, width, shards, [c for c in docs.columns if c != "text"]).mapInArrow(_finish(width, docs.columns), schema)
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(lost, F.length("_kept.kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    left = joined.filter(~lost | (F.col("_kept.kept_text") != ""))
-    return left.withColumns(changed).select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def digest(kept: DataFrame) -> DataFrame:
