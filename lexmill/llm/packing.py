@@ -21,38 +21,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut
-from lexmill.llm.encoding import encoder, vocabulary_path
+from lexmill.llm.encoding import encode_with_end, encoder, slices, vocabulary_path
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 SALTS = 64
-FLUSH_BYTES = 4 << 20
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
-        rows: list[tuple] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            c = list(zip(*rows))
-            out = pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
-            rows.clear()
-            held = 0
-            return out
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = enc.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, part))
-                    held += len(part)
-                    if held >= FLUSH_BYTES:
-                        yield flush()
-        if rows:
-            yield flush()
+        enc = encoder(path)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids, bounds = encode_with_end(enc, batch.column("text"), end_id)
+                count = -(-np.diff(bounds) // capacity)
+                of = np.repeat(np.arange(batch.num_rows), count)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(bounds)[of] - start)
+                first = np.append(bounds[:-1][of] + start, bounds[-1])
+                raw = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<i4"))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), raw], names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
