@@ -98,6 +98,47 @@ def compounds(requests: DataFrame, modifiers: DataFrame, heads: DataFrame, least
     return best.select("word", "_b.modifiers", "_b.head")
 
 
+def _deletes(rows: DataFrame, word: str, most: int) -> DataFrame:
+    """The rows with every ``key`` that up to ``most`` deleted letters leave of the word."""
+    keys = rows.withColumn("key", F.col(word))
+    out = keys
+    for _ in range(most):
+        at = keys.filter(F.length("key") > 1).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("key"))))
+        keys = at.withColumn("key", F.concat(F.left("key", F.col("_i") - 1), F.substr("key", F.col("_i") + 1, F.length("key")))).drop("_i").distinct()
+        out = out.union(keys)
+    return out.distinct()
+
+
+def beam(requests: DataFrame, known: DataFrame, edits: int = 2, most_cost: float = 8.0, margin: float = 5.0, keep: int = 40, typed: str = "typed") -> DataFrame:
+    """Known words within ``edits`` edits of each typed word, by typing cost: all of them, where a best-first search
+    with a clock would give some.  Both sides meet on what is left after deletions, so it is an equi-join."""
+    left = _deletes(requests.select(F.col(typed).alias("typed")).distinct(), "typed", edits)
+    right = _deletes(known.select("word").distinct(), "word", edits)
+    pairs = left.join(right, "key").select("typed", "word").distinct().filter(F.levenshtein("typed", "word") <= 2 * edits)
+    pairs = pairs.withColumn("cost", typing_cost("typed", "word")).filter(F.col("cost") <= most_cost)
+    order = Window.partitionBy("typed").orderBy("cost", "word")
+    best = F.min("cost").over(Window.partitionBy("typed"))
+    return pairs.withColumn("_best", best).withColumn("rank", F.row_number().over(order)).filter((F.col("cost") <= F.col("_best") + margin) & (F.col("rank") <= keep)).drop("_best")
+
+
+def decided(rows: DataFrame, margin: float = 1.15, most_cost: float = 6.0, least_length: int = 2, least_z: float = -2.5) -> DataFrame:
+    """Whether the winner of each request may replace what was typed: one boolean column for each gate.
+
+    rows: typed, word, cost, z, margin (null if alone), marks (marks preserved)."""
+    gates = {
+        "long_enough": F.length("typed") >= least_length,
+        "cheap": F.col("cost") <= most_cost,
+        "marks_kept": F.col("marks"),
+        "typical": F.col("z") >= least_z,
+        "ahead": F.col("margin").isNull() | (F.col("margin") >= margin),
+    }
+    out = rows.withColumns(gates)
+    ok = None
+    for g in gates:
+        ok = F.col(g) if ok is None else ok & F.col(g)
+    return out.withColumn("apply", ok)
+
+
 def admitted(candidates: DataFrame, by: str = "typed") -> DataFrame:
     """One row for each candidate word (typed, word, provider, provider_order, cost): the first provider's cost."""
     return candidates.groupBy(by, "word").agg(F.min_by(F.struct("provider", "cost"), F.struct("provider_order", "cost")).alias("_f"), F.array_sort(F.collect_set("provider")).alias("providers")).select(by, "word", "_f.provider", "_f.cost", "providers")

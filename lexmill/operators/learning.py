@@ -48,10 +48,12 @@ def decayed(words: DataFrame, limit: int, factor: float = 0.5) -> DataFrame:
 
 
 def capped_words(words: DataFrame, cap: int) -> DataFrame:
-    """Beyond ``cap`` words those of the lowest counts go, explicit ones last of all: they always stay."""
-    order = Window.orderBy(F.col("explicit").desc(), F.col("count").desc(), F.col("word").desc())
-    # the rank over all words is over rows of at most cap + what one batch adds
-    return words.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= cap) | F.col("explicit")).drop("_r")
+    """Beyond ``cap`` words those of the lowest counts go; explicit ones always stay.
+
+    The rest is a top-k, which each partition cuts first."""
+    room = max(0, cap - words.filter("explicit").count())
+    best = words.filter(~F.col("explicit")).orderBy(F.col("count").desc(), F.col("word").desc()).limit(room)
+    return words.filter("explicit").unionByName(best)
 
 
 def capped_pairs(pairs: DataFrame, cap: int) -> DataFrame:
