@@ -65,7 +65,7 @@ def context_continuation(s, d):
     return typed.join(pool, "previous").filter(near).select("previous", "typed", "word").distinct()
 
 
-@query(f"WITH {TOK}, dot AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+\\.\\p{{L}}+')) AS token FROM documents), h AS (SELECT token, split_part(token, '.', 1) AS first_half, split_part(token, '.', 2) AS second_half FROM dot) SELECT token, first_half, second_half FROM h WHERE first_half <> 'www' AND second_half NOT IN ({', '.join(repr(x) for x in T.DOMAINS)}) AND EXISTS (SELECT 1 FROM uni a JOIN uni b USING (lane) WHERE a.word = first_half AND b.word = second_half)")
+@query(f"WITH {TOK}, dot AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+\\.\\p{{L}}+')) AS token FROM documents), h AS (SELECT token, split_part(token, '.', 1) AS first_half, split_part(token, '.', 2) AS second_half FROM dot) SELECT DISTINCT token, first_half, second_half FROM h JOIN uni a ON a.word = first_half JOIN uni b ON b.word = second_half AND b.lane = a.lane WHERE first_half <> 'www' AND second_half NOT IN ({', '.join(repr(x) for x in T.DOMAINS)})")
 def dot_split(s, d):
     """Dotted tokens that are two words of one lane."""
     tokens = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+\\.\\p{L}+"), F.lit(0))).alias("token")).distinct()
