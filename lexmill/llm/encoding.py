@@ -20,7 +20,7 @@ import pyarrow as pa
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words and pieces kept per worker.  Those beyond it are encoded anew in each batch; the result is the same.
-CACHE_WORDS, CACHE_PIECES = 1_500_000, 300_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 200_000
 #: Bytes of text that are looked up at once.
 BATCH_BYTES = 4 << 20
 

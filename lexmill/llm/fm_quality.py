@@ -41,7 +41,7 @@ def _bucket(word: str) -> int:
     k = _CACHE.get(word)
     if k is None:
         k = zlib.crc32(word.lower().encode()) & (WORD_BUCKETS - 1)
-        if len(_CACHE) < 400_000 and len(word) <= 40:
+        if len(_CACHE) < 150_000 and len(word) <= 40:
             _CACHE[word] = k
     return k
 
@@ -162,8 +162,11 @@ def keep_good(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = model.value
-        for batch in batches:
-            texts, recorded = batch.column("text"), batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
-            yield batch.filter(pa.array([fm is None or fm.score(*vector(t.as_py(), n)) >= 0.5 for t, n in zip(texts, recorded)], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column("text")
+                recorded = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+                yield batch.filter(pa.array([fm is None or fm.score(*vector(t.as_py(), n)) >= 0.5 for t, n in zip(texts, recorded)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Hashes kept per worker; beyond it words are hashed anew each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _CACHE: dict[bytes, bytes] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
