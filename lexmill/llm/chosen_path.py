@@ -275,6 +275,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
 
 def first_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component."""
-    first = components.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs.doc_id.cast("bigint") == F.col("_first"), "left_semi")
+    """The rows of ``docs`` that have the smallest id of their component, and those without an id."""
+    first = components.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_lexmill_first")).distinct()
+    return docs.join(first, docs.doc_id.cast("bigint") == F.col("_lexmill_first"), "left_semi").unionByName(docs.filter(docs.doc_id.isNull()))

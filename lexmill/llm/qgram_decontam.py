@@ -188,5 +188,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float =
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = found.select(F.col("doc_id").alias("_lexmill_bad")).distinct()
+    return docs.join(bad, docs.doc_id.cast("bigint").eqNullSafe(F.col("_lexmill_bad")), "left_anti")

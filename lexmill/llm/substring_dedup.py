@@ -110,9 +110,9 @@ def _chunk(width: int, n_buckets: int):
             return out
 
         for batch in batches:
-            others = batch.select([c for c in batch.schema.names if c not in ("_id", "_text")])
+            others = batch.select([c for c in batch.schema.names if c not in ("_lexmill_id", "_lexmill_text")])
             at = 0
-            for row, (doc_id, text) in enumerate(zip(batch.column("_id").to_pylist(), batch.column("_text"))):
+            for row, (doc_id, text) in enumerate(zip(batch.column("_lexmill_id").to_pylist(), batch.column("_lexmill_text"))):
                 text = text.as_py()
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 texts.append(text)
@@ -323,7 +323,7 @@ def _finish(width: int, columns: list[str] | None = None):
                 table = pa.ipc.open_stream(others).read_all() if others else None
                 out = [pa.array(texts, pa.string()) if c == "text" else table.column(c).combine_chunks() for c in columns]
                 keep = pa.array([not r or t != "" for r, t in zip(removed, texts)])
-                yield pa.RecordBatch.from_arrays([*out, pa.array(removed, pa.int64())], names=[*columns, "_removed"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([*out, pa.array(removed, pa.int64())], names=[*columns, "_lexmill_removed"]).filter(keep)
 
     return run
 
@@ -353,7 +353,7 @@ def _judged(docs: DataFrame, width: int, shards: int | None, carried: list[str])
     """Chunks with everything that ``_finish`` needs; ``carried`` columns travel along."""
     spark = docs.sparkSession
     shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"), *carried)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_lexmill_id"), F.col("text").alias("_lexmill_text"), *carried)
     chunks = cut(rows.mapInArrow(_chunk(width, shards), _CHUNKS))
     skip = _repeated_documents(chunks)
     pieces = _pieces(chunks, skip, width, shards)
@@ -375,10 +375,10 @@ def with_kept_text(docs: DataFrame, width: int = 20, shards: int | None = None)
     """``docs`` with the kept text in place of those that lost words, and without those that lost all.
 
     Texts that lose nothing stay as they are, white space included; ``n_chars`` follows a changed text."""
-    schema = StructType([*docs.schema.fields, StructField("_removed", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("_lexmill_removed", LongType())])
     out = _judged(docs, width, shards, [c for c in docs.columns if c != "text"]).mapInArrow(_finish(width, docs.columns), schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_lexmill_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
