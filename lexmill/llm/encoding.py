@@ -18,6 +18,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from lexmill.llm.memory import claim
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words and pieces kept per worker.  Those beyond it are encoded anew in each batch; the result is the same.
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 200_000
@@ -186,10 +188,20 @@ class Encoder:
         return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def _forget() -> None:
+    _encoder.cache_clear()
+    _powers.cache_clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process, so that its memory of words outlives a task."""
-    return Encoder(path)
+    claim("encoder", _forget)
+    return _encoder(path)
 
 
 def encode_with_end(enc: Encoder, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import words
+from lexmill.llm.memory import claim
 
 WORD_BUCKETS = 1 << 17
 BINS = 16
@@ -67,6 +68,7 @@ def statistics(text: str, ws: list[str], recorded: float) -> np.ndarray:
 
 def vector(text: str | None, recorded: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features of one document: distinct indexes and their values."""
+    claim("word buckets", _CACHE.clear)
     text = text or ""
     ws = words(text)
     keys, counts = np.unique(np.fromiter(map(_bucket, ws), np.int64, len(ws)), return_counts=True)

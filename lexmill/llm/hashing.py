@@ -7,6 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
+from lexmill.llm.memory import claim, trim
+
 #: Hashes kept per worker; beyond it words are hashed anew each time.
 CACHE_WORDS = 200_000
 _CACHE: dict[bytes, bytes] = {}
@@ -30,6 +32,7 @@ def _hash(word: bytes) -> bytes:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word."""
+    claim("word hashes", _CACHE.clear)
     out = list(map(_CACHE.get, words))
     at = -1
     for _ in range(out.count(None)):
@@ -89,5 +92,7 @@ def by_run(batches, key: str, handle: Callable):
             last = keys[a]
     if held:
         out = handle(pa.Table.from_batches(held))
+        held = []
         if out is not None:
             yield out
+    trim()
