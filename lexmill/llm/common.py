@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more.
 
     Spark does so when the driver's JVM happens to collect its garbage, which a small driver heap seldom does
-    before the next large shuffle is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before the next large shuffle is written.  The plans behind what Python lets go in one round become garbage
+    in the next, so there are two."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
