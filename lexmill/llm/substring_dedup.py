@@ -202,7 +202,9 @@ def _cut_stretches(width: int, n_buckets: int):
                     own = lead[a:b]
                     vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]) >> np.uint64(16), return_inverse=True)
                     small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
-                    rows.append((int(bucket[own[0]]), pack((np.ascontiguousarray(vocabulary.view(np.uint8).reshape(-1, 8)[:, :6]), codes.astype(small), (last[own] - first[own] + width).astype(np.uint16 if width < 1 << 14 else np.uint32), id_of[own], first[own].astype(np.int32)))))
+                    lengths = last[own] - first[own] + width  # without bound: a periodic text is one stretch
+                    lengths = lengths.astype(np.uint16 if lengths.max() < 1 << 16 else np.uint32)
+                    rows.append((int(bucket[own[0]]), pack((np.ascontiguousarray(vocabulary.view(np.uint8).reshape(-1, 8)[:, :6]), codes.astype(small), lengths, id_of[own], first[own].astype(np.int32)))))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "blob"])
 
     return run

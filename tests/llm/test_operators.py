@@ -264,6 +264,16 @@ def test_substring_dedup(docs, empty, width):
     assert substring_dedup.remove_repeats(empty, width).count() == 0
 
 
+def test_long_periodic_texts(spark):
+    """A text that repeats a line is one stretch of any length, beside other repeats of the same shard."""
+    rng = random.Random(5)
+    line, passage = "one two three four five six seven eight nine ten ", prose(rng, 40)
+    texts = [prose(rng, 50) + " " + passage, line * 7000 + passage, "la " * 70_000, passage + " " + prose(rng, 50), prose(rng, 200), line * 3, "la " * 30 + prose(rng, 30)]
+    rows = [(i, t, "en", "s", len(t), "") for i, t in enumerate(texts)]
+    found = substring_dedup.digest(substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(2), 20, shards=1))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()} == brute_repeats(rows, 20)
+
+
 def test_kept_text(docs):
     got = {r.doc_id: r for r in substring_dedup.with_kept_text(docs).collect()}
     want = brute_repeats(corpus(), 20)
