@@ -1,15 +1,15 @@
 """Main text of web pages by differencing each page with its nearest page by URL.
 
 A page is cut into text lines, one for each block.  Within a host, pages are sorted by URL path and each is
-paired with the neighbour that shares the longest path prefix.  The lines of both are aligned by longest
+paired with the neighbour that shares the longest path prefix.  Pages in a row with the same lines count as one
+there, whatever their number, so all of them have the same partner and result.  The lines of both are aligned by longest
 common subsequence and the shared ones are deleted: what two pages of a site have in common is its frame.
 Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
 elements and go as well; where a page marks its article, only the article's lines stay, and those are never
-deleted, since two copies of an article would otherwise delete each other.  For the same reason a partner
-with the very same lines deletes nothing.
+deleted, since two copies of an article would otherwise delete each other.
 
-Pages are dealt out by ranges of (host, path), so a host of any size spreads over tasks; the two outermost
-pages of each range are known to all tasks, so that pairs do not depend on the ranges.
+Pages are dealt out by ranges of (host, path), so a host of any size spreads over tasks; the outermost runs
+of equal pages of each range are known to all tasks, so that pairs do not depend on the ranges.
 
 Null or empty html gives the empty text; a null or unparsable url is a host and path of its own, the empty
 one; repeated rows count once in pairing and each get their text; other columns are ignored.
@@ -17,6 +17,7 @@ one; repeated rows count once in pairing and each get their text; other columns
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 import zlib
@@ -187,16 +188,40 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a range."""
-    head, tail = None, None
+_NEAR = 2  # runs on each side that a page looks at; the second one serves where the first lies on no or an equal side
+
+
+def _runs(rows: Iterator[tuple]) -> Iterator[list]:
+    """Pages in a row with one host and the same lines: [host, lines, first path, last path, keys]."""
+    run = None
+    for key, host, path, lines in rows:
+        if run is not None and run[0] == host and run[1] == lines:
+            run[3] = path
+            run[4].append(key)
+            continue
+        if run is not None:
+            yield run
+        run = [host, lines, path, path, [key]]
+    if run is not None:
+        yield run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        head = t.slice(0, 1) if head is None else head
-        tail = t.slice(max(0, len(t) - 1)) if len(t) else tail
-    if head is not None and len(head):
-        part = pa.array([TaskContext.get().partitionId()] * 2, pa.int32())
-        yield pa.concat_tables([head, tail]).combine_chunks().add_column(0, "part", part).to_batches()[0]
+        yield from zip(*(batch.column(n).to_pylist() for n in ("key", "host", "path", "lines")))
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The outermost runs of a range; one more than are looked at, since the outermost may go on in the next range."""
+    n = _NEAR + 1
+    head: list[list] = []
+    tail: collections.deque = collections.deque(maxlen=n)
+    for at, run in enumerate(_runs(_rows(batches))):
+        (head if at < n else tail).append([at, *run[:4]])
+    if head:
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string()]
+        rows = [[TaskContext.get().partitionId(), *r] for r in [*head, *tail]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "at", "host", "lines", "first", "last"])
 
 
 def _common(a: str, b: str) -> int:
@@ -209,44 +234,77 @@ def _common(a: str, b: str) -> int:
 
 
 def _pair(edges: list[tuple]):
-    """edges: (part, key, host, path, lines), first and last of each range, in order."""
+    """edges: (part, at, host, lines, first, last), outermost runs of each range, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        before = next((e[1:] for e in reversed(edges) if e[0] < part), None)
-        after = next((e[1:] for e in edges if e[0] > part), None)
+        own = [list(e[2:]) for e in edges if e[0] == part]
+        before = _joined([list(e[2:]) for e in edges if e[0] < part])
+        after = _joined([list(e[2:]) for e in edges if e[0] > part])
+        if own and before and before[-1][:2] == own[0][:2]:  # a run begins in an earlier range
+            start = before.pop()[2]
+        else:
+            start = None
+        if own and after and after[0][:2] == own[-1][:2]:  # or goes on in a later one
+            stop = after.pop(0)[3]
+        else:
+            stop = None
+        seen: collections.deque = collections.deque([None] * _NEAR + [[*r, []] for r in before[-_NEAR:]], maxlen=2 * _NEAR + 1)
+        done: list[tuple] = []
 
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(n).to_pylist() for n in ("key", "host", "path", "lines")))
+        def judge(k: int) -> None:
+            host, lines, first, last, keys = seen[k]
+            near = []  # the nearer side first, on a tie the earlier one
+            for step in range(1, _NEAR + 1):
+                for j, path in ((k - step, first), (k + step, last)):
+                    x = seen[j] if 0 <= j < len(seen) else None
+                    if x is not None and x[0] == host and x[1] != lines:
+                        near.append((_common(path, x[3] if j < k else x[2]), x[1]))
+            gone = sorted(shared_lines(lines, max(near, key=lambda n: n[0])[1])) if near else []
+            done.extend((key, gone) for key in keys)
+
+        def emit(least: int) -> Iterator[pa.RecordBatch]:
+            while len(done) >= least:
+                some = done[:5000]
+                del done[:5000]
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in some], pa.int64()), pa.array([d[1] for d in some], pa.list_(pa.int32()))], names=["of_key", "shared"])
+
+        def ordered() -> Iterator[list]:
+            previous = None
+            for r in _runs(_rows(batches)):
+                if previous is None:
+                    r[2] = r[2] if start is None else start
+                else:
+                    yield previous
+                previous = r
+            if previous is not None:
+                previous[3] = previous[3] if stop is None else stop
+                yield previous
+            for r in after[:_NEAR]:
+                yield [*r, []]
+            for _ in range(_NEAR):
+                yield None
+
+        for r in ordered():
+            seen.append(r)
+            k = len(seen) - 1 - _NEAR
+            if k >= 0 and seen[k] is not None and seen[k][4]:
+                judge(k)
+            yield from emit(5000)
+        yield from emit(1)
 
-        def judge(prev, row, nxt):
-            key, host, path, lines = row
-            near = [(_common(path, x[2]), x[3]) for x in (prev, nxt) if x is not None and x[1] == host and x[3] != lines]
-            if not near or not lines:
-                return key, []
-            return key, sorted(shared_lines(lines, max(near, key=lambda n: n[0])[1]))
+    return run
 
-        done: list[tuple] = []
-        prev, row = before, None
-        for nxt in rows():
-            if row is not None:
-                done.append(judge(prev, row, nxt))
-                prev = row
-            row = nxt
-            if len(done) >= 5000:
-                yield emit(done)
-        if row is not None:
-            done.append(judge(prev, row, after))
-        if done:
-            yield emit(done)
-
-    def emit(done: list[tuple]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], names=["of_key", "shared"])
-        done.clear()
-        return out
 
-    return run
+def _joined(edges: list[list]) -> list[list]:
+    """Runs (host, lines, first, last) of which those that go on across a border are one."""
+    out: list[list] = []
+    for e in edges:
+        if out and out[-1][:2] == e[:2]:
+            out[-1][3] = e[3]
+        else:
+            out.append(list(e))
+    return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +340,10 @@ def shared_with_nearest(pages: DataFrame) -> DataFrame:
     """of_key and the positions (among its lines outside articles) that a page shares with its nearest page."""
     outlines = pages.mapInArrow(_outlines, "key bigint, host string, path string, lines array<bigint>")
     outlines = outlines.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
+    outlines = outlines.filter("size(lines) > 0")  # a page without lines shares none
     ranged = cut(outlines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key"))
-    edges = ranged.mapInArrow(_edges, "part int, key bigint, host string, path string, lines array<bigint>").collect()  # two rows for each range
-    edges = sorted((tuple(e) for e in edges), key=lambda e: e[0])
+    edges = ranged.mapInArrow(_edges, "part int, at bigint, host string, lines array<bigint>, first string, last string").collect()  # six rows for each range
+    edges = sorted((tuple(e) for e in edges), key=lambda e: e[:2])
     return ranged.mapInArrow(_pair(edges), "of_key bigint, shared array<int>")
 
 

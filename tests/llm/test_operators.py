@@ -464,3 +464,22 @@ def test_pages_lose_their_frame(spark):
         assert all(got[i] == [f"Own text {i}"] for i in range(6))
         assert got[10] == got[11] == ["T\nsame"] and got[12] == got[13] == [""] and got[14] == ["x", "x"]
     assert html_diff.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_runs_of_copies_have_one_partner(spark):
+    frame = "<body><div>Menu</div><p>{}</p><div>Legal</div></body>"
+    rows = [(i, f"http://c.org/a/{i:02}", frame.format("copied text")) for i in range(12)] + [(20, "http://c.org/b/1", frame.format("other text")), (21, "http://c.org/b/0", "")]
+    rng = random.Random(3)
+    rows += [(100 + i, f"http://h{i % 2}.org/{i // 40}/{i:03}", frame.format(rng.choice("abc")) + rng.choice(["", "<p>more"])) for i in range(80)]
+    results = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found = html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+            results.append({r.page_id: r.text for r in found.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert results[0] == results[1]
+    assert {i: t for i, t in results[0].items() if i < 100} == {i: "copied text" for i in range(12)} | {20: "other text", 21: ""}
