@@ -41,28 +41,46 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object canvas audio video".split())
 FRAME = frozenset("nav header footer aside form menu dialog button select search head".split())
 ARTICLE = frozenset("article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 _CLUTTER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|newsletter|subscribe\w*|popup|modal|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|header|masthead|comments?|commentlist|replies|respond|disqus\w*|share|sharing|social\w*|"
-    r"related|recommend\w*|widgets?|toolbar|pagination|pager|complementary|contentinfo|navigation|search)(?:$|[\s_-])",
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|notices?|newsletter|subscribe\w*|popup|modal|"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footer|header|masthead|comments?|commentlist|replies|respond|disqus\w*|share|sharing|social\w*|"
+    r"related|recommend\w*|widgets?|toolbar|pagination|pager|complementary|contentinfo|search",
+    re.I,
+)
+#: Words that may stand beside one of those in a name that still is the element's own, unlike has-sidebar or entry-header.
+_BESIDE = re.compile(
+    r"site|page|main|global|primary|secondary|top|bottom|left|right|mobile|desktop|sub|mega|sticky|fixed|floating|user|reader|blog|"
+    r"area|bars?|box|block|section|container|wrap|wrapper|inner|outer|panel|list|links?|items?|buttons?|icons?|form|input|results?|"
+    r"media|policy|law|slot|unit|space|signup|posts|articles|stories|thread|trail|toggle|you|me|us|of|the|for|and|\d*",
     re.I,
 )
 _SPACE = re.compile(r"\s+")
 
 
+def _is_clutter(said: list[tuple[str, str]]) -> bool:
+    """Whether a whole class, id, role or label names an element that is no main text."""
+    for kind, value in said:
+        for token in [value] if kind == "aria-label" else value.split():
+            parts = re.split(r"[\s_-]+", token.strip())
+            if any(_CLUTTER.fullmatch(x) for x in parts) and all(_CLUTTER.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts):
+                return True
+    return False
+
+
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The text lines of a page and what each is: 0 part of a frame element, 1 open text, 2 article."""
     if not page:
         return []
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is a frame, is an article
+    found: list[tuple[str, bool, tuple[int, ...], bool]] = []  # line, in a frame element, in which elements named so, in an article
+    stack: list[tuple[str, bool, int, bool]] = []  # name, is a frame, number of an element named like one, is an article
+    named, cleared = 0, set()  # elements named like frames; those of them that hold an article
     text: list[str] = []
     at, end = 0, len(page)
 
@@ -71,8 +89,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if line:
-                frame = any(s[1] for s in stack)
-                out.append((line, 0 if frame else 2 if any(s[2] for s in stack) else 1))
+                found.append((line, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), any(s[3] for s in stack)))
 
     while at < end:
         tag = page.find("<", at)
@@ -116,12 +133,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                     break
         if name in VOID or m[3].endswith("/"):
             continue
-        said = " ".join(a or b or c for a, b, c in _NAME.findall(m[3])) if m[3] else ""
-        in_article = any(s[2] for s in stack)
-        frame = name in FRAME and not (name == "header" and in_article) or bool(said and name not in ("html", "body") and _CLUTTER.search(said)) or bool(m[3] and _HIDDEN.search(m[3]))
-        stack.append((name, frame, name in ARTICLE or "articlebody" in said.lower() or said.lower() == "main"))
+        said = [(k.lower(), a or b or c) for k, a, b, c in _NAME.findall(m[3])] if m[3] else []
+        in_article = any(s[3] for s in stack)
+        article = name in ARTICLE or any("articlebody" in v.lower() or v.lower() == "main" for _, v in said)
+        heading = name == "header" and in_article
+        frame = name in FRAME and not heading or bool(m[3] and _HIDDEN.search(m[3]))
+        own = 0
+        if said and not (article or heading or name in ("html", "body")) and _is_clutter(said):
+            named += 1
+            own = named
+        if article:  # what holds an article is no frame, whatever its name
+            cleared.update(s[2] for s in stack)
+        stack.append((name, frame, own, article))
     flush()
-    return out
+    return [(line, 0 if frame or not cleared.issuperset(names) else 2 if marked else 1) for line, frame, names, marked in found]
 
 
 def address(url: str | None) -> tuple[str, str]:

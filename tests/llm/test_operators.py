@@ -438,6 +438,21 @@ def test_blocks():
     assert html_diff.blocks(None) == [] and html_diff.blocks("") == [] and [x for x, _ in html_diff.blocks("a < b <p>c<")] == ["a < b", "c<"]
 
 
+def test_names_of_elements():
+    def kinds(page):
+        return {x: k for x, k in html_diff.blocks(page)}
+
+    for name in ("has-sidebar", "post share-enabled", "layout_with_menu", "entry-header", "content no-sidebar"):
+        assert kinds(f"<div class='{name}'><p>x</div>") == {"x": 1}
+        assert kinds(f"<main class='{name}'><p>x</main>") == {"x": 2}
+    for name in ("sidebar", "post site-footer", "main_nav", "comments", "cookie-notice", "share-buttons", "ad-slot"):
+        assert kinds(f"<div class='{name}'><p>x</div>") == {"x": 0}
+        assert kinds(f"<article id='{name}'><p>x</article>") == {"x": 2}
+        assert kinds(f"<div class='{name}'><p>w<div><article>x</article></div>y</div><div class='{name}'>z</div>") == {"w": 1, "x": 2, "y": 1, "z": 0}
+    assert kinds("<article><header class='header entry-header'><h1>Head</h1></header>x<div class='related'>y</div></article>") == {"Head": 2, "x": 2, "y": 0}
+    assert kinds("<article><p>so <math><mi>a</mi><mo>=</mo><annotation>\\a=b</annotation><mi>b</mi></math> holds</article>") == {"so a=b holds": 2}
+
+
 def test_shared_lines():
     rng = random.Random(5)
     for _ in range(200):
