@@ -5,8 +5,9 @@ paired with the neighbour that shares the longest path prefix.  Pages in a row w
 there, whatever their number, so all of them have the same partner and result.  The lines of both are aligned by longest
 common subsequence and the shared ones are deleted: what two pages of a site have in common is its frame.
 Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
-elements and go as well; where a page marks its article, only the article's lines stay, and those are never
-deleted, since two copies of an article would otherwise delete each other.
+elements and go as well, before lines are compared, so copies under other adverts are equal too.  Where a page
+marks its article, a line of it goes if a second page, different from both, shares it too, unless what would
+go is more than half of the article: then the pages are versions of it and would delete each other.
 
 Pages are dealt out by ranges of (host, path), so a host of any size spreads over tasks; the outermost runs
 of equal pages of each range are known to all tasks, so that pairs do not depend on the ranges.
@@ -202,14 +203,14 @@ def _lengths(a: list[int], b: list[int]) -> np.ndarray:
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Address and hashes of the lines outside articles."""
+    """Address and hashes of the lines that are no part of a frame element."""
     for batch in batches:
         hosts, paths, hashes = [], [], []
         for url, page in zip(batch.column("url"), batch.column("html")):
             host, path = address(url.as_py())
             hosts.append(host)
             paths.append(path)
-            hashes.append([_hash(line) for line, kind in blocks(page.as_py()) if kind < 2])
+            hashes.append([_hash(line) for line, kind in blocks(page.as_py()) if kind])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
 
@@ -285,14 +286,17 @@ def _pair(edges: list[tuple]):
                     x = seen[j] if 0 <= j < len(seen) else None
                     if x is not None and x[0] == host and x[1] != lines:
                         near.append((_common(path, x[3] if j < k else x[2]), x[1]))
-            gone = sorted(shared_lines(lines, max(near, key=lambda n: n[0])[1])) if near else []
-            done.extend((key, gone) for key in keys)
+            near.sort(key=lambda n: -n[0])
+            gone = shared_lines(lines, near[0][1]) if near else set()
+            other = next((x for _, x in near if x != near[0][1]), None)
+            both = gone & shared_lines(lines, other) if gone and other is not None else set()
+            done.extend((key, sorted(gone), sorted(both)) for key in keys)
 
         def emit(least: int) -> Iterator[pa.RecordBatch]:
             while len(done) >= least:
                 some = done[:5000]
                 del done[:5000]
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in some], pa.int64()), pa.array([d[1] for d in some], pa.list_(pa.int32()))], names=["of_key", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in some], pa.int64()), *(pa.array([d[k] for d in some], pa.list_(pa.int32())) for k in (1, 2))], names=["of_key", "shared", "twice"])
 
         def ordered() -> Iterator[list]:
             previous = None
@@ -342,34 +346,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("key"), pa.array(packed, pa.binary())], names=["page_id", "url", "key", "packed"])
 
 
+def remaining(lines: list[tuple[str, int]], shared: set[int], twice: set[int]) -> list[str]:
+    """The main text of a page, of which the lines in ``shared`` (counted without those of frame elements) are
+    also in its nearest page, and those in ``twice`` in a second one too."""
+    lines = [x for x in lines if x[1]]
+    size = sum(len(line) for line, kind in lines if kind == 2)
+    repeated = {k for k in twice if lines[k][1] == 2}
+    if 2 * sum(len(lines[k][0]) for k in repeated) > size:  # versions of one article rather than a template in it
+        repeated = set()
+    return [line for k, (line, kind) in enumerate(lines) if k not in (repeated if kind == 2 else shared)]
+
+
 @F.pandas_udf(StringType())
-def _article(packed: pd.Series, shared: pd.Series) -> pd.Series:
+def _article(packed: pd.Series, shared: pd.Series, twice: pd.Series) -> pd.Series:
     out = []
-    for p, gone in zip(packed, shared):
+    for p, *gone in zip(packed, shared, twice):
         lines = [(x[1:], int(x[0])) for x in zlib.decompress(p).decode().split("\n")] if p else []
-        gone, outside, left = set(() if gone is None else (int(g) for g in gone)), 0, []
-        for line, kind in lines:
-            if kind < 2:
-                if outside not in gone and kind:
-                    left.append((line, kind))
-                outside += 1
-            else:
-                left.append((line, kind))
-        if any(kind == 2 for _, kind in left):
-            left = [x for x in left if x[1] == 2]
-        out.append("\n".join(line for line, _ in left))
+        out.append("\n".join(remaining(lines, *(set() if g is None else {int(k) for k in g} for g in gone))))
     return pd.Series(out, dtype=object)
 
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """of_key and the positions (among its lines outside articles) that a page shares with its nearest page."""
+    """of_key and the positions (among its lines outside frame elements) that a page shares with its nearest page,
+    and those of them that it shares with a second page as well, which differs from both."""
     outlines = pages.mapInArrow(_outlines, "key bigint, host string, path string, lines array<bigint>")
     outlines = outlines.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
     outlines = outlines.filter("size(lines) > 0")  # a page without lines shares none
     ranged = cut(outlines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key"))
     edges = ranged.mapInArrow(_edges, "part int, at bigint, host string, lines array<bigint>, first string, last string").collect()  # six rows for each range
     edges = sorted((tuple(e) for e in edges), key=lambda e: e[:2])
-    return ranged.mapInArrow(_pair(edges), "of_key bigint, shared array<int>")
+    return ranged.mapInArrow(_pair(edges), "of_key bigint, shared array<int>, twice array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -378,4 +384,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     shared = shared_with_nearest(pages)
     packed = pages.mapInArrow(_pack, "page_id bigint, url string, key bigint, packed binary")
     joined = packed.join(shared, F.col("key") == F.col("of_key"), "left")
-    return joined.select("page_id", "url", _article("packed", "shared").alias("text"))
+    return joined.select("page_id", "url", _article("packed", "shared", "twice").alias("text"))

@@ -498,3 +498,15 @@ def test_runs_of_copies_have_one_partner(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert results[0] == results[1]
     assert {i: t for i, t in results[0].items() if i < 100} == {i: "copied text" for i in range(12)} | {20: "other text", 21: ""}
+
+
+def test_differencing_acts_on_articles(spark):
+    page = "<body><div>Menu</div><article><h1>Title {0}</h1><p>Body of page {0}, which is longer than its template</p><p>Share this page</p></article></body>"
+    teasers = "<body><div>Menu</div><article>Teaser {0}</article><div>The plain body of {0}</div></body>"
+    rows = [(i, f"http://t.org/a/{i}", page.format(i)) for i in range(4)] + [(10 + i, f"http://u.org/a/{i}", teasers.format(i)) for i in range(3)]
+    version = "<body><article><h1>News</h1><p>The same long story on each of these pages</p><p>version {}</p></article></body>"
+    rows += [(20 + i, f"http://v.org/a/{i}", version.format(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\nBody of page {i}, which is longer than its template" for i in range(4)]
+    assert [got[10 + i] for i in range(3)] == [f"Teaser {i}\nThe plain body of {i}" for i in range(3)]
+    assert [got[20 + i] for i in range(4)] == [f"News\nThe same long story on each of these pages\nversion {i}" for i in range(4)]
