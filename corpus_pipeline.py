@@ -38,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship(spark)
-    return qgram_decontam.without_leaks(docs, qgram_decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return qgram_decontam.without_leaks(docs, qgram_decontam.leaks(docs, table(spark, sf_dir, "benchmark"), passage=qgram_decontam.PASSAGE))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Two texts of which one aligns with ``k`` errors to a stretch of the other share
 ``length + 1 - q - k*q`` q-grams, and all of them on diagonals at most ``k`` apart.  Every document is
 streamed past an index of the benchmark's q-grams; shared q-grams are counted in overlapping diagonal bands
 for each item, bands that meet the bound for the item's error budget are kept, and a banded alignment of the
-whole item decides.  Texts are compared in lower case with each run of white space as one space; spans are
+whole item decides.  Items that occur cut off or edited are found by their pieces, searched in the same way: an
+item counts if pieces near each other cover ``passage`` of its characters.  Texts are compared in lower case with each run of white space as one space; spans are
 positions in that form.
 
 The benchmark is the stated query set: it is indexed in blocks of at most ``block_chars`` characters, each
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 Q = 12
 ERROR_RATE = 0.05
+PASSAGE, PIECE, STEP = 66, 32, 8
 BLOCK_CHARS = 4_000_000
 _MASK_BITS = 22
 MATCHES = "doc_id bigint, item_id bigint, start bigint, end bigint, errors int"
@@ -151,6 +153,49 @@ class Index:
         return out
 
 
+class Search:
+    """Whole items within their budget and, with ``passage``, items of which pieces that cover so many characters occur.
+
+    Pieces of ``PIECE`` characters begin at every ``STEP``-th one, so a stretch of n characters holds pieces that
+    cover n - 2 * (STEP - 1) at least."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, passage: int | None):
+        by_q: dict[int, list[tuple[int, str]]] = {}
+        for i, t in items:  # the bound is positive for q up to length / (budget + 1)
+            n = len(_codes(t))
+            by_q.setdefault(min(q, max(1, n // (int(rate * n) + 1))) if n >= q else q, []).append((i, t))
+        self.whole = [Index(some, k, rate) for k, some in by_q.items()]
+        self.passage, self.items, self.pieces = passage, items, None
+        if passage:
+            starts = [(k, at) for k, (_, t) in enumerate(items) if len(t) >= passage for at in sorted({*range(0, len(t) - PIECE + 1, STEP), len(t) - PIECE})]
+            self.pieces = Index([(k << 32 | at, items[k][1][at : at + PIECE]) for k, at in starts], min(q, PIECE // (int(rate * PIECE) + 1)), rate)
+
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        out = [m for index in self.whole for m in index.matches(text)]
+        if self.pieces is None:
+            return out
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for name, start, end, _ in self.pieces.matches(text):
+            found.setdefault(name >> 32, []).append((start, end, name & 0xFFFFFFFF))
+        for k, spans in found.items():
+            item, t = self.items[k]
+            whole = [(a, b) for i, a, b, _ in out if i == item]
+            groups: list[list[tuple[int, int, int]]] = []
+            for span in sorted(spans):
+                if groups and span[0] <= max(x[1] for x in groups[-1]) + len(t):
+                    groups[-1].append(span)
+                else:
+                    groups.append([span])
+            for group in groups:
+                group = [x for x in group if not any(x[0] < b and x[1] > a for a, b in whole)]
+                covered = np.zeros(len(t), bool)
+                for _, _, at in group:
+                    covered[at : at + PIECE] = True
+                if covered.sum() >= self.passage:
+                    out.append((item, group[0][0], max(x[1] for x in group), int((~covered).sum())))
+        return out
+
+
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = index.value.matches
@@ -178,11 +223,14 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, start, end and errors for every occurrence of a benchmark item in a document."""
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, passage: int | None = None) -> DataFrame:
+    """doc_id, item_id, start, end and errors for every occurrence of a benchmark item in a document.
+
+    With ``passage``, also of items that occur in part or edited, from so many characters in matching pieces on;
+    the errors of those are the characters of the item in no such piece."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = [docs.mapInArrow(_search(context.broadcast(Index(block, q, error_rate))), MATCHES) for block in _blocks(benchmark, block_chars)]
+    parts = [docs.mapInArrow(_search(context.broadcast(Search(block, q, error_rate, passage))), MATCHES) for block in _blocks(benchmark, block_chars)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], MATCHES)
 
 

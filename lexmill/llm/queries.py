@@ -24,7 +24,7 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qgram_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return qgram_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage=qgram_decontam.PASSAGE)
 
 
 def op5_hashed_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:

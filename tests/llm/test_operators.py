@@ -353,6 +353,20 @@ def test_leaks(spark, empty):
     assert qgram_decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_passages(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 35, [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"])) for k in range(6)] + [(6, "abcdefghijklmnopqrstu"), (7, "short but not so short item of its own")]
+    edited = items[2][1].split()
+    for k in (7, 15, 23, 31):
+        edited[k] = "zzzz"
+    half = items[0][1][len(items[0][1]) // 2 :]
+    texts = [prose(rng, 20) + " " + half, items[1][1][30:110], " ".join(edited), prose(rng, 10) + " " + " ".join(items[3][1].split()[1:-1]) + " " + prose(rng, 5), items[4][1][:40], "abcdefghijZlmnopqrstu", prose(rng, 200), items[5][1], items[7][1]]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in qgram_decontam.leaks(docs, bench, passage=qgram_decontam.PASSAGE).collect())
+    assert found == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 6), (7, 5), (8, 7)]
+    assert found == sorted((r.doc_id, r.item_id) for r in qgram_decontam.leaks(docs, bench, passage=qgram_decontam.PASSAGE, block_chars=300).collect())
+
+
 # ---- rules
 def test_statistics(docs):
     got = {r.doc_id: r for r in mcd_rules.statistics(docs).collect()}
