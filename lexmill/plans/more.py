@@ -115,6 +115,22 @@ def code_stems(s, d):
     return part.join(stems, "p_name", "left").select("p_partkey", F.col("p_name").alias("text"), "stem")
 
 
+@query()
+def governor_fit_pairs(s, d):
+    """How forms of any length fit the frequent words that they follow in the corpus."""
+    frequent = _uni(s, d).filter("lane = 'es' AND frequency >= 200")
+    governors = frequent.select(F.col("word").alias("governor"), F.col("frequency").cast("double").alias("mass"), F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)]).alias("p_case"))
+    asked = _bi(s, d).filter("lane = 'es'").select(F.col("w1").alias("previous"), F.col("w2").alias("word")).distinct()
+    return P.governor_fit(asked, _forms(s, d), governors).select("previous", "word", F.round("fit", 6).alias("fit"))
+
+
+@query()
+def code_stems_all(s, d):
+    """Entries of a code table with the stem of their text, from the whole table."""
+    part = table(s, d, "part")
+    return part.join(part.groupBy("p_name").agg(F.min("p_type").alias("stem")), "p_name", "left").select("p_partkey", F.col("p_name").alias("text"), "stem")
+
+
 @query("WITH r AS (SELECT p_type AS element, p_brand AS property, p_size AS specificity, p_partkey AS position, p_name AS value FROM part) SELECT element, property, max_by(value, specificity * 1000000 + position) AS value FROM r GROUP BY element, property")
 def style_rules(s, d):
     """The value of each property: the most specific rule wins, the later one on a tie."""
