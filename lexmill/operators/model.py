@@ -61,13 +61,22 @@ def lane_posterior(steps: DataFrame, by: list[str], order: str) -> DataFrame:
     return steps.groupBy(*by).agg(fold.alias("p_primary"))
 
 
-def with_scores(words: DataFrame, unigram: DataFrame, calibration: DataFrame, totals: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """``words`` (word, ...) with frequency and z in both lanes.  Calibration and totals have a row a lane."""
-    out = words
-    for name, lane in (("primary", config.primary), ("secondary", config.secondary)):
-        counts = unigram.filter(F.col("lane") == lane).select("word", F.col("frequency").alias(f"f_{name}"))
-        scale = calibration.join(totals, "lane").filter(F.col("lane") == lane).select(F.col("mu").alias(f"mu_{name}"), F.col("sigma").alias(f"sigma_{name}"), F.col("total").alias(f"n_{name}"))
-        out = out.join(counts, "word", "left").crossJoin(F.broadcast(scale))
+def _lanes(config: Config) -> tuple[tuple[str, str], ...]:
+    return ("primary", config.primary), ("secondary", config.secondary)
+
+
+def by_lane(counts: DataFrame, keys: list[str], prefix: str, config: Config = DEFAULT) -> DataFrame:
+    """``keys`` with their frequency in each lane side by side, from one scan of (lane, keys, frequency)."""
+    counts = counts.filter(F.col("lane").isin(config.primary, config.secondary))
+    return counts.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == lane, F.col("frequency"))).alias(f"{prefix}_{name}") for name, lane in _lanes(config)])
+
+
+def with_scores(words: DataFrame, unigram: DataFrame, scale: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``words`` (word, ...) with frequency and z in both lanes; ``scale`` has mu, sigma and total of each lane."""
+    of = lambda column, lane: F.max(F.when(F.col("lane") == lane, F.col(column)))
+    one = scale.agg(*[of(column, lane).alias(f"{short}_{name}") for name, lane in _lanes(config) for short, column in (("mu", "mu"), ("sigma", "sigma"), ("n", "total"))])
+    out = words.join(by_lane(unigram, ["word"], "f", config), "word", "left").crossJoin(F.broadcast(one))  # a single row
+    for name, _ in _lanes(config):
         p = add_k(F.col(f"f_{name}"), F.col(f"n_{name}"), config)
         out = out.withColumn(f"p_{name}", p).withColumn(f"z_{name}", z_score(p, F.col(f"n_{name}"), F.col(f"mu_{name}"), F.col(f"sigma_{name}"), config))
     return out
@@ -75,11 +84,10 @@ def with_scores(words: DataFrame, unigram: DataFrame, calibration: DataFrame, to
 
 def with_pair_scores(rows: DataFrame, unigram: DataFrame, bigram: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Rows of ``with_scores`` that also have ``previous``: z of the word after that word in both lanes."""
-    out = rows
-    for name, lane in (("primary", config.primary), ("secondary", config.secondary)):
-        first = unigram.filter(F.col("lane") == lane).select(F.col("word").alias("previous"), F.col("frequency").alias(f"first_{name}"))
-        pair = bigram.filter(F.col("lane") == lane).select(F.col("w1").alias("previous"), F.col("w2").alias("word"), F.col("frequency").alias(f"pair_{name}"))
-        out = out.join(first, "previous", "left").join(pair, ["previous", "word"], "left")
+    first = by_lane(unigram, ["word"], "first", config).withColumnRenamed("word", "previous")
+    pair = by_lane(bigram.withColumnsRenamed({"w1": "previous", "w2": "word"}), ["previous", "word"], "pair", config)
+    out = rows.join(first, "previous", "left").join(pair, ["previous", "word"], "left")
+    for name, _ in _lanes(config):
         p = interpolated(F.col(f"pair_{name}"), F.col(f"first_{name}"), F.col(f"p_{name}"), config)
         out = out.withColumn(f"zp_{name}", z_score(p, F.col(f"n_{name}"), F.col(f"mu_{name}"), F.col(f"sigma_{name}"), config))
     return out

@@ -9,6 +9,7 @@ from lexmill.config import DEFAULT, FIRST_LETTERS, SECOND_LETTERS
 from lexmill.operators import lexicon as L
 from lexmill.operators import model as M
 from lexmill.plans.registry import query, table
+from lexmill.sources.lexicon_tables import Lexicon, lexicon_of
 
 LANES = (DEFAULT.primary, DEFAULT.secondary)
 
@@ -52,12 +53,17 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents")
 
 
+def _stored(s: SparkSession, d: str) -> Lexicon:
+    """The lexicon of the documents, counted once in a session; all lookups read its tables."""
+    return lexicon_of(_docs(s, d), d, LANES)
+
+
 def _uni(s: SparkSession, d: str) -> DataFrame:
-    return L.unigrams(L.tokens(_docs(s, d), LANES))
+    return _stored(s, d).unigrams
 
 
 def _bi(s: SparkSession, d: str) -> DataFrame:
-    return L.bigrams(_docs(s, d), LANES)
+    return _stored(s, d).bigrams
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
@@ -71,8 +77,7 @@ def _request_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str, words: DataFrame) -> DataFrame:
-    uni = _uni(s, d)
-    return M.with_scores(words, uni, L.calibration(uni), L.totals(uni))
+    return M.with_scores(words, _uni(s, d), _stored(s, d).scale)
 
 
 def _r(column: str, name: str | None = None, digits: int = 6):
@@ -81,12 +86,24 @@ def _r(column: str, name: str | None = None, digits: int = 6):
 
 @query(f"WITH {TOK} SELECT lane, word, frequency FROM uni")
 def unigram_build(s, d):
-    return _uni(s, d).select("lane", "word", "frequency")
+    return L.unigrams(L.tokens(_docs(s, d), LANES))
 
 
 @query(f"WITH {TOK}, {BI} SELECT lane, w1, w2, frequency FROM bi")
 def bigram_build(s, d):
-    return _bi(s, d)
+    return L.bigrams(_docs(s, d), LANES)
+
+
+@query(f"WITH {TOK}, {BI} SELECT lane, word AS w1, '' AS w2, frequency FROM uni UNION ALL SELECT lane, w1, w2, frequency FROM bi")
+def lexicon_scan(s, d):
+    """Both tables of the stored lexicon, read back."""
+    singles = _uni(s, d).select("lane", F.col("word").alias("w1"), F.lit("").alias("w2"), "frequency")
+    return singles.unionByName(_bi(s, d).select("lane", "w1", "w2", "frequency"))
+
+
+@query(f"WITH {TOK}, {CAL} SELECT lane, round(mu, 6) AS mu, round(sigma, 6) AS sigma, samples, total FROM cal JOIN tot USING (lane)")
+def lexicon_scale(s, d):
+    return _stored(s, d).scale.select("lane", _r("mu"), _r("sigma"), "samples", "total")
 
 
 @query(f"WITH {TOK}, {REQ} SELECT word, lane, frequency FROM req LEFT JOIN uni USING (word)")
@@ -140,8 +157,7 @@ def lexicon_calibration(s, d):
 
 @query(f"WITH {TOK} SELECT lane, word, round(frequency / total, 9) AS relative FROM uni JOIN tot USING (lane)")
 def relative_frequency(s, d):
-    uni = _uni(s, d)
-    return uni.join(F.broadcast(L.totals(uni)), "lane").select("lane", "word", F.round(F.col("frequency") / F.col("total"), 9).alias("relative"))
+    return _uni(s, d).join(F.broadcast(_stored(s, d).scale), "lane").select("lane", "word", F.round(F.col("frequency") / F.col("total"), 9).alias("relative"))
 
 
 @query(
@@ -246,7 +262,7 @@ def next_word_topk(s, d):
     """Next-word prediction: continuations of both lanes, scored by the blended model, five for each word."""
     uni, bi = _uni(s, d), _bi(s, d)
     pool = L.continuations(_requests(s, d).toDF("w1"), bi, DEFAULT.continuation_limit).select(F.col("w1").alias("previous"), "word").distinct()
-    rows = M.with_pair_scores(M.with_scores(pool, uni, L.calibration(uni), L.totals(uni)), uni, bi)
+    rows = M.with_pair_scores(_scored(s, d, pool), uni, bi)
     rows = rows.withColumn("score", M.blend(F.col("zp_primary"), F.col("zp_secondary"), F.lit(0.5))).withColumn("by", F.round("score", 9))
     ranked = M.ranked(rows.select("previous", "word", "score", "by"), ["previous"], 5, "by")
     return ranked.select("previous", "word", "rank", _r("score"), _r("confidence"))
@@ -260,7 +276,7 @@ def _completed(s: SparkSession, d: str) -> DataFrame:
     uni = _uni(s, d)
     prefixes = _requests(s, d).filter(F.length("word") >= 4).select(F.substring("word", 1, 4).alias("prefix")).distinct()
     pool = L.completions(prefixes, uni, DEFAULT.unigram_limit, length=4, scan_limit=False).select("prefix", "word").distinct()
-    rows = M.with_scores(pool, uni, L.calibration(uni), L.totals(uni))
+    rows = _scored(s, d, pool)
     return rows.withColumn("score", M.blend(F.col("z_primary"), F.col("z_secondary"), F.lit(0.5))).withColumn("by", F.round("score", 9))
 
 
