@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.shipping import ship
+from lexmill.storage import Stored, shared_dir, shared_path, shuffles_removed
+
+__all__ = ["Stored", "crc_mod", "cut", "lower_ascii", "shared_dir", "shared_path", "table", "text_buckets", "words"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -38,27 +39,24 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see, from ``spark.checkpoint.dir``.
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` computed once and kept in the shared folder, without their lineage.
 
-    It is set here only where the session leaves it unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        at = tempfile.mkdtemp(prefix="lexmill-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    What lies in the shared folder outlives lost executors, so the shuffle files behind it go at once."""
+    shared_dir(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+#: Text in bytes for each bucket of what a corpus is compared by; half of what fits well into a worker's memory.
+BUCKET_BYTES = 24 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` computed once and kept in the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def text_buckets(docs: DataFrame, column: str = "text") -> int:
+    """Buckets for comparing the texts of ``docs``: as many as their size asks for, and the session's number of
+    shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(column).cast("bigint")).alias("n")).first()["n"] or 0
+    return max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def release(spark: SparkSession) -> None:
