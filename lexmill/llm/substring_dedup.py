@@ -11,9 +11,14 @@ distinct and aggregated first (each stretch once, with its earliest place), and
 at most.  So a passage that all documents share reaches a shard once for each chunk.  Documents of the very
 same words are one class: all but the smallest id repeat it from the first word on.
 
-Null or empty texts have no words and lose none; a null doc_id counts as the smallest; rows that repeat a
-doc_id and its text get the same result, and rows that repeat a doc_id with other texts are compared as one
-document would be; other columns are ignored; an empty table gives no rows.
+Words are compared by 64-bit hashes, stretches by 64-bit names of these; the number of shards follows the size
+of the texts, so that a shard holds what about ``common.BUCKET_BYTES`` of text have in common with others.
+
+Null or empty texts have no words and lose none; texts of any length are taken whole, periodic ones too; a null
+doc_id counts as the smallest; rows that repeat a doc_id and its text get the same result, and rows that repeat
+a doc_id with other texts are compared as one document would be; ties fall to the smaller doc_id, then to the
+earlier start; other columns are ignored whatever their names, or travel along unchanged
+(``with_kept_text``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexmill.llm.common import cut, release
+from lexmill.llm.common import cut, text_buckets
 from lexmill.llm.fm_index import FMIndex
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
 from lexmill.llm.packed import pack, unpack
+from lexmill.shipping import ship
 
 GRAM = 8
-CHUNK_DOCS, CHUNK_BYTES = 8000, 16 << 20
+CHUNK_DOCS, CHUNK_BYTES = 8000, 12 << 20
 NULL_ID = -(1 << 63)
 _CHUNKS = "chunk bigint, ids array<bigint>, n_words array<int>, sig1 array<bigint>, sig2 array<bigint>, payload binary, minimizers array<binary>"
 
@@ -200,11 +206,11 @@ def _cut_stretches(width: int, n_buckets: int):
                 bounds = np.flatnonzero(np.concatenate([[True], bucket[lead][1:] != bucket[lead][:-1], [True]]))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     own = lead[a:b]
-                    vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]) >> np.uint64(16), return_inverse=True)
+                    vocabulary, codes = np.unique(np.concatenate([content[k] for k in own]), return_inverse=True)
                     small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
                     lengths = last[own] - first[own] + width  # without bound: a periodic text is one stretch
                     lengths = lengths.astype(np.uint16 if lengths.max() < 1 << 16 else np.uint32)
-                    rows.append((int(bucket[own[0]]), pack((np.ascontiguousarray(vocabulary.view(np.uint8).reshape(-1, 8)[:, :6]), codes.astype(small), lengths, id_of[own], first[own].astype(np.int32)))))
+                    rows.append((int(bucket[own[0]]), pack((vocabulary, codes.astype(small), lengths, id_of[own], first[own].astype(np.int32)))))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "blob"])
 
     return run
@@ -235,9 +241,8 @@ def _search_shard(width: int):
 
     def shard(table: pa.Table) -> pa.RecordBatch:
         parts = [unpack(b) for b in table.column("blob").to_pylist()]
-        own_words = [np.ascontiguousarray(np.pad(p[0], ((0, 0), (0, 2)))).view(np.uint64)[:, 0] for p in parts]  # 48 bits of each hash
-        vocabulary = np.unique(np.concatenate(own_words))
-        words = np.concatenate([np.searchsorted(vocabulary, w)[p[1]] for w, p in zip(own_words, parts)]).astype(np.int64) + 1
+        vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
+        words = np.concatenate([np.searchsorted(vocabulary, p[0])[p[1]] for p in parts]).astype(np.int64) + 1
         lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
         id_of, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
         ends = np.cumsum(lengths)
@@ -333,7 +338,8 @@ def _finish(width: int, columns: list[str] | None = None):
 def _repeated_documents(chunks: DataFrame) -> DataFrame:
     """of_skip and the positions of documents that repeat all words of one with a smaller id."""
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "n_words", "sig1", "sig2")).alias("at", "r")).select("chunk", "at", "r.*").filter("n_words > 0")
-    least = rows.groupBy("sig1", "sig2", "n_words").agg(F.min("ids").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a table of its own, so that AQE can split the rows of large groups of copies in the join
+    least = cut(rows.groupBy("sig1", "sig2", "n_words").agg(F.min("ids").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     skip = rows.join(least, ["sig1", "sig2", "n_words"]).filter("ids > first_id").groupBy("chunk").agg(F.collect_list("at").alias("skip"))
     return cut(skip.withColumnRenamed("chunk", "of_skip"))
 
@@ -353,15 +359,15 @@ def _pieces(chunks: DataFrame, skip: DataFrame, width: int, shards: int) -> Data
 
 def _judged(docs: DataFrame, width: int, shards: int | None, carried: list[str]) -> DataFrame:
     """Chunks with everything that ``_finish`` needs; ``carried`` columns travel along."""
-    spark = docs.sparkSession
-    shards = shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(docs.sparkSession)
+    shards = shards or text_buckets(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_lexmill_id"), F.col("text").alias("_lexmill_text"), *carried)
     chunks = cut(rows.mapInArrow(_chunk(width, shards), _CHUNKS))
     skip = _repeated_documents(chunks)
     pieces = _pieces(chunks, skip, width, shards)
-    release(spark)
     to_shards = pieces.filter("bucket >= 0").repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
-    answers = to_shards.mapInArrow(_search_shard(width), "of_chunk bigint, bucket int, answer binary")
+    # a table of its own, so that what was dealt out to the shards goes before the chunks meet their answers
+    answers = cut(to_shards.mapInArrow(_search_shard(width), "of_chunk bigint, bucket int, answer binary"))
     answers = answers.groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     places = pieces.filter("bucket < 0").select(F.col("chunk").alias("of_chunk"), F.col("blob").alias("places"))
     found = places.join(answers, "of_chunk")
