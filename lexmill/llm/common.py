@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +55,3 @@ def text_buckets(docs: DataFrame, column: str = "text") -> int:
     shuffle partitions at least."""
     size = docs.agg(F.sum(F.octet_length(column).cast("bigint")).alias("n")).first()["n"] or 0
     return max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
-
-    Spark does so when the driver's JVM happens to collect its garbage, which a small driver heap seldom does
-    before the next large shuffle is written.  The plans behind what Python lets go in one round become garbage
-    in the next, so there are two."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

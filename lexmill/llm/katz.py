@@ -1,20 +1,29 @@
-"""Katz backoff language model: Good-Turing discounted counts with exactly normalised backoff weights.
-
-A text is its words (A-Z in lower case) and one end token.  Seen pairs get ``d(c) * c(u,v) / c(u)``; what the
-discounts leave of a context goes to the words not seen after it, in proportion to their own probability, by
-the weight ``alpha(u) = (1 - sum seen P(v|u)) / (1 - sum seen P(v))``; single words are discounted likewise and
-what is left over is the probability of the one class of unknown words.  Counts up to ``K`` are discounted by
-the Good-Turing ratio; where the counts of counts give no ratio in (0, 1], by absolute discounting.  A context
-that has only larger counts keeps one pseudo count for its unseen words, so every weight is positive.
-
-Counts live in tables partitioned by a hash.  Documents travel in chunks: a chunk asks each partition about
-its distinct words, which get numbers, then about its distinct pairs, and the answers are joined back to it by
-the chunk's number; scoring is then local and evaluates each token recursively from pair to word.  Pairs are partitioned
-by their first word, and those of frequent first words also by the second, whose sums are added up by the
-asking chunk; so no word's pairs meet in one task.
-
-Null or empty texts are the end token alone; repeated rows count and are scored each; a null doc_id is
-hashed as the empty text; other columns are ignored; an empty table gives no rows.
+"""Katz backoff language model of order 3: Good-Turing discounted counts with exactly normalised backoff weights.
+
+A text is its words (A-Z in lower case) and one end token; its first word follows a begin mark.  A seen n-gram
+gets ``d(c) * c(context, w) / c(context)``; what the discounts leave of a context goes to the words not seen
+after it, in proportion to their probability in the shorter context, by the weight
+``alpha = (1 - sum seen P(w|context)) / (1 - sum seen P(w|shorter context))``; single words are discounted
+likewise and what is left over is the probability of the one class of unknown words.  A token is evaluated
+recursively: triple, else weight times pair, else weight times single word; the first word of a text from the
+pair on.  Counts up to ``K`` are discounted by the Good-Turing ratio; where the counts of counts give no ratio
+in (0, 1], by absolute discounting.  A context that has only larger counts keeps one pseudo count for its
+unseen words, so every weight is positive.
+
+Counts live in tables partitioned by a hash of the context, a bucket for about ``common.BUCKET_BYTES`` of text.
+Documents travel in chunks.  A chunk asks each bucket about its distinct words, which get numbers, then about
+its distinct pairs, then about its distinct triples; the answers (counts, and for each context how many words
+of each count follow it) are joined back to the chunk by its number, and scoring is local.  What a shorter
+context gives to the seen words is summed up in whole numbers or known probabilities where the n-grams meet,
+so the weights are exact.  N-grams of frequent contexts are dealt out by their last word too, and the chunk
+adds up the sums of the parts; so no context's n-grams meet in one task.  Every phase leaves a table in the
+shared folder, and what a finished phase needed is removed.
+
+Words are told apart by 64-bit hashes, contexts of two words by 56 bits of a hash of their numbers.
+
+Null or empty texts are the end token alone; texts of any length are taken whole; repeated rows count and are
+scored each; ties in frequency only change numbers, not results; a null doc_id is hashed as the empty text;
+columns other than doc_id and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,16 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, release
+from lexmill.llm.common import BUCKET_BYTES, Stored, crc_mod
 from lexmill.llm.hashing import by_run, mix, split_words, word_hashes
 from lexmill.llm.packed import pack, unpack
+from lexmill.shipping import ship
 
 K = 5
 CHUNK_DOCS, CHUNK_BYTES = 4000, 8 << 20
-#: First words with more training tokens than this have their pairs dealt out by the second word too.
+#: Contexts with more training tokens than this have their n-grams dealt out by the last word too.
 HOT_TOKENS, HOT_PARTS = 200_000, 64
 END = np.uint64(0x656E64)
 _CHUNKS = "chunk bigint, payload binary, bucket int, ask binary"
+_ASKS = "chunk bigint, bucket int, ask binary"
+_ANSWERS = "of_chunk bigint, bucket int, answer binary, stats array<bigint>"
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +74,17 @@ def _slices(bucket: np.ndarray, n: int):
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of 32-bit numbers, byte by byte, which compresses small numbers well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    """The bytes of whole numbers, byte by byte and without the upper ones that are all zero: small numbers and
+    their equal bytes compress well this way."""
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = int(np.bitwise_or.reduce(x.astype(np.uint64), initial=np.uint64(0))).bit_length() + 7 >> 3
+    return np.ascontiguousarray(raw[:, :used].T)
 
 
 def _unplanes(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.T).view("<u4")[:, 0].astype(np.int64)
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : len(x)] = x.T
+    return out.view("<u8")[:, 0].astype(np.int64)
 
 
 def _ask_words(n_buckets: int, modulus: int):
@@ -122,9 +139,6 @@ def _answer(table: pa.Table, out: list[bytes], stats: list[int]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(bucket, pa.int32()), pa.array([*out, b""], pa.binary()), pa.array([None] * len(out) + [stats], pa.list_(pa.int64()))], names=["of_chunk", "bucket", "answer", "stats"])
 
 
-_ANSWERS = "of_chunk bigint, bucket int, answer binary, stats array<bigint>"
-
-
 def _count_words(n_buckets: int):
     """Training counts and numbers of a bucket's words: frequent words have small numbers, unknown ones 0."""
 
@@ -138,7 +152,7 @@ def _count_words(n_buckets: int):
         out, at = [], 0
         for p in parts:
             own = of[at : at + len(p[0])]
-            out.append(pack((total[own], number[own])))
+            out.append(pack((_planes(total[own]), _planes(number[own]))))
             at += len(p[0])
         return _answer(table, out, _counts_of_counts(total))
 
@@ -176,141 +190,204 @@ class Words:
         return np.where(count > 0, self.discounts.mass(count) * self.scale, self.unknown)
 
 
-def _join_answers(answers: list) -> dict[int, object]:
-    return {a["bucket"]: unpack(a["answer"]) for a in answers}
+def _merged(answers: list | None) -> dict[int, object]:
+    return {a["bucket"]: unpack(a["answer"]) for a in answers or []}
+
+
+class _Grams:
+    """A chunk's distinct n-grams of one order that training can have, in the order of the buckets they are
+    counted in, and the contexts they follow.
+
+    For each token ``context`` is the index of its context (the last one stands for none), ``word`` its word's
+    position and ``lower`` the training count of the shorter n-gram; for each context ``identity`` is a number
+    that all chunks agree on and ``tokens`` its training count."""
+
+    def __init__(self, context, word, number, lower, identity, tokens, held, n_buckets: int, hot_tokens: int):
+        known = tokens[context] > 0
+        self.known, self.context_of, self.n_contexts = known, context, len(tokens)
+        used = np.zeros(len(tokens), bool)
+        used[context[known]] = True
+        parts = np.where(tokens > hot_tokens, HOT_PARTS, 1) * used  # every part of a frequent context is asked for its sums
+        self.owner = np.repeat(np.arange(len(tokens)), parts)
+        begin = np.cumsum(parts) - parts
+        part = np.arange(len(self.owner)) - begin[self.owner]
+        heads = mix(mix(identity[self.owner]) + part.astype(np.uint64)) >> np.uint64(8)
+        order = np.argsort(heads)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.heads, self.owner = heads[order], self.owner[order]
+        needed = np.zeros(len(tokens), bool)
+        needed[context[known & held]] = True
+        self.wanted = needed[self.owner]
+
+        asked = np.flatnonzero(known & (lower > 0))
+        own = context[asked]
+        salt = np.where(parts[own] > 1, (mix(number[word[asked]].astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % HOT_PARTS, 0)
+        radix = len(number)
+        key, of = np.unique(rank[begin[own] + salt] * radix + word[asked], return_inverse=True)
+        self.head, self.word = key // radix, key % radix
+        self.number = number[self.word]
+        self.gram = np.full(len(context), -1)
+        self.gram[asked] = of
+        self.context, self.lower = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        self.context[of], self.lower[of] = own, lower[asked]
+        self.trained = np.bincount(of, weights=~held[asked], minlength=len(key)).astype(np.int64)
+        self.size = np.bincount(self.head, minlength=len(heads))
+        at = ((self.heads >> np.uint64(24)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        self.head_bounds = np.searchsorted(at, np.arange(n_buckets + 1))
+        self.gram_bounds = np.searchsorted(self.head, self.head_bounds)
+
+    def buckets(self):
+        """(bucket, slice of its heads, slice of its n-grams) of every bucket that is asked."""
+        for b in np.flatnonzero(np.diff(self.head_bounds)).tolist():
+            yield b, slice(*self.head_bounds[b : b + 2].tolist()), slice(*self.gram_bounds[b : b + 2].tolist())
+
+    def asks(self):
+        for b, heads, grams in self.buckets():
+            words, codes = np.unique(self.number[grams], return_inverse=True)
+            lower, of_lower = np.unique(self.lower[grams], return_inverse=True)
+            arrays = (np.diff(self.heads[heads], prepend=np.uint64(0)), self.size[heads], self.wanted[heads], np.diff(words, prepend=0), codes, lower, of_lower, self.trained[grams])
+            yield b, pack(tuple(map(_planes, arrays)))
+
+    def take(self, answers: list | None):
+        """Of each n-gram its count, and of each context how many words follow it with each count up to K, the
+        sum of larger counts, and what the shorter contexts give to the words seen after it."""
+        total, n = np.zeros(len(self.head), np.int64), self.n_contexts
+        following, below, got = np.zeros((n, K + 1)), np.zeros(n), _merged(answers)
+        for b, heads, grams in self.buckets():
+            counts, sums, shorter = got[b]
+            owner, total[grams] = self.owner[heads], _unplanes(counts)
+            np.add.at(below, owner[self.wanted[heads]], shorter)
+            for r, column in enumerate(sums):
+                at = np.flatnonzero(column := _unplanes(column))
+                np.add.at(following[:, r], owner[at], column[at])
+        return total, following, below
+
+
+def _count_grams(weight):
+    """Training counts of a bucket's n-grams, and of each context part there how many words of each count
+    follow it and the sum of ``weight`` of their shorter n-grams' counts."""
 
+    def bucket(table: pa.Table) -> pa.RecordBatch:
+        parts = [tuple(map(_unplanes, unpack(b))) for b in table.column("ask").to_pylist()]
+        heads, head_of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        size, trained = (np.concatenate([p[k] for p in parts]) for k in (1, 7))
+        word, lower = np.concatenate([np.cumsum(p[3])[p[4]] for p in parts]), np.concatenate([p[5][p[6]] for p in parts])
+        radix = int(word.max(initial=0)) + 1
+        key, gram_of = np.unique(np.repeat(head_of, size) * radix + word, return_inverse=True)
+        total = np.bincount(gram_of, weights=trained, minlength=len(key)).astype(np.int64)
+        shorter = np.zeros(len(key), np.int64)
+        shorter[gram_of] = lower
+        seen, of = total > 0, key // radix
+        sums = [np.bincount(of[total == r], minlength=len(heads)) for r in range(1, K + 1)]
+        sums.append(np.bincount(of, weights=np.where(total > K, total, 0), minlength=len(heads)).astype(np.int64))
+        below = np.bincount(of[seen], weights=weight(shorter[seen]), minlength=len(heads))
+        out, h, k = [], 0, 0
+        for p in parts:
+            own = head_of[h : h + len(p[0])]
+            out.append(pack((_planes(total[gram_of[k : k + len(p[4])]]), [_planes(s[own]) for s in sums], below[own[p[2] > 0]])))
+            h, k = h + len(p[0]), k + len(p[4])
+        return _answer(table, out, _counts_of_counts(total))
 
-class _Chunk:
-    """A chunk's tokens, its words' counts and numbers, and its distinct pairs.
+    return lambda batches: by_run(batches, "bucket", bucket)
 
-    ``context`` and ``word`` are positions in the chunk's words; the number of words stands for the begin of a
-    text, whose number is 0.  ``ask`` are the pairs of known words, the only ones that training can have."""
+
+class _Chunk:
+    """A chunk's tokens with the counts and numbers of their words."""
 
     def __init__(self, payload: bytes, answers: list, n_buckets: int, train_docs: int, hot_tokens: int):
-        self.ids, self.held, sizes, planes, bucket = unpack(payload)
-        self.sizes, self.of = sizes.astype(np.int64), _unplanes(planes)
+        self.ids, held_docs, sizes, planes, bucket = unpack(payload)
+        self.sizes, self.of, self.held_docs = sizes.astype(np.int64), _unplanes(planes), held_docs
+        self.held, self.settings = np.repeat(held_docs, self.sizes), (n_buckets, hot_tokens)
         n = len(bucket)
-        self.count, number = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
-        got = _join_answers(answers)
+        self.count, self.number = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)  # the last is the begin mark
+        got = _merged(answers)
         for b, at in _slices(bucket.astype(np.int64), n_buckets):
-            self.count[at], number[at] = got[b]
-        self.tokens_of = np.append(self.count, train_docs)
-        first = np.empty(len(self.of), np.int64)
-        first[1:] = self.of[:-1]
-        first[np.cumsum(self.sizes) - self.sizes] = n
-        key, self.pair_of = np.unique(first * (n + 1) + self.of, return_inverse=True)
-        self.context, self.word = key // (n + 1), key % (n + 1)
-        self.ask = np.flatnonzero((self.tokens_of[self.context] > 0) & (self.count[self.word] > 0))
-        hot = np.flatnonzero((self.tokens_of > hot_tokens) & (np.bincount(self.context, minlength=n + 1) > 0))
-        salt = np.where(np.isin(self.context[self.ask], hot), _bucket_of(number[self.word[self.ask]].astype(np.uint64), HOT_PARTS) + 1, 0)
-        self.number, self.head = number, number[self.context[self.ask]] * (HOT_PARTS + 1) + salt
-        # every part of a frequent context is asked for its sums, whether or not the chunk has pairs in it
-        parts = np.repeat(number[hot], HOT_PARTS) * (HOT_PARTS + 1) + np.tile(np.arange(1, HOT_PARTS + 1), len(hot))
-        owner = np.concatenate([self.context[self.ask], np.repeat(hot, HOT_PARTS)])
-        self.heads, at, self.head_of = np.unique(np.concatenate([self.head, parts]), return_index=True, return_inverse=True)
-        self.head_of, self.owner = self.head_of[: len(self.ask)], owner[at]
-        self.bucket = _bucket_of(self.heads.astype(np.uint64), n_buckets)
-
-    def by_bucket(self, n_buckets: int):
-        """(bucket, its heads, its asked pairs in the order of heads, then of the words' numbers)."""
-        number = self.number[self.word[self.ask]]
-        order = np.lexsort((number, self.head_of))
-        bounds = np.searchsorted(self.head_of[order], np.arange(len(self.heads) + 1))
-        for b, heads in _slices(self.bucket, n_buckets):
-            size = bounds[heads + 1] - bounds[heads]
-            at = np.repeat(bounds[heads] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            yield b, heads, size, order[at]
-
-
-def _smallest(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.uint8 if codes.max(initial=0) < 256 else np.uint16 if codes.max(initial=0) < 65536 else np.uint32)
-
-
-def _ask_pairs(n_buckets: int, train_docs: int, hot_tokens: int):
-    """For each bucket a chunk's distinct pairs with their training counts, and how often their words occur."""
+            self.count[at], self.number[at] = map(_unplanes, got[b])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.before = np.empty(len(self.of), np.int64)
+        self.before[1:] = self.of[:-1]
+        self.before[self.starts] = n
+        self.tokens = np.append(self.count, train_docs)
+
+    def pairs(self) -> _Grams:
+        return _Grams(self.before, self.of, self.number, self.count[self.of], self.number.astype(np.uint64), self.tokens, self.held, *self.settings)
+
+    def triples(self, pairs: _Grams, pair_total: np.ndarray) -> _Grams:
+        context = np.empty(len(self.of), np.int64)
+        context[1:] = pairs.gram[:-1]
+        context[self.starts] = -1
+        tokens = np.append(pair_total, 0)
+        identity = mix(self.number[pairs.context].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + pairs.number.astype(np.uint64)
+        return _Grams(context, self.of, self.number, tokens[pairs.gram], np.append(identity, np.uint64(0)), tokens, self.held, *self.settings)
+
 
+def _asks(chunk: int, grams: _Grams) -> Iterator[pa.RecordBatch]:
+    rows = list(grams.asks())
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "ask"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str):
+    """The values of each row; a row at a time is unpacked."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(batch.column(c)[row].as_py() for c in columns)
+
+
+def _ask_pairs(*settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, payload, answers in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist()):
-                c = _Chunk(payload.as_py(), answers, n_buckets, train_docs, hot_tokens)
-                held = np.repeat(c.held, c.sizes)
-                trained = np.bincount(c.pair_of, weights=~held, minlength=len(c.context)).astype(np.int64)
-                wanted = np.zeros(len(c.tokens_of), bool)
-                wanted[c.context[c.pair_of[held]]] = True
-                rows = []
-                for b, heads, size, pairs in c.by_bucket(n_buckets):
-                    own = c.ask[pairs]
-                    vocabulary, at, codes = np.unique(c.number[c.word[own]], return_index=True, return_inverse=True)
-                    times = c.count[c.word[own]][at] if len(own) else np.zeros(0, np.int64)
-                    rows.append((b, pack((np.diff(c.heads[heads], prepend=0), _smallest(size), wanted[c.owner[heads]], np.diff(vocabulary, prepend=0), times, _smallest(codes), _smallest(trained[own])))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "ask"])
+        for chunk, payload, answers in _rows(batches, "chunk", "payload", "answers"):
+            yield from _asks(chunk, _Chunk(payload, answers, *settings).pairs())
 
     return run
 
 
-def _count_pairs(model: Words):
-    """Total training count of every pair, and of every context part: types of each count up to K, tokens of
-    larger counts, and the sum of the single probabilities of the words seen after it."""
+def _ask_triples(*settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, payload, answers, pair_answers in _rows(batches, "chunk", "payload", "answers", "pair_answers"):
+            c = _Chunk(payload, answers, *settings)
+            pairs = c.pairs()
+            yield from _asks(chunk, c.triples(pairs, pairs.take(pair_answers)[0]))
 
-    def bucket(table: pa.Table) -> pa.RecordBatch:
-        parts = [unpack(b) for b in table.column("ask").to_pylist()]
-        heads, head_of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        size = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        word = np.concatenate([np.cumsum(p[3])[p[5]] for p in parts]).astype(np.int64)
-        occurs = np.concatenate([p[4][p[5]] for p in parts]).astype(np.int64)
-        trained = np.concatenate([p[6] for p in parts]).astype(np.int64)
-        radix = int(word.max(initial=0)) + 1
-        key, at, pair_of = np.unique(np.repeat(head_of, size) * radix + word, return_index=True, return_inverse=True)
-        total = np.bincount(pair_of, weights=trained, minlength=len(key)).astype(np.int64)
-        seen, of = total > 0, key // radix
-        types = np.stack([np.bincount(of[total == r], minlength=len(heads)) for r in range(1, K + 1)], 1)
-        big = np.bincount(of, weights=np.where(total > K, total, 0), minlength=len(heads)).astype(np.int64)
-        single = np.bincount(of[seen], weights=model.probability(occurs[at][seen]), minlength=len(heads))
-        out, h, k = [], 0, 0
-        for p in parts:
-            own = head_of[h : h + len(p[0])]
-            out.append(pack((_smallest(total[pair_of[k : k + len(p[5])]]), _smallest(types[own]), _smallest(big[own]), single[own[p[2]]])))
-            h, k = h + len(p[0]), k + len(p[5])
-        return _answer(table, out, _counts_of_counts(total))
+    return run
 
-    return lambda batches: by_run(batches, "bucket", bucket)
 
+def _backed_off(grams: _Grams, answers: list | None, discounts: Discounts, tokens: np.ndarray, shorter: np.ndarray, per: np.ndarray | None):
+    """(probability of every token, count of every n-gram, denominator of every context) from ``shorter``, the
+    tokens' probabilities in the shorter context; ``per`` divides what the shorter contexts give."""
+    total, following, below = grams.take(answers)
+    kept = following[:, :K] @ (discounts.ratio[1 : K + 1] * np.arange(1, K + 1)) + following[:, K]
+    bottom = np.where(tokens - kept > 1e-9 * np.maximum(tokens, 1), tokens, tokens + 1).astype(float)
+    left = 1 - (below if per is None else below / per)
+    alpha = (1 - kept / bottom) / np.maximum(left, 1e-15)
+    out = shorter.copy()
+    at = np.flatnonzero(grams.known)
+    own, gram = grams.context_of[at], grams.gram[at]
+    count = np.where(gram >= 0, total[gram], 0) if len(total) else np.zeros(len(at), np.int64)
+    out[at] = np.where(count > 0, discounts.mass(count) / bottom[own], alpha[own] * shorter[at])
+    return out, total, bottom
 
-def _score(n_buckets: int, model: Words, train_docs: int, hot_tokens: int, pairs: Discounts):
+
+def _score(settings: tuple, model: Words, pair_discounts: Discounts, triple_discounts: Discounts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, word_answers, pair_answers in zip(batch.column("payload"), batch.column("answers").to_pylist(), batch.column("pair_answers").to_pylist()):
-                c = _Chunk(payload.as_py(), word_answers, n_buckets, train_docs, hot_tokens)
-                n = len(c.tokens_of)
-                total, types = np.zeros(len(c.context), np.int64), np.zeros((n, K), np.int64)
-                big, single = np.zeros(n, np.int64), np.zeros(n)
-                wanted = np.zeros(n, bool)
-                wanted[c.context[c.pair_of[np.repeat(c.held, c.sizes)]]] = True
-                got = _join_answers(pair_answers or [])
-                for b, heads, _, asked in c.by_bucket(n_buckets):
-                    counts, t, g, s = got[b]
-                    total[c.ask[asked]] = counts
-                    owner = c.owner[heads]
-                    np.add.at(types, owner, t)
-                    np.add.at(big, owner, g)
-                    np.add.at(single, owner[wanted[owner]], s)
-                kept = types @ (pairs.ratio[1 : K + 1] * np.arange(1, K + 1)) + big
-                room = c.tokens_of - kept
-                bottom = np.where(room > 1e-9 * np.maximum(c.tokens_of, 1), c.tokens_of, c.tokens_of + 1).astype(float)
-                alpha = np.where(c.tokens_of > 0, (1 - kept / np.maximum(bottom, 1)) / np.maximum(1 - single, 1e-300), 1.0)
-                lower = model.probability(c.count)
-                p = np.where(total > 0, pairs.mass(total) / np.maximum(bottom[c.context], 1), alpha[c.context] * lower[c.word])
-                base = np.log10((c.count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-                starts = np.cumsum(c.sizes) - c.sizes
-                known = np.add.reduceat((c.count > 0)[c.of].astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c.ids, pa.int64()), pa.array(c.held, pa.bool_()), pa.array(c.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(c.ids), model.tokens), pa.int64()),
-                        pa.array(np.add.reduceat(base[c.of], starts), pa.float64()), pa.array(np.add.reduceat(np.log10(p)[c.pair_of], starts), pa.float64()),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for payload, answers, pair_answers, triple_answers in _rows(batches, "payload", "answers", "pair_answers", "triple_answers"):
+            c = _Chunk(payload, answers, *settings)
+            single = model.probability(c.count)[c.of]
+            pairs = c.pairs()
+            double, pair_total, bottom = _backed_off(pairs, pair_answers, pair_discounts, c.tokens, single, None)
+            triples = c.triples(pairs, pair_total)
+            # a pair (v, w) was counted in d(c(v, w)) * c(v, w) there; its probability has v's denominator below it
+            per = np.append(bottom[pairs.word], 1.0)
+            final, _, _ = _backed_off(triples, triple_answers, triple_discounts, np.append(pair_total, 0), double, per)
+            base = np.log10((c.count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c.ids, pa.int64()), pa.array(c.held_docs, pa.bool_()), pa.array(c.sizes, pa.int64()), pa.array(np.add.reduceat((c.count > 0)[c.of].astype(np.int64), c.starts), pa.int64()),
+                    pa.array(np.full(len(c.ids), model.tokens), pa.int64()), pa.array(np.add.reduceat(base[c.of], c.starts), pa.float64()), pa.array(np.add.reduceat(np.log10(final), c.starts), pa.float64()),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
@@ -322,29 +399,40 @@ def _summed(answers: DataFrame) -> list[int]:
     return [int(found.get(k, 0)) for k in range(K + 4)]
 
 
-def _exchange(asks: DataFrame, n: int, count) -> DataFrame:
-    """The asks (chunk, bucket, ask) brought together by bucket and answered; their shuffle files go afterwards."""
-    answers = cut(asks.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(count, _ANSWERS))
-    release(asks.sparkSession)
-    return answers
+def _exchange(asks: DataFrame, n: int, count, name: str) -> Stored:
+    """The asks (chunk, bucket, ask) brought together by bucket, and a table of the answers."""
+    return Stored(asks.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(count, _ANSWERS), name)
 
 
-def _gather(answers: DataFrame, name: str) -> DataFrame:
-    return answers.filter("of_chunk >= 0").groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
+def _with_answers(chunks: DataFrame, answers: Stored, column: str) -> DataFrame:
+    gathered = answers.rows.filter("of_chunk >= 0").groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(column))
+    return chunks.join(gathered, F.col("chunk") == F.col("of_chunk"), "left").drop("of_chunk")
 
 
 def score_texts(docs: DataFrame, modulus: int = 10, buckets: int | None = None, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """Score every text of ``docs`` under the model of those whose crc32(doc_id) modulo ``modulus`` is not 0."""
-    spark = docs.sparkSession
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    train_docs = docs.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) != 0).count()
-    asked = cut(docs.mapInArrow(_ask_words(n, modulus), _CHUNKS))
-    word_counts = _exchange(asked.filter("bucket IS NOT NULL").select("chunk", "bucket", "ask"), n, _count_words(n))
-    model = Words(_summed(word_counts))
-    with_words = asked.filter("bucket IS NULL").select("chunk", "payload").join(_gather(word_counts, "answers"), F.col("chunk") == F.col("of_chunk")).drop("of_chunk")
-    pair_counts = _exchange(with_words.mapInArrow(_ask_pairs(n, train_docs, hot_tokens), "chunk bigint, bucket int, ask binary"), n, _count_pairs(model))
-    discounts = Discounts(_summed(pair_counts))
-    ready = with_words.join(_gather(pair_counts, "pair_answers"), F.col("chunk") == F.col("of_chunk"), "left")
+    trained = F.count(F.when(crc_mod(F.col("doc_id"), modulus) != 0, 1))
+    train_docs, size = docs.agg(trained, F.sum(F.octet_length("text").cast("bigint"))).first()
+    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BUCKET_BYTES))
+    settings = (n, train_docs, hot_tokens)
+
+    asked = Stored(docs.mapInArrow(_ask_words(n, modulus), _CHUNKS), "katz-words")
+    word_counts = _exchange(asked.rows.filter("bucket IS NOT NULL").select("chunk", "bucket", "ask"), n, _count_words(n), "katz-word-counts")
+    model = Words(_summed(word_counts.rows))
+    numbered = Stored(_with_answers(asked.rows.filter("bucket IS NULL").select("chunk", "payload"), word_counts, "answers"), "katz-numbered")
+    asked.drop()
+    word_counts.drop()
+
+    pair_counts = _exchange(numbered.rows.mapInArrow(_ask_pairs(*settings), _ASKS), n, _count_grams(model.probability), "katz-pair-counts")
+    pair_discounts = Discounts(_summed(pair_counts.rows))
+    paired = Stored(_with_answers(numbered.rows, pair_counts, "pair_answers"), "katz-paired")
+    numbered.drop()
+    pair_counts.drop()
+
+    triple_counts = _exchange(paired.rows.mapInArrow(_ask_triples(*settings), _ASKS), n, _count_grams(pair_discounts.mass), "katz-triple-counts")
+    triple_discounts = Discounts(_summed(triple_counts.rows))
+    ready = _with_answers(paired.rows, triple_counts, "triple_answers").select("payload", "answers", "pair_answers", "triple_answers")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return ready.select("payload", "answers", "pair_answers").mapInArrow(_score(n, model, train_docs, hot_tokens, discounts), out)
+    return ready.mapInArrow(_score(settings, model, pair_discounts, triple_discounts), out)
