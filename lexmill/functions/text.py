@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 # Characters that end a token, and top-level domains that a dotted token may end in.
 DELIMITERS = '.,:;!¡?¿()[]{}<>«»་།​"„“”'
-DOMAINS = tuple("is com net org io app dev co uk de dk no se fi fo gl eu us edu gov info me tv ai to fm gg xyz".split())
+DOMAINS = ("is", "com", "net", "org", "io", "app", "dev", "co", "uk", "de", "dk", "no", "se", "fi", "fo", "gl", "eu", "us", "edu", "gov", "info", "me", "tv", "ai", "to", "fm", "gg", "xyz")
 _CLASS = "".join("\\" + c if c in ".,:;!?()[]{}<>\"" else c for c in DELIMITERS)
 _WORDABLE = "\\p{L}\\p{Nd}"
 TOKEN = f"(?:[^\\s\\p{{Z}}{_CLASS}]|(?<=[{_WORDABLE}])\\.(?=[{_WORDABLE}]|\\z))+"
@@ -121,3 +121,42 @@ def weighted_contains(name: Column, keywords: Column, query: str) -> Column:
     share = lambda x: F.when(F.contains(F.lower(x), q), n / F.greatest(F.length(x), F.lit(1))).otherwise(0.0)
     best = F.aggregate(keywords, F.lit(0.0), lambda a, k: F.greatest(a, share(k)))
     return 0.7 * share(name) + 0.3 * best
+
+
+def last_word(text: Column) -> Column:
+    """The last word of a text, '' if it has none."""
+    return F.regexp_extract(text, "([\\p{L}']+)[^\\p{L}']*\\z", 1)
+
+
+def mid_sentence(text: Column) -> Column:
+    """The text has something in it and does not end a sentence."""
+    return F.coalesce((F.length(F.rtrim(text)) > 0) & ~ends_sentence(text), F.lit(False))
+
+
+def last_word_length(text: Column) -> Column:
+    """Characters from the start of the last word to the end of the text: what deleting a word backwards takes."""
+    return F.length(F.regexp_extract(text, "([^ \\t\\n]+[ \\t\\n]*)\\z", 1))
+
+
+def slice_safe(text: Column, start: int, end: int) -> Column:
+    """Characters from ``start`` up to ``end`` (from 0), with both ends moved into the text."""
+    a = F.least(F.greatest(F.lit(start), F.lit(0)), F.length(text))
+    b = F.least(F.greatest(F.lit(end), a), F.length(text))
+    return F.substr(text, a + 1, b - a)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its value; names without a value stay."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def to_list(text: Column) -> Column:
+    """The items of a comma-separated list, without the empty ones."""
+    return F.filter(F.split(text, ","), lambda x: x != "")
+
+
+def from_list(items: Column) -> Column:
+    return F.array_join(items, ",")

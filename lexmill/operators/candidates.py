@@ -113,7 +113,9 @@ def beam(requests: DataFrame, known: DataFrame, edits: int = 2, most_cost: float
     """Known words within ``edits`` edits of each typed word, by typing cost: all of them, where a best-first search
     with a clock would give some.  Both sides meet on what is left after deletions, so it is an equi-join."""
     left = _deletes(requests.select(F.col(typed).alias("typed")).distinct(), "typed", edits)
-    right = _deletes(known.select("word").distinct(), "word", edits)
+    longest = F.broadcast(left.agg(F.max(F.length("typed")).alias("_longest")))  # a single row
+    fit = known.select("word").distinct().crossJoin(longest).filter(F.length("word") <= F.col("_longest") + edits).select("word")
+    right = _deletes(fit, "word", edits)
     pairs = left.join(right, "key").select("typed", "word").distinct().filter(F.levenshtein("typed", "word") <= 2 * edits)
     pairs = pairs.withColumn("cost", typing_cost("typed", "word")).filter(F.col("cost") <= most_cost)
     order = Window.partitionBy("typed").orderBy("cost", "word")
@@ -260,3 +262,94 @@ def tap_likelihoods(taps: DataFrame, sigma: float = 0.7) -> DataFrame:
     rows = taps.crossJoin(F.broadcast(keys)).withColumn("nll", d2 / (2 * sigma * sigma))
     w = Window.partitionBy("tap_id")
     return rows.withColumn("posterior", F.exp(-F.col("nll")) / F.sum(F.exp(-F.col("nll"))).over(w)).drop("kx", "ky")
+
+
+def dedoubled(requests: DataFrame, typed: str = "typed") -> DataFrame:
+    """typed and word: one letter of each double letter left out."""
+    t = F.col(typed)
+    at = requests.filter(F.length(t) >= 2).select(t.alias("typed"), F.explode(F.sequence(F.lit(1), F.length(t) - 1)).alias("i"))
+    same = F.substr("typed", F.col("i"), F.lit(1)) == F.substr("typed", F.col("i") + 1, F.lit(1))
+    return at.filter(same).select("typed", F.concat(F.left("typed", F.col("i")), F.substr("typed", F.col("i") + 2, F.length("typed"))).alias("word")).distinct()
+
+
+def dedoubled_restorations(requests: DataFrame, most: int = 2) -> DataFrame:
+    """A double letter reduced, then up to ``most`` letters restored."""
+    base = dedoubled(requests)
+    return base.withColumnRenamed("word", "base").join(restorations(base.select(F.col("word").alias("typed")).distinct(), most).withColumnRenamed("typed", "base"), "base").select("typed", "word").distinct()
+
+
+def compound_heads(requests: DataFrame, modifiers: DataFrame, least: int = 4) -> DataFrame:
+    """typed, modifier and rest, cut behind the longest prefix that may stand first in a compound."""
+    n = F.length("typed")
+    cut = requests.filter(n >= 2 * least).select("typed", F.explode(F.sequence(F.lit(least), n - least)).alias("i")).withColumn("modifier", F.left("typed", F.col("i")))
+    best = cut.join(modifiers.select(F.col("word").alias("modifier")).distinct(), "modifier", "left_semi").groupBy("typed").agg(F.max("i").alias("i"))
+    return best.select("typed", F.left("typed", F.col("i")).alias("modifier"), F.substr("typed", F.col("i") + 1, n).alias("rest"))
+
+
+def compound_repairs(cuts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Compounds whose head is one edit from what follows the modifier, at the least cost."""
+    near = edits(cuts.select("rest").distinct(), "rest").join(heads.select("word").distinct(), "word", "left_semi").withColumnRenamed("typed", "rest")
+    return cuts.join(near, "rest").select("typed", F.concat("modifier", "word").alias("word"), "cost")
+
+
+def compound_completions(cuts: DataFrame, heads: DataFrame, base: float = 3.0, least: int = 4, config: Config = DEFAULT) -> DataFrame:
+    """Compounds whose head starts with what follows the modifier, the most frequent heads first."""
+    at = cuts.withColumn("h", F.left("rest", F.lit(least)))
+    found = at.join(heads.withColumn("h", F.left("word", F.lit(least))), "h").filter(F.col("word").startswith(F.col("rest")) & (F.length("word") > F.length("rest")))
+    order = Window.partitionBy("typed").orderBy(F.col("frequency").desc(), "word")
+    found = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= config.completion_limit)
+    return found.select("typed", F.concat("modifier", "word").alias("word"), (base + config.completion_char_cost * (F.length("word") - F.length("rest"))).alias("cost"))
+
+
+def inserts_linking_letter(typed: Column, word: Column, boundary: Column) -> Column:
+    """``word`` is ``typed`` with a linking letter put in at the boundary."""
+    letter = F.substr(word, boundary + 1, F.lit(1))
+    same = (F.left(word, boundary) == F.left(typed, boundary)) & (F.substr(word, boundary + 2, F.length(word)) == F.substr(typed, boundary + 1, F.length(word)))
+    return (F.length(word) == F.length(typed) + 1) & letter.isin("s", "a", "r", "u") & same
+
+
+def fold_prices(p_primary: Column) -> dict[str, Column]:
+    """Prices of writing a letter without its accent, in a session that is in the primary lane with ``p_primary``:
+    nothing is cheaper where the lane is uncertain."""
+    def weight(p: Column) -> Column:
+        x = F.least(F.greatest((p - 0.5) / 0.25, F.lit(0.0)), F.lit(1.0))
+        return x * x * (3 - 2 * x)
+
+    own, other = weight(p_primary), weight(1 - p_primary)
+    return {
+        "weight_primary": own, "weight_secondary": other, "acute": F.greatest(F.lit(0.02), 0.35 * (1 - own)),
+        "confusion": 1 - 0.5 * own, "gemination": 1 - 0.35 * own, "apostrophe": F.greatest(F.lit(0.02), F.least(F.lit(4.0), 4.0 * (1 - other))),
+    }
+
+
+def restoration_gates(rows: DataFrame, p_primary: float, config: Config = DEFAULT, least_p: float = 0.65, least_z: float = 1.0, advantage: float = 0.0, guard: float = 0.25) -> DataFrame:
+    """Whether a restored word may replace its bare form: one boolean column for each gate.
+
+    rows: typed, word and of both f_ and z_ in both lanes under the prefixes t_ and w_; a restored apostrophe
+    speaks for the secondary lane, an accent for the primary one."""
+    adds = F.length(F.regexp_replace("word", "[^'’]", "")) > F.length(F.regexp_replace("typed", "[^'’]", ""))
+    of = lambda name: F.when(adds, F.col(f"{name}_secondary")).otherwise(F.col(f"{name}_primary"))
+    p = F.when(adds, 1 - p_primary).otherwise(F.lit(p_primary))
+    lane, other_f = of("w_f"), F.when(adds, F.col("t_f_primary")).otherwise(F.col("t_f_secondary"))
+    other_z = F.when(adds, F.col("t_z_primary")).otherwise(F.col("t_z_secondary"))
+    dominates = F.when(of("t_f").isNotNull(), lane >= config.twin_dominance * of("t_f")).otherwise(of("w_z") >= least_z)
+    gates = {
+        "lane": p >= least_p,
+        "dominates": lane.isNotNull() & F.coalesce(dominates, F.lit(False)),
+        "advantage": of("w_z") - of("t_z") >= advantage,
+        "guard": other_f.isNull() | (F.log(p / (1 - p)) + config.temperature * (of("w_z") - other_z) >= guard),
+    }
+    out = rows.withColumns(gates)
+    return out.withColumn("apply", F.col("lane") & F.col("dominates") & F.col("advantage") & F.col("guard"))
+
+
+def validity(requests: DataFrame, known: DataFrame, personal: DataFrame, tombstones: DataFrame, typed: str = "typed") -> DataFrame:
+    """For each request: known in a lexicon, personal, deleted, valid (known or personal, and not deleted), and
+    whether all parts of a hyphenated word are valid."""
+    parts = requests.select(F.col(typed).alias("typed"), F.explode(F.array_distinct(F.concat(F.array(F.col(typed)), F.split(F.col(typed), "-")))).alias("part")).filter("part <> ''")
+    flag = lambda df, name: df.select(F.col("word").alias("part"), F.lit(True).alias(name)).distinct()
+    rows = parts.join(flag(known, "k"), "part", "left").join(flag(personal, "p"), "part", "left").join(flag(tombstones, "t"), "part", "left")
+    rows = rows.select("typed", "part", *(F.coalesce(c, F.lit(False)).alias(c) for c in "kpt")).withColumn("ok", (F.col("k") | F.col("p")) & ~F.col("t"))
+    whole, hyphen = F.col("part") == F.col("typed"), F.contains("typed", F.lit("-"))
+    out = rows.groupBy("typed").agg(*(F.bool_or(whole & F.col(c)).alias(c) for c in ("k", "p", "t", "ok")), F.bool_and(F.when(hyphen & ~whole, F.col("ok"))).alias("h"))
+    return out.select("typed", F.col("k").alias("known"), F.col("p").alias("personal"), F.col("t").alias("deleted"), F.col("ok").alias("valid"), F.coalesce("h", F.lit(False)).alias("hyphenated"))

@@ -70,3 +70,30 @@ def governor_fit(words: DataFrame, forms: DataFrame, governors: DataFrame, scale
     p = F.element_at("p_case", F.col("bundle").bitwiseAND(F.lit(3)) + 1)
     rows = words.join(governors.filter(F.col("mass") >= least_mass).withColumnRenamed("governor", "previous"), "previous").join(forms.withColumnRenamed("form", "word"), "word")
     return rows.groupBy("previous", "word").agg((scale * F.max(F.greatest(F.log(F.greatest(p, F.lit(1e-12)) / 0.25), F.lit(floor)))).alias("fit"))
+
+
+def known_forms(words: DataFrame, forms: DataFrame, open_class: int = 2) -> DataFrame:
+    """word, whether it is a form, and whether it is one of an open class (part of speech up to ``open_class``)."""
+    of = forms.groupBy(F.col("form").alias("word")).agg(F.min("pos").alias("_pos"))
+    return words.join(of, "word", "left").select("word", F.col("_pos").isNotNull().alias("known"), F.coalesce(F.col("_pos") <= open_class, F.lit(False)).alias("open_class"))
+
+
+def cases(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """word, the names of the cases it can stand in as a noun or adjective, and its lemmas."""
+    name = F.element_at(F.array(*[F.lit(n) for n in CASES]), F.col("bundle").bitwiseAND(F.lit(3)) + 1)
+    rows = words.join(forms.filter("pos <= 1").withColumnRenamed("form", "word"), "word")
+    return rows.groupBy("word").agg(F.array_sort(F.collect_set(name)).alias("cases"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
+
+
+def wrong_case_siblings(words: DataFrame, forms: DataFrame, case: int) -> DataFrame:
+    """word and the forms of its lemma that stand in ``case``, for words that cannot stand in it themselves."""
+    of = F.col("bundle").bitwiseAND(F.lit(3))
+    able = forms.filter(of == case).select(F.col("form").alias("word"))
+    rows = words.join(able, "word", "left_anti").join(forms.select(F.col("form").alias("word"), "lemma").distinct(), "word")
+    return rows.join(forms.filter(of == case).select("lemma", "form"), "lemma").filter("form <> word").select("word", "form").distinct()
+
+
+def pair_frequency(pairs: DataFrame, bigram: DataFrame) -> DataFrame:
+    """previous, word and how often the pair is attested, 0 if never."""
+    of = bigram.groupBy(F.col("w1").alias("previous"), F.col("w2").alias("word")).agg(F.sum("frequency").alias("frequency"))
+    return pairs.join(of, ["previous", "word"], "left").select("previous", "word", F.coalesce("frequency", F.lit(0)).alias("frequency"))

@@ -105,3 +105,28 @@ def padded(scores: DataFrame, seeds: DataFrame, by: list[str], item: str, count:
     rest = owners.join(F.broadcast(seeds)).join(scores.select(*by, item), [*by, item], "left_anti").select(*by, item, F.lit(1).alias("tier"), F.col("seed").alias("at"))
     order = Window.partitionBy(*by).orderBy("tier", "at")
     return own.unionByName(rest).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= count).drop("tier", "at")
+
+
+def item_history(operations: DataFrame, recent: int, by: str = "user_id") -> DataFrame:
+    """Pinned and recent items of each user after a log of operations (by, item, at, op: use, pin, unpin, remove).
+
+    An item's operations before its last removal do not count.  It is pinned if its last pin or unpin is a pin;
+    pinned items stand in the order they were last pinned or used in, newest first, and recent ones likewise, up
+    to ``recent`` of them."""
+    gone = operations.filter("op = 'remove'").groupBy(by, "item").agg(F.max("at").alias("_gone"))
+    live = operations.filter("op <> 'remove'").join(gone, [by, "item"], "left").filter("_gone IS NULL OR at > _gone")
+    state = live.groupBy(by, "item").agg(F.max("at").alias("at"), F.max(F.when(F.col("op") == "pin", F.col("at"))).alias("_pin"), F.max(F.when(F.col("op") == "unpin", F.col("at"))).alias("_unpin"))
+    pinned = F.col("_pin").isNotNull() & (F.col("_unpin").isNull() | (F.col("_pin") > F.col("_unpin")))
+    state = state.select(by, "item", "at", pinned.alias("pinned"))
+    order = Window.partitionBy(by, "pinned").orderBy(F.col("at").desc(), "item")
+    return state.withColumn("position", F.row_number().over(order)).filter(F.col("pinned") | (F.col("position") <= recent)).select(by, "item", "pinned", "position")
+
+
+def inserted(files: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
+    """``files`` with the rows of ``more``, which replace rows of the same key."""
+    return files.join(more.select(key), key, "left_anti").unionByName(more)
+
+
+def first_key(table: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
+    """For each wanted value the first key that has it, null if none has."""
+    return wanted.join(table.groupBy(value).agg(F.min(key).alias(key)), value, "left")

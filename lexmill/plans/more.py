@@ -56,16 +56,16 @@ def possessive_restoration(s, d):
     return rows.join(known, "base", "left_semi").select("typed", F.concat("base", F.lit("'s")).alias("word"))
 
 
-@query(f"WITH {TOK}, {BI}, {REQ}, c AS (SELECT w1, w2, row_number() OVER (PARTITION BY w1, lane ORDER BY frequency DESC, w2) AS r FROM bi), t AS (SELECT DISTINCT previous, substr(word, 1, 1) || substr(word, 3) AS typed FROM reqpair WHERE length(word) = 4) SELECT DISTINCT previous, typed, w2 AS word FROM t JOIN c ON w1 = previous WHERE r <= 500 AND w2 <> typed AND abs(length(w2) - length(typed)) <= 1 AND substr(w2, 1, 1) = substr(typed, 1, 1)")
+@query(f"WITH {TOK}, {BI}, {REQ}, c AS (SELECT w1, w2, row_number() OVER (PARTITION BY w1, lane ORDER BY frequency DESC, w2) AS r FROM bi), t AS (SELECT DISTINCT previous, substr(word, 1, 1) || substr(word, 3) AS typed FROM reqpair WHERE length(word) >= 4) SELECT DISTINCT previous, typed, w2 AS word FROM t JOIN c ON w1 = previous WHERE r <= 500 AND w2 <> typed AND abs(length(w2) - length(typed)) <= 1 AND substr(w2, 1, 1) = substr(typed, 1, 1)")
 def context_continuation(s, d):
     """Words that follow the previous word and look like what was typed: about as long, with the same first letter."""
-    typed = _request_pairs(s, d).filter(F.length("word") == 4).select("previous", F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3), F.lit(4))).alias("typed")).distinct()
+    typed = _request_pairs(s, d).filter(F.length("word") >= 4).select("previous", F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3), F.length("word"))).alias("typed")).distinct()
     pool = L.continuations(typed.select(F.col("previous").alias("w1")).distinct(), _bi(s, d), 500).select(F.col("w1").alias("previous"), "word").distinct()
     near = (F.col("word") != F.col("typed")) & (F.abs(F.length("word") - F.length("typed")) <= 1) & (F.left("word", F.lit(1)) == F.left("typed", F.lit(1)))
     return typed.join(pool, "previous").filter(near).select("previous", "typed", "word").distinct()
 
 
-@query(f"WITH {TOK}, dot AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+\\.\\p{{L}}+')) AS token FROM documents), h AS (SELECT token, split_part(token, '.', 1) AS first_half, split_part(token, '.', 2) AS second_half FROM dot) SELECT DISTINCT token, first_half, second_half FROM h JOIN uni a ON a.word = first_half JOIN uni b ON b.word = second_half AND b.lane = a.lane WHERE first_half <> 'www' AND second_half NOT IN ({', '.join(repr(x) for x in T.DOMAINS)})")
+@query(f"WITH {TOK}, piece AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents), dot AS (SELECT DISTINCT unnest(regexp_extract_all(w, '\\p{{L}}+\\.\\p{{L}}+')) AS token FROM piece WHERE contains(w, '.')), h AS (SELECT token, split_part(token, '.', 1) AS first_half, split_part(token, '.', 2) AS second_half FROM dot), lanes AS (SELECT word, bit_or(CASE lane WHEN 'es' THEN 1 ELSE 2 END) AS bits FROM uni GROUP BY word) SELECT token, first_half, second_half FROM h JOIN lanes a ON a.word = first_half JOIN lanes b ON b.word = second_half WHERE a.bits & b.bits <> 0 AND first_half <> 'www' AND second_half NOT IN ({', '.join(repr(x) for x in T.DOMAINS)})")
 def dot_split(s, d):
     """Dotted tokens that are two words of one lane."""
     tokens = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+\\.\\p{L}+"), F.lit(0))).alias("token")).distinct()
@@ -97,25 +97,22 @@ def beam_decode(s, d):
     return C.beam(_typed(s, d), _known(s, d))
 
 
-@query(f"WITH {TOK}, {FORMS}, gov(previous, p1, p2, p3, p4) AS (SELECT word, 0.1, 0.2, 0.3, 0.4 FROM uni WHERE lane = 'es' AND frequency >= 200), q AS (SELECT g.previous, f.form AS word, CASE f.bundle & 3 WHEN 0 THEN p1 WHEN 1 THEN p2 WHEN 2 THEN p3 ELSE p4 END AS p FROM gov g, forms f WHERE length(f.form) = 6) SELECT previous, word, round(0.6 * max(greatest(ln(p::DOUBLE / 0.25), -2.0)), 6) AS fit FROM q GROUP BY previous, word")
+_GOVERNED = f"WITH {TOK}, {BI}, {FORMS}, gov(previous, p1, p2, p3, p4) AS (SELECT word, 0.1, 0.2, 0.3, 0.4 FROM uni WHERE lane = 'es' AND frequency >= 200), q AS (SELECT g.previous, f.form AS word, CASE f.bundle & 3 WHEN 0 THEN p1 WHEN 1 THEN p2 WHEN 2 THEN p3 ELSE p4 END AS p FROM gov g JOIN (SELECT DISTINCT w1, w2 FROM bi WHERE lane = 'es') b ON b.w1 = g.previous JOIN forms f ON f.form = b.w2) SELECT previous, word, round(0.6 * max(greatest(ln(p::DOUBLE / 0.25), -2.0)), 6) AS fit FROM q GROUP BY previous, word"
+
+
+@query(_GOVERNED)
 def governor_fit(s, d):
-    """How forms of six letters fit the cases that frequent words govern."""
-    frequent = _uni(s, d).filter("lane = 'es' AND frequency >= 200")
-    governors = frequent.select(F.col("word").alias("governor"), F.col("frequency").cast("double").alias("mass"), F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)]).alias("p_case"))
-    forms = _forms(s, d).filter(F.length("form") == 6)
-    asked = governors.select(F.col("governor").alias("previous")).join(forms.select(F.col("form").alias("word")).distinct())
-    return P.governor_fit(asked, forms, governors).select("previous", "word", F.round("fit", 6).alias("fit"))
+    """How forms fit the cases that the frequent words before them govern, for all pairs of the corpus."""
+    return governor_fit_pairs(s, d)
 
 
-@query("SELECT a.p_partkey, a.p_name AS text, min(b.p_type) AS stem FROM part a LEFT JOIN part b ON b.p_name = a.p_name AND b.p_partkey < 100 GROUP BY ALL")
+@query("SELECT a.p_partkey, a.p_name AS text, min(b.p_type) AS stem FROM part a LEFT JOIN part b ON b.p_name = a.p_name GROUP BY ALL")
 def code_stems(s, d):
     """Entries of a code table with the stem of their text, if it has one."""
-    part = table(s, d, "part")
-    stems = part.filter("p_partkey < 100").groupBy("p_name").agg(F.min("p_type").alias("stem"))
-    return part.join(stems, "p_name", "left").select("p_partkey", F.col("p_name").alias("text"), "stem")
+    return code_stems_all(s, d)
 
 
-@query()
+@query(_GOVERNED)
 def governor_fit_pairs(s, d):
     """How forms of any length fit the frequent words that they follow in the corpus."""
     frequent = _uni(s, d).filter("lane = 'es' AND frequency >= 200")
@@ -124,7 +121,7 @@ def governor_fit_pairs(s, d):
     return P.governor_fit(asked, _forms(s, d), governors).select("previous", "word", F.round("fit", 6).alias("fit"))
 
 
-@query()
+@query(ORACLE_SQL["code_stems"])
 def code_stems_all(s, d):
     """Entries of a code table with the stem of their text, from the whole table."""
     part = table(s, d, "part")

@@ -58,10 +58,10 @@ def user_dict_nullsafe_locale(s, d):
     return _dict(s, d).filter(F.col("locale").eqNullSafe(F.lit(None).cast("string"))).select("id", "word")
 
 
-@query(f"WITH {DICT} SELECT a.id, a.word, a.locale FROM dict a WHERE a.word IN (SELECT word FROM dict WHERE id <= 50) AND (a.locale IS NOT DISTINCT FROM 'Brand#13' OR a.locale IS NULL)")
+@query(f"WITH {DICT} SELECT a.id, a.word, a.locale FROM dict a WHERE a.word IN (SELECT word FROM dict WHERE frequency >= 25) AND (a.locale IS NOT DISTINCT FROM 'Brand#13' OR a.locale IS NULL)")
 def user_dict_exact(s, d):
     rows = _dict(s, d)
-    wanted = rows.filter("id <= 50").select("word").distinct()
+    wanted = rows.filter("frequency >= 25").select("word").distinct()
     return rows.join(wanted, "word", "left_semi").filter(F.col("locale").eqNullSafe("Brand#13") | F.col("locale").isNull()).select("id", "word", "locale")
 
 
