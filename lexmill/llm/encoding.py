@@ -5,6 +5,9 @@ the words of a text, and the letter runs, digits and signs within a word, are en
 each other.  Words are cut at ASCII white space; each distinct word is encoded once per worker by the
 ``tokenizers`` library (its pieces likewise), and found again by a 64-bit hash in a table of fixed size,
 for all words of a batch at once.  Under a pre-tokenizer of another kind each text is one such word.
+
+A word is taken for a known one if the 64-bit hash of its bytes and length agrees; the bytes are not compared
+again.  With a full table of a million words, that is one wrong word in about 10^13 distinct ones.
 """
 
 from __future__ import annotations

@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000, rank: int
     share = min(1.0, max_labels / max(1, total))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = labels.filter(draw < share).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = F.broadcast(chosen.limit(2 * max_labels))  # so many rows at most, of 12 bytes
+    chosen = F.broadcast(chosen.orderBy(draw, "doc_id").limit(2 * max_labels))  # so many rows at most, of 12 bytes; always the same
     rows = _inputs(docs).join(chosen, "doc_id").select("doc_id", "text", "n_chars", "quality")
     rows = rows.mapInArrow(_features, "doc_id bigint, quality int, at binary, x binary").collect()
     if not rows:

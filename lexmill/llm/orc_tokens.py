@@ -41,12 +41,12 @@ def _encode_range(path: str, end_id: int):
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 10_000, bloom_fpp: float = 0.01) -> None:
+def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 10_000, bloom_fpp: float = 0.01, bloom_columns: str = "doc_id") -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``path`` as ORC in ascending order of doc_id."""
     ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ranged.mapInArrow(_encode_range(vocabulary or vocabulary_path(), end_id), SCHEMA)
-        .write.option("orc.bloom.filter.columns", "doc_id")
+        .write.option("orc.bloom.filter.columns", bloom_columns)
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(row_stride))

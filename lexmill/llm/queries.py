@@ -67,4 +67,26 @@ QUERIES = {
     "op9_nearest_url": op9_nearest_url,
     "op10_orc_token_ids": op10_orc_token_ids,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
+
+
+def _run_of(n: int) -> str:
+    """``n`` words from here on, null where the document ends before."""
+    return "word" + "".join(f" || ' ' || lead(word, {k}) OVER w" for k in range(1, n))
+
+
+#: What op6 and op7 return, by all windows and all pairs; the others have trained models, alignments or token ids.
+ORACLE_SQL: dict[str, str] = {
+    "op6_fm_index": f"""WITH tok AS ({_WORDS.format(text="coalesce(text, '')")}), win AS (SELECT doc_id, pos, word, {_run_of(20)} AS run FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+seen AS (SELECT doc_id, pos, word, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS again FROM win),
+cover AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM seen),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM cover GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op7_chosen_path": f"""WITH RECURSIVE tok AS ({_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}),
+short AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS run FROM tok GROUP BY doc_id HAVING count(*) < 5), win AS (SELECT doc_id, {_run_of(5)} AS run FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+sh AS (SELECT DISTINCT doc_id, run FROM win WHERE run IS NOT NULL UNION SELECT doc_id, run FROM short), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b USING (run) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)), e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(coalesce(least, doc_id), doc_id) AS component_id, doc_id = least(coalesce(least, doc_id), doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+}

@@ -87,6 +87,27 @@ def test_token_files_prune(spark, docs):
     assert "EqualTo(doc_id,7)" in plan
 
 
+def test_token_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    """What the files themselves say: row index stride, several stripes, integer encodings, Bloom filters."""
+    from pyarrow import orc
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, prose(rng, 40)) for i in range(44_000)], "doc_id long, text string").coalesce(1)
+    sizes = {}
+    for name, columns in (("with", "doc_id"), ("without", "")):
+        path = str(tmp_path / name)
+        orc_tokens.write_token_ids(df, path, stripe_bytes=1 << 18, row_stride=2000, bloom_columns=columns)
+        files = [orc.ORCFile(f) for f in sorted((tmp_path / name).glob("*.orc"))]
+        assert all(f.row_index_stride == 2000 for f in files) and sum(f.nrows for f in files) == 44_000
+        assert max(f.nstripes for f in files) > 1
+        ids = sum(len(x) for f in files for x in f.read(columns=["ids"]).column("ids").to_pylist())
+        sizes[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.orc"))
+        assert sizes[name] < 4 * ids  # run-length encoding takes less than 32 bits an id
+    assert sizes["with"] > sizes["without"]
+    plain = spark.read.schema(orc_tokens.SCHEMA).orc(str(tmp_path / "with")).filter("doc_id = 777")
+    assert plain.count() == 1
+
+
 def test_packing(docs, empty, spark):
     got = packing.packed_digests(docs, capacity=64).collect()
     bins = collections.defaultdict(list)
@@ -412,6 +433,23 @@ def test_leaks(spark, empty):
     assert qgram_decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_with_an_edit():
+    """Every edit within the budget is found, whatever the item's length and wherever the edit is."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    for length in range(12, 61):
+        item = ("q" + "".join(rng.choice(letters) for _ in range(length - 2)).strip() + "z").replace("  ", " ab")
+        item = qgram_decontam.normal(item)
+        budget = int(qgram_decontam.ERROR_RATE * len(item))
+        search = qgram_decontam.Search([(1, item)], qgram_decontam.Q, qgram_decontam.ERROR_RATE, None)
+        for at in range(len(item)):
+            for edited in (item[:at] + "#" + item[at + 1 :], item[:at] + item[at + 1 :], item[:at] + "#" + item[at:]):
+                text = qgram_decontam.normal("some words before " + edited + " and some after")
+                found = search.matches(text)
+                want = edits_to_part(item, text) <= budget
+                assert bool(found) == want, (length, at, edited)
+
+
 def test_leaks_of_passages(spark):
     rng = random.Random(8)
     items = [(k, prose(rng, 35, [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"])) for k in range(6)] + [(6, "abcdefghijklmnopqrstu"), (7, "short but not so short item of its own")]
