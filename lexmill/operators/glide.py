@@ -27,6 +27,16 @@ def ideal_path(word: Column) -> Column:
     return F.when(F.forall(at, lambda p: p.isNotNull()), at)
 
 
+def thinned(points: Column, least: float = 0.25) -> Column:
+    """The points of a stroke that lie further than ``least`` key widths from the last one kept; the first stays."""
+    def step(kept: Column, p: Column) -> Column:
+        last = F.element_at(kept, -1)
+        far = F.hypot(p["x"] - last["x"], p["y"] - last["y"]) > least
+        return F.when(far, F.concat(kept, F.array(p))).otherwise(kept)
+
+    return F.aggregate(points, F.slice(points, 1, 1), step)
+
+
 def path_length(path: Column) -> Column:
     steps = F.transform(F.slice(path, 2, 100_000), lambda p, i: F.hypot(p["x"] - F.get(path, i)["x"], p["y"] - F.get(path, i)["y"]))
     return F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)

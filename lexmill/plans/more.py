@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from lexmill.operators import morphology as P
 from lexmill.plans.correction import _EDITS, _SUBST, FORMS, KNOWN, LOG, TYPED, _forms, _gone, _known, _log, _typed, _words
 from lexmill.plans.language import BI, CAL, REQ, TOK, _bi, _evidence, _request_pairs, _requests, _scored, _uni, blend_sql, scored_sql
 from lexmill.plans.registry import ORACLE_SQL, query, table
+from lexmill.sources import text_tables as X
+from lexmill.storage import shared_path
 from lexmill.streaming import sessions
 
 
@@ -148,11 +148,6 @@ def composing_range(s, d):
     return table(s, d, "documents").select("doc_id", F.regexp_extract("text", "[a-z]*\\z", 0).alias("composing"))
 
 
-def _folder(s: SparkSession) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    return (base + "/lexmill-stream-" + s.sparkContext.applicationId + "-" + next(tempfile._get_candidate_names())) if base else tempfile.mkdtemp(prefix="lexmill-stream-")
-
-
 @query(ORACLE_SQL["lane_posterior"])
 def stream_lane_posterior(s, d):
     """The lane filter as a stream over conversations with one number of state a session."""
@@ -162,7 +157,7 @@ def stream_lane_posterior(s, d):
     stream = s.readStream.schema(talk.schema).parquet(f"{d}/conversations.parquet*").select(F.col("conv_id").cast("string").alias("session"), "turn", L.word_array(F.col("text")).alias("ws"))
     marked = F.concat(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), F.array(F.struct(F.lit(1_000_000).alias("pos"), F.lit(None).cast("string").alias("word"))))
     steps = stream.select("session", "turn", F.inline(marked)).join(evidence, "word", "left")
-    out = _folder(s)
+    out = shared_path(s, "stream")
     states = sessions.lane_states(steps.select("session", (F.col("turn") * 10_000_000 + F.col("pos")).alias("at"), "evidence"))
 
     def write(batch: DataFrame, number: int) -> None:
@@ -178,3 +173,43 @@ def pinned_first(s, d):
     """Items of each user, pinned ones first, then the newest."""
     order = Window.partitionBy("user_id").orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), F.col("ts").desc(), F.col("event_id").desc())
     return table(s, d, "events").withColumn("position", F.row_number().over(order)).filter("position <= 5").select("user_id", "event_id", "event_type", "position")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, replace(lower(text), '’', '''') AS text, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AS more FROM conversations), k AS (SELECT conv_id, turn, text, more, regexp_extract_all(text, '[\\p{L}'']+|[.!?]') AS ts FROM t),
+w AS (SELECT conv_id, turn, i - 1 AS pos, ts[i] AS word, CASE WHEN i > 1 THEN ts[i - 1] END AS p, i = len(ts) AND ends_with(text, ts[i]) AS open, more FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM k))
+SELECT conv_id, turn, pos, word, CASE WHEN p IN ('.', '!', '?') THEN NULL ELSE p END AS previous FROM w WHERE word NOT IN ('.', '!', '?') AND (more OR NOT open)"""
+)
+def stream_commits(s, d):
+    """The words that conversations commit, as a stream with one pending word of state a session."""
+    schema = table(s, d, "conversations").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/conversations.parquet*").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("at"), "text")
+    out = shared_path(s, "commits")
+    sessions.commits(stream).writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(sessions.COMMITS).parquet(f"{out}/events").select(F.col("session").cast("bigint").alias("conv_id"), F.col("at").alias("turn"), F.col("pos").cast("bigint").alias("pos"), "word", "previous")
+
+
+@query("SELECT user_id, count(*) AS items, max(event_id) AS newest FROM events GROUP BY user_id")
+def stream_live_counts(s, d):
+    """A live view: the whole result again after every change of its table."""
+    schema = table(s, d, "events").schema
+    view = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.max("event_id").alias("newest"))
+    out = shared_path(s, "live")
+
+    def show(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/view")  # complete mode: every emission replaces the one before
+
+    view.writeStream.foreachBatch(show).outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{out}/view")
+
+
+@query(f"WITH {LOG} SELECT day, kind, count(*) AS events FROM log WHERE kind IN ('wc', 'wt') AND day > (SELECT min(day) FROM log) GROUP BY ALL")
+def event_log_truncate(s, d):
+    """Events appended to a log in two goes, and the log's next generation without its first day."""
+    log = _log(s, d).filter("kind IN ('wc', 'wt')").select("seq", "day", "kind", F.col("word").alias("a"), F.col("previous").alias("b"), F.col("hint").alias("c"))
+    path = shared_path(s, "event-log")
+    for half in (0, 1):
+        X.append_events(log.filter(F.col("seq") % 2 == half), f"{path}/generation=1")
+    first = _log(s, d).agg(F.min("day")).first()[0]
+    X.truncated(s.read.text(f"{path}/generation=1"), first).write.text(f"{path}/generation=2")
+    return X.parse_events(s.read.text(f"{path}/generation=2")).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("events"))

@@ -100,6 +100,18 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    """Add events to the log in ``path``, in files of their own: a writer that broke off leaves no half line that a
+    later append could run into."""
+    event_lines(events.filter(learnable(F.col("a")) | (F.col("kind") == "ts"))).write.mode("append").text(path)
+
+
+def truncated(lines: DataFrame, after_day: int) -> DataFrame:
+    """The lines of a log's next generation: well-formed events after the day that a snapshot already holds."""
+    kept = parse_events(lines).filter(F.col("ok") & (F.col("day") > after_day))
+    return event_lines(kept.select("day", "kind", "a", "b", "c"))
+
+
 def emoji_table(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
     """category, emoji, name, keywords and base of an emoji list: [category] lines, ';' fields, '|' keywords,
     indented variants that take the name of the row above.  The running category is a window over one file."""

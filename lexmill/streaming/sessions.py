@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexmill.sources.text_tables import parse_events
 
 POSTERIOR = "session string, p_primary double, steps long"
+COMMITS = "session string, at long, pos int, word string, previous string"
+_TOKEN = regex.compile(r"[\p{L}']+|[.!?]")
 
 
 def lane_states(steps: DataFrame) -> DataFrame:
@@ -38,6 +41,38 @@ def lane_states(steps: DataFrame) -> DataFrame:
     return steps.groupBy("session").applyInPandasWithState(update, POSTERIOR, "p double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def commits(texts: DataFrame) -> DataFrame:
+    """The words that each session (session, at, text) commits, with the word before them in the sentence.
+
+    A word is committed once something follows it: within its text, or with the session's next text.  The state is
+    the one word that may still go on.  Texts of one micro-batch are taken in the order of ``at``, and batches as
+    they come; a sentence ends at . ! ? and with its text."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = state.get if state.exists and state.get[2] is not None else None
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        out = []
+        for at, text in zip(rows["at"].tolist(), rows["text"].tolist()):
+            if pending is not None:
+                out.append(pending)
+            pending, previous, text = None, None, (text or "").lower().replace("’", "'")
+            for pos, m in enumerate(_TOKEN.finditer(text)):
+                if m[0] in ".!?":
+                    previous = None
+                    continue
+                row = (at, pos, m[0], previous)
+                if m.end() == len(text):
+                    pending = row
+                else:
+                    out.append(row)
+                previous = m[0]
+        state.update(pending if pending is not None else (None, None, None, None))
+        if out:
+            yield pd.DataFrame({"session": [key[0]] * len(out)} | {name: [r[k] for r in out] for k, name in enumerate(("at", "pos", "word", "previous"))})
+
+    return texts.groupBy("session").applyInPandasWithState(update, COMMITS, "at long, pos int, word string, previous string", "append", GroupStateTimeout.NoTimeout)
+
+
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Events of log files that are appended to a folder, file by file."""
     return parse_events(spark.readStream.text(path)).filter("ok")
