@@ -7,7 +7,9 @@ in numpy on a bounded sample of labelled rows (``max_labels``, chosen by a hash
 
 Scoring reads whole texts, has no shuffle, and its model has a fixed size.  Null texts count as empty and
 get a score as all texts do; a null ``n_chars`` counts as the text's own length; repeated rows are scored
-each; with no label at all every score is 0.5; other columns are ignored.
+each; texts of any length are taken whole; a null doc_id is scored; of several labels of one document the largest
+counts, and equal scores need no order; with no label at all every score is 0.5; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

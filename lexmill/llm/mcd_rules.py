@@ -1,15 +1,18 @@
 """Robust multivariate outliers: minimum covariance determinant estimates per language and source.
 
 Five statistics of each text are transformed to a vector; for each (lang, source) the mean and covariance
-of the most concentrated three quarters of the vectors are found by concentration steps from a start at
-medians and quartiles, then reweighted; a text is rejected if its squared Mahalanobis distance exceeds a
+of the most concentrated three quarters of the vectors are found by concentration steps from two starts: medians
+and quartiles, and the covariance of scores clipped at two robust deviations.  The start that ends at the smaller
+determinant counts, the first one on a tie; its estimate is reweighted, and a text is rejected if its squared Mahalanobis distance exceeds a
 chi-square quantile.  Everything is DataFrame expressions: a text's statistics come from its own row, and
 each step is one aggregation with a row for each group, however many rows a group has.
 
 Groups of fewer than ``min_group`` rows share one estimate; if all of them together are fewer, none of them
 is rejected by distance.  Each variance gets a floor, for statistics that are constant in clean text.  A
-null text has no words; null lang or source make groups of their own; repeated rows each count and are
-judged alike; an empty table gives no rows; other columns are ignored.
+null text has no words; texts of any length are taken whole; null lang or source make groups of their own, and so
+does a table without these columns; a null doc_id is judged like any other; repeated rows each count and are
+judged alike; a distance equal to the cut-off is kept; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import SPACE_RUN, WORD, cut
 
+KEYS = ["_lang", "_source"]
 FEATURES = ("f_words", "f_word_chars", "f_symbols", "f_dup_lines", "f_repeats")
 #: Smallest standard deviation of each feature.
 FLOORS = (0.35, 0.06, 0.15, 0.12, 0.12)
@@ -79,7 +83,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_lang", "_source", *counts, failed.alias("base_failed"), *(v.cast("double").alias(f) for v, f in zip(vector, FEATURES)))
 
 
-def _with_factor(moments: DataFrame, factor: float) -> DataFrame:
+def _with_factor(moments: DataFrame, factor: float, keys: list[str]) -> DataFrame:
     """Mean m_i and Cholesky factor l_i_j of the scaled covariance with its floors, for each group."""
     out = moments
     for i in range(P):
@@ -90,12 +94,12 @@ def _with_factor(moments: DataFrame, factor: float) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return out.select("_lang", "_source", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
+    return out.select(*keys, *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, estimates: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``rows`` with their squared distance ``d2``; null where the group has no estimate."""
-    out = rows.join(estimates, ["_lang", "_source"], "left")
+    out = rows.join(estimates, keys, "left")
     for i, f in enumerate(FEATURES):
         value = F.col(f) - F.col(f"m_{i}")
         for k in range(i):
@@ -105,25 +109,40 @@ def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.select(*rows.columns, d2.alias("d2"))
 
 
-def _moments(rows: DataFrame, chosen: Column) -> DataFrame:
+def _moments(rows: DataFrame, chosen: Column, keys: list[str]) -> DataFrame:
     x = [F.when(chosen, F.col(f)) for f in FEATURES]
     aggregates = [F.avg(x[i]).alias(f"m_{i}") for i in range(P)]
     aggregates += [F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy("_lang", "_source").agg(*aggregates)
+    return rows.groupBy(*keys).agg(*aggregates)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Both starts of each group: diagonal from the quartiles, and from scores clipped at two robust deviations."""
+    quartiles = cut(rows.groupBy(*KEYS).agg(*(F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, f in enumerate(FEATURES))))
+    scale = lambda i: (F.get(F.col(f"q_{i}"), 2) - F.get(F.col(f"q_{i}"), 0)) / 1.349
+    means = [F.get(F.col(f"q_{i}"), 1).alias(f"m_{i}") for i in range(P)]
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    plain = quartiles.select(*KEYS, *means, *(F.pow(scale(i), F.lit(2.0)).alias(f"c_{i}_{i}") if i == j else F.lit(0.0).alias(f"c_{i}_{j}") for i, j in pairs))
+    scored = rows.join(quartiles, KEYS).select(*KEYS, *means, *(F.greatest(scale(i), F.lit(FLOORS[i])).alias(f"s_{i}") for i in range(P)), *FEATURES)
+    clipped = [F.least(F.greatest((F.col(f) - F.col(f"m_{i}")) / F.col(f"s_{i}"), F.lit(-2.0)), F.lit(2.0)) * F.col(f"s_{i}") for i, f in enumerate(FEATURES)]
+    joint = scored.groupBy(*KEYS).agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)), *(F.covar_pop(clipped[i], clipped[j]).alias(f"c_{i}_{j}") for i, j in pairs))
+    return plain.withColumn("_start", F.lit(0)).unionByName(joint.withColumn("_start", F.lit(1)))
 
 
 def fit(rows: DataFrame, steps: int = 3) -> DataFrame:
     """Estimates for each group of ``rows`` (group keys and features; a checkpoint or a table)."""
-    quartiles = rows.groupBy("_lang", "_source").agg(*(F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i, f in enumerate(FEATURES)))
-    start = [F.get(F.col(f"q_{i}"), 1).alias(f"m_{i}") for i in range(P)]
-    start += [(F.pow((F.get(F.col(f"q_{i}"), 2) - F.get(F.col(f"q_{i}"), 0)) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    estimates = cut(_with_factor(quartiles.select("_lang", "_source", *start), 1.0))
+    keys = [*KEYS, "_start"]
+    estimates = cut(_with_factor(_starts(rows), 1.0, keys))
+    twice = rows.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        near = _distances(rows, estimates)
-        bound = cut(near.groupBy("_lang", "_source").agg(F.percentile_approx("d2", SHARE, 2000).alias("bound")))
-        inside = near.join(bound, ["_lang", "_source"])
-        estimates = cut(_with_factor(_moments(inside, F.col("d2") <= F.col("bound")), SHARE_FACTOR))
-    return cut(_with_factor(_moments(_distances(rows, estimates), F.col("d2") <= REWEIGHT_QUANTILE), REWEIGHT_FACTOR))
+        near = _distances(twice, estimates, keys)
+        bound = cut(near.groupBy(*keys).agg(F.percentile_approx("d2", SHARE, 2000).alias("bound")))
+        inside = near.join(bound, keys)
+        estimates = cut(_with_factor(_moments(inside, F.col("d2") <= F.col("bound"), keys), SHARE_FACTOR, keys))
+    spread = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0))  # half the log of the determinant
+    values = [c for c in estimates.columns if c not in keys]
+    best = cut(estimates.groupBy(*KEYS).agg(F.min_by(F.struct(*values), F.struct(F.round(spread, 9), "_start")).alias("_best")).select(*KEYS, "_best.*"))
+    return cut(_with_factor(_moments(_distances(rows, best), F.col("d2") <= REWEIGHT_QUANTILE, KEYS), REWEIGHT_FACTOR, KEYS))
 
 
 def judge(docs: DataFrame, min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:

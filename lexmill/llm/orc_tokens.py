@@ -6,7 +6,8 @@ be read by a task of its own.  Positions in the whole corpus come from the count
 a global window.
 
 Null or empty texts give a document of the end id alone; a null ``doc_id`` comes first; repeated rows with
-one ``doc_id`` are ordered by their text; other columns are ignored; an empty table gives empty files.
+one ``doc_id`` are ordered by their text; texts of any length are taken whole; other columns are ignored, whatever
+their names; an empty table gives empty files.
 """
 
 from __future__ import annotations

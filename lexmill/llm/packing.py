@@ -7,7 +7,8 @@ removed as often at once as the histogram allows.  The resulting plan gives bins
 length by their rank; ranks are counted within salted groups, so that no length meets in one task.
 
 Null or empty texts are a document of the end id alone; repeated rows are packed each; an empty table gives
-no rows; other columns are ignored.  Only documents longer than the capacity are cut.
+no rows; other columns are ignored, whatever their names.  Only documents longer than the capacity are cut, those
+of any length whole; a null doc_id is packed; pieces of equal length take seats in the order of doc_id and piece.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ The benchmark is the stated query set: it is indexed in blocks of at most ``bloc
 of which goes to all tasks, so what is broadcast has a fixed bound.  Documents are never shuffled.
 
 Null or empty texts and items match nothing; items shorter than q match where they occur exactly between
-word borders; repeated items or documents each give their matches; other columns are ignored.
+word borders; texts of any length are searched whole; repeated items or documents each give their matches, and of
+overlapping matches of one item the one with the fewest errors, then the first, counts; a null doc_id keeps its
+matches; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -493,12 +493,18 @@ def test_outliers(spark, empty):
     x = f[list(mcd_rules.FEATURES)].to_numpy()
     floor = np.diag(np.square(mcd_rules.FLOORS))
     q1, m, q3 = (np.sort(x, 0)[int(np.ceil(p * len(x))) - 1] for p in (0.25, 0.5, 0.75))
-    cov = np.diag(((q3 - q1) / 1.349) ** 2) + floor
+    scale = (q3 - q1) / 1.349
+    clipped = np.clip((x - m) / np.maximum(scale, mcd_rules.FLOORS), -2, 2) * np.maximum(scale, mcd_rules.FLOORS)
     dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    for _ in range(3):
-        d = dist(m, cov)
-        inside = x[d <= np.sort(d)[int(np.ceil(0.75 * len(x))) - 1]]
-        m, cov = inside.mean(0), np.cov(inside.T, bias=True) * mcd_rules.SHARE_FACTOR + floor
+    ends = []
+    for start in (np.diag(scale**2) + floor, np.cov(clipped.T, bias=True) + floor):
+        at, cov = m, start
+        for _ in range(3):
+            d = dist(at, cov)
+            inside = x[d <= np.sort(d)[int(np.ceil(0.75 * len(x))) - 1]]
+            at, cov = inside.mean(0), np.cov(inside.T, bias=True) * mcd_rules.SHARE_FACTOR + floor
+        ends.append((round(np.log(np.linalg.det(cov)) / 2, 9), len(ends), at, cov))
+    _, _, m, cov = min(ends, key=lambda e: e[:2])
     inside = x[dist(m, cov) <= mcd_rules.REWEIGHT_QUANTILE]
     m, cov = inside.mean(0), np.cov(inside.T, bias=True) * mcd_rules.REWEIGHT_FACTOR + floor
     assert np.allclose([got[i].distance for i in f["doc_id"]], dist(m, cov), rtol=0.05, atol=0.05)
