@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lexmill import catalog
+from lexmill.operators import candidates, glide
+from lexmill.sources import lexicon_tables
 
 
 def test_governor_fit_pairs(spark, tmp_path):
@@ -18,3 +22,56 @@ def test_code_stems_all(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: r.stem for r in catalog.QUERIES["code_stems_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "B", 150: "C", 200: "C", 201: None}
+
+
+def test_thinned_strokes(spark):
+    """Points within a quarter key width of the last kept one go; the first stays."""
+    points = "array(" + ", ".join(f"struct({x}D as x, {y}D as y)" for x, y in ((0, 0), (0.1, 0), (0.2, 0), (0.3, 0), (0.3, 0.2), (0.3, 0.3), (1, 1))) + ")"
+    df = spark.sql(f"SELECT {points} AS points UNION ALL SELECT array(struct(5D as x, 5D as y))")
+    got = sorted([[(p.x, p.y) for p in r.t] for r in df.select(glide.thinned(F.col("points")).alias("t")).collect()])
+    assert got == [[(0, 0), (0.3, 0), (0.3, 0.3), (1, 1)], [(5, 5)]]
+
+
+def test_compound_repair(spark):
+    cuts = spark.createDataFrame([("bílskúr", "bíls", "kúr"), ("bílsdyr", "bíls", "dyr")], "typed string, modifier string, rest string")
+    heads = spark.createDataFrame([("skúr", 9), ("dyr", 4), ("dyra", 2)], "word string, frequency long")
+    got = {(r.typed, r.word): r.cost for r in candidates.compound_repairs(cuts, heads).collect()}
+    assert got == {("bílskúr", "bílsskúr"): 4.0, ("bílsdyr", "bílsdyra"): 4.0}
+
+
+def test_restoration_gates(spark):
+    schema = "typed string, word string, t_f_primary long, t_f_secondary long, t_z_primary double, t_z_secondary double, w_f_primary long, w_f_secondary long, w_z_primary double, w_z_secondary double"
+    rows = [("a", "á", 1, None, 0.0, -2.0, 20, None, 1.0, -2.0), ("b", "bá", 10, None, 0.0, -2.0, 20, None, 1.0, -2.0), ("c", "cá", None, 5, 0.0, 3.0, 20, None, 1.5, -2.0), ("im", "i'm", None, None, 0.0, 0.0, None, 50, 0.0, 2.0)]
+    got = {r.typed: (r.lane, r.dominates, r.advantage, r.guard, r.apply) for r in candidates.restoration_gates(spark.createDataFrame(rows, schema), 0.7).collect()}
+    assert got == {"a": (True,) * 5, "b": (True, False, True, True, False), "c": (True, True, True, False, False), "im": (False, True, True, True, False)}
+
+
+def test_stored_lexicon_is_read_not_counted_again(spark, data):
+    """Look-ups scan the stored tables: no plan of theirs reads the documents."""
+    for name in ("next_word_topk", "corrections_ranked", "completions_ranked", "lane_posterior", "blended_score", "autocorrect_gates"):
+        plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and "lexicon-" in plan, name
+
+
+def test_lexicon_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "uno dos uno", "es"), (2, "one two one", "en"), (3, None, "en"), (4, "eins", "de"), (5, "", None)], "doc_id long, text string, lang string")
+    lexicon = lexicon_tables.write_lexicon(docs, f"{tmp_path}/lexicon", ("es", "en"))
+    assert sorted(map(tuple, lexicon.unigrams.collect())) == [("dos", 1, "es"), ("one", 2, "en"), ("two", 1, "en"), ("uno", 2, "es")]
+    assert sorted(map(tuple, lexicon.bigrams.collect())) == [("dos", "uno", 1, "es"), ("one", "two", 1, "en"), ("two", "one", 1, "en"), ("uno", "dos", 1, "es")]
+    assert {r.lane: r.total for r in lexicon.scale.collect()} == {"es": 3, "en": 3}
+    plan = lexicon.unigrams.filter("lane = 'es' AND word = 'uno'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lane" in plan and "EqualTo(word,uno)" in plan
+
+
+def test_commits_span_batches(spark, tmp_path):
+    """A word that ends a text is committed when the session's next text comes in a later batch."""
+    from lexmill.streaming import sessions
+
+    schema = "session string, at long, text string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for rows in ([("a", 1, "hello wor"), ("b", 1, "one. two ")], [("a", 2, "ld"), ("b", 2, None)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        sessions.commits(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.session, r["at"], r.word, r.previous) for r in spark.read.schema(sessions.COMMITS).parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 1, "hello", None), ("a", 1, "wor", "hello"), ("b", 1, "one", None), ("b", 1, "two", None)]
