@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import BUCKET_BYTES, Stored, crc_mod
 from lexmill.llm.hashing import by_run, mix, split_words, word_hashes
+from lexmill.llm.memory import trim
 from lexmill.llm.packed import pack, unpack
 from lexmill.shipping import ship
 
 K = 5
-CHUNK_DOCS, CHUNK_BYTES = 4000, 8 << 20
+CHUNK_DOCS, CHUNK_BYTES = 4000, 4 << 20
 #: Contexts with more training tokens than this have their n-grams dealt out by the last word too.
 HOT_TOKENS, HOT_PARTS = 200_000, 64
 END = np.uint64(0x656E64)
@@ -329,10 +330,11 @@ def _asks(chunk: int, grams: _Grams) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *columns: str):
-    """The values of each row; a row at a time is unpacked."""
+    """The values of each row; a row at a time is unpacked, and what it took is given back."""
     for batch in batches:
         for row in range(batch.num_rows):
             yield tuple(batch.column(c)[row].as_py() for c in columns)
+            trim()
 
 
 def _ask_pairs(*settings):
