@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexmill.llm.common import cut, text_buckets
+from lexmill.llm.common import Stored, cut, text_buckets
 from lexmill.llm.fm_index import FMIndex
 from lexmill.llm.hashing import by_run, mix, split_words, window_hashes, word_hashes
 from lexmill.llm.packed import pack, unpack
@@ -348,13 +348,13 @@ def _with_skip(chunks: DataFrame, skip: DataFrame) -> DataFrame:
     return chunks.select("chunk", "ids", "n_words", "payload").join(skip, F.col("chunk") == F.col("of_skip"), "left").drop("of_skip")
 
 
-def _pieces(chunks: DataFrame, skip: DataFrame, width: int, shards: int) -> DataFrame:
+def _pieces(chunks: DataFrame, skip: DataFrame, width: int, shards: int) -> Stored:
     by_bucket = chunks.select("chunk", F.posexplode("minimizers").alias("bucket", "blob")).filter(F.length("blob") > 0)
     by_bucket = by_bucket.repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
     shared = by_bucket.mapInArrow(lambda batches: by_run(batches, "bucket", _shared), "of_chunk bigint, keys binary")
     keys = shared.groupBy("of_chunk").agg(F.collect_list("keys").alias("keys"))
     ready = _with_skip(chunks, skip).join(keys, F.col("chunk") == F.col("of_chunk")).select("chunk", "ids", "payload", "keys", "skip")
-    return cut(ready.mapInArrow(_cut_stretches(width, shards), "chunk bigint, bucket int, blob binary"))
+    return Stored(ready.mapInArrow(_cut_stretches(width, shards), "chunk bigint, bucket int, blob binary"), "stretches")
 
 
 def _judged(docs: DataFrame, width: int, shards: int | None, carried: list[str]) -> DataFrame:
@@ -365,12 +365,13 @@ def _judged(docs: DataFrame, width: int, shards: int | None, carried: list[str])
     chunks = cut(rows.mapInArrow(_chunk(width, shards), _CHUNKS))
     skip = _repeated_documents(chunks)
     pieces = _pieces(chunks, skip, width, shards)
-    to_shards = pieces.filter("bucket >= 0").repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
+    to_shards = pieces.rows.filter("bucket >= 0").repartition(shards, "bucket").sortWithinPartitions("bucket", "chunk")
     # a table of its own, so that what was dealt out to the shards goes before the chunks meet their answers
     answers = cut(to_shards.mapInArrow(_search_shard(width), "of_chunk bigint, bucket int, answer binary"))
     answers = answers.groupBy("of_chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    places = pieces.filter("bucket < 0").select(F.col("chunk").alias("of_chunk"), F.col("blob").alias("places"))
-    found = places.join(answers, "of_chunk")
+    places = Stored(pieces.rows.filter("bucket < 0").select(F.col("chunk").alias("of_chunk"), F.col("blob").alias("places")), "places")
+    pieces.drop()  # the shards have seen the stretches
+    found = places.rows.join(answers, "of_chunk")
     return _with_skip(chunks, skip).join(found, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "n_words", "payload", "skip", "places", "answers")
 
 
