@@ -13,7 +13,9 @@ Pages are dealt out by ranges of (host, path), so a host of any size spreads ove
 of equal pages of each range are known to all tasks, so that pairs do not depend on the ranges.
 
 Null or empty html gives the empty text; a null or unparsable url is a host and path of its own, the empty
-one; repeated rows count once in pairing and each get their text; other columns are ignored.
+one; repeated rows count once in pairing and each get their text; a null page_id is kept; pages of any length are taken
+whole; of two neighbours with equally long shared prefixes the one before counts; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
