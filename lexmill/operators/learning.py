@@ -50,10 +50,11 @@ def decayed(words: DataFrame, limit: int, factor: float = 0.5) -> DataFrame:
 def capped_words(words: DataFrame, cap: int) -> DataFrame:
     """Beyond ``cap`` words those of the lowest counts go; explicit ones always stay.
 
-    The rest is a top-k, which each partition cuts first."""
-    room = max(0, cap - words.filter("explicit").count())
-    best = words.filter(~F.col("explicit")).orderBy(F.col("count").desc(), F.col("word").desc()).limit(room)
-    return words.filter("explicit").unionByName(best)
+    The rest is a top-k, which each partition cuts first; only its ``cap`` rows are ranked in one task."""
+    kept = F.broadcast(words.filter("explicit").agg(F.count(F.lit(1)).alias("_kept")))  # a single row
+    best = words.filter(~F.col("explicit")).orderBy(F.col("count").desc(), F.col("word").desc()).limit(cap)
+    ranked = best.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("word").desc())))
+    return words.filter("explicit").unionByName(ranked.crossJoin(kept).filter(F.col("_rank") + F.col("_kept") <= cap).drop("_rank", "_kept"))
 
 
 def capped_pairs(pairs: DataFrame, cap: int) -> DataFrame:

@@ -144,3 +144,16 @@ def test_compaction_is_idempotent(spark, tmp_path):
     S.compact(S.event_stream(spark, str(tmp_path / "log")), str(tmp_path / "snap"), str(tmp_path / "cp"), fold, S.add_counts).awaitTermination(120)
     got = {r.word: r["count"] for r in spark.read.parquet(str(tmp_path / "snap" / "batch=1")).collect()}
     assert got == {"one": 2, "two": 1}
+
+
+def test_addresses(spark):
+    """IPv6 in its short forms, ports up to 65535, quoted local parts; what is none of these is left."""
+
+    cases = [
+        (T.IPV6, ["2001:db8::1", "::1", "fe80::", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1"], ["1:2", "g::h", "1:2:3:4:5:6:7:8:9"]),
+        (T.URL, ["https://example.org:65535/a", "10.0.0.1:80/x?y=1", "http://localhost:8080", "example.org"], ["example.org:99999", "localhost"]),
+        (T.EMAIL, ["a.b+c@example.org", '"a b"@example.org', "x@10.0.0.1"], ["a..b@example.org", "a@b", '"a"b"@example.org']),
+    ]
+    for pattern, good, bad in cases:
+        rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", F.col("t").rlike(f"^(?:{pattern})$").alias("ok")).collect()
+        assert {r.t: r.ok for r in rows} == {t: True for t in good} | {t: False for t in bad}
