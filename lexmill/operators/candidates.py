@@ -353,3 +353,12 @@ def validity(requests: DataFrame, known: DataFrame, personal: DataFrame, tombsto
     whole, hyphen = F.col("part") == F.col("typed"), F.contains("typed", F.lit("-"))
     out = rows.groupBy("typed").agg(*(F.bool_or(whole & F.col(c)).alias(c) for c in ("k", "p", "t", "ok")), F.bool_and(F.when(hyphen & ~whole, F.col("ok"))).alias("h"))
     return out.select("typed", F.col("k").alias("known"), F.col("p").alias("personal"), F.col("t").alias("deleted"), F.col("ok").alias("valid"), F.coalesce("h", F.lit(False)).alias("hyphenated"))
+
+
+def single_letters(rows: DataFrame, p_primary: float, least_z: float = 1.5, offer: float = 0.35, apply: float = 0.65) -> DataFrame:
+    """Whether the accented form of a lone letter is offered, and whether it is put in its place.
+
+    rows: f_primary, z_primary and score of the accented form, and the score of the letter as it is (bare)."""
+    typical = F.col("f_primary").isNotNull() & (F.col("z_primary") >= least_z)
+    share = 1 / (1 + F.exp(F.col("bare") - F.col("score")))
+    return rows.withColumns({"offered": typical & F.lit(p_primary >= offer), "auto": typical & F.lit(p_primary >= apply), "confidence": share})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.config import DEFAULT
+from lexmill.config import ACUTE, DEFAULT
 from lexmill.functions import text as T
 from lexmill.operators import candidates as C
 from lexmill.operators import lexicon as L
@@ -14,6 +14,7 @@ from lexmill.operators import morphology as P
 from lexmill.operators import stores as S
 from lexmill.plans.correction import _EDITS, _RESTORE, _SUBST, FORMS, KNOWN, LOG, TYPED, _forms, _gone, _known, _log, _typed, _words
 from lexmill.plans.language import BI, CAL, REQ, TOK, _bi, _request_pairs, _requests, _scored, _uni, blend_sql, lane_posterior, scored_sql
+from lexmill.plans.more import autocorrect_gates
 from lexmill.plans.registry import ORACLE_SQL, query, table
 from lexmill.plans.stores import us
 
@@ -382,3 +383,40 @@ def spacebar_choice(s, d):
     top = softmax_confidence(s, d).groupBy("prefix").agg(F.max_by("word", F.struct("confidence", F.negative(F.length("word")), "word")).alias("word"), F.max("confidence").alias("confidence"))
     rows = top.select("*", F.explode(F.array(*[F.lit(m) for m in ("complete", "always", "space")])).alias("mode"))
     return rows.select("prefix", "mode", F.when((F.col("mode") == "always") | ((F.col("mode") == "complete") & (F.col("confidence") >= 0.5)), F.col("word")).alias("chosen"))
+
+
+@query(
+    f"""SELECT g.typed, g.apply, c.candidates, concat_ws(',', CASE WHEN NOT long_enough THEN 'long_enough' END, CASE WHEN NOT cheap THEN 'cheap' END, CASE WHEN NOT marks_kept THEN 'marks_kept' END, CASE WHEN NOT typical THEN 'typical' END, CASE WHEN NOT ahead THEN 'ahead' END) AS failed
+FROM ({ORACLE_SQL['autocorrect_gates']}) g JOIN (SELECT typed, string_agg(word, ',' ORDER BY rank) AS candidates FROM ({ORACLE_SQL['corrections_ranked']}) GROUP BY typed) c USING (typed)"""
+)
+def correction_trace(s, d):
+    """Why each request is corrected or not: its first candidates, and the gates that its winner fails."""
+    from lexmill.plans.correction import corrections_ranked
+
+    gates = ("long_enough", "cheap", "marks_kept", "typical", "ahead")
+    failed = F.concat_ws(",", *(F.when(~F.col(g), g) for g in gates))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda c: c["word"])  # five at most
+    shown = corrections_ranked(s, d).groupBy("typed").agg(F.array_join(ordered, ",").alias("candidates"))
+    return autocorrect_gates(s, d).select("typed", "apply", failed.alias("failed")).join(shown, "typed")
+
+
+_ACUTES = "letters(typed, word) AS (VALUES ('a', 'á'), ('e', 'é'), ('i', 'í'), ('o', 'ó'), ('u', 'ú'), ('y', 'ý')), common AS (SELECT max(frequency) AS f FROM uni WHERE lane = 'es')"
+
+
+@query(
+    f"""WITH {TOK}, {CAL}, {_ACUTES}, uni2 AS (SELECT lane, word, frequency FROM uni WHERE NOT (lane = 'es' AND word IN (SELECT word FROM letters)) UNION ALL SELECT 'es', word, f FROM letters, common WHERE typed < 'p'), q AS (SELECT typed AS word FROM letters UNION SELECT word FROM letters),
+x AS ({scored_sql('q', '1 AS one').replace('FROM uni WHERE', 'FROM uni2 WHERE')}), b AS (SELECT word, f1, z1, {blend_sql('z1', 'z2', '0.7')} AS score FROM x)
+SELECT l.typed, l.word, w.f1 IS NOT NULL AND w.z1 >= 1.5 AS offered, w.f1 IS NOT NULL AND w.z1 >= 1.5 AND 0.7 >= 0.65 AS auto, round(1 / (1 + exp(t.score - w.score)), 6) AS confidence FROM letters l JOIN b w ON w.word = l.word JOIN b t ON t.word = l.typed"""
+)
+def single_letter_rules(s, d):
+    """Whether a lone letter is offered its accent, with the accents of a, e, i and o taken for the commonest words."""
+    from lexmill.plans.language import _stored
+
+    uni, letters = _uni(s, d).select("lane", "word", "frequency"), s.createDataFrame(sorted((b, a) for a, b in ACUTE.items()), "typed string, word string")
+    common = F.broadcast(uni.filter("lane = 'es'").agg(F.max("frequency").alias("frequency")))  # a single row
+    own = letters.filter("typed < 'p'").crossJoin(common).select(F.lit("es").alias("lane"), "word", "frequency")
+    lexicon = uni.filter(~((F.col("lane") == "es") & F.col("word").isin(*ACUTE))).unionByName(own)
+    asked = letters.select(F.col("typed").alias("word")).union(letters.select("word"))
+    scored = M.with_scores(asked, lexicon, _stored(s, d).scale).withColumn("score", M.blend(F.col("z_primary"), F.col("z_secondary"), F.lit(0.7)))
+    rows = letters.join(scored.select("word", "f_primary", "z_primary", "score"), "word").join(scored.select(F.col("word").alias("typed"), F.col("score").alias("bare")), "typed")
+    return C.single_letters(rows, 0.7).select("typed", "word", "offered", "auto", F.round("confidence", 6).alias("confidence"))
