@@ -147,3 +147,13 @@ def packed_digests(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     """Pieces with the crc32 of their ids in place of the ids, and their seats."""
     pieces = token_pieces(docs, vocabulary, end_id, capacity)
     return pack(cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), capacity)
+
+
+def packed_sequences(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+    """sequence_id, n_tokens, ids (little-endian unsigned 32-bit) and pieces (offset, doc_id, piece, length) of every
+    sequence: what a training job reads.  A sequence has ``capacity`` ids at most, so its pieces meet in one row."""
+    seated = pack(cut(token_pieces(docs, vocabulary, end_id, capacity).select("doc_id", "piece", "length", "ids")), capacity)
+    held = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
+    rows = seated.groupBy("sequence_id").agg(held.alias("held"), F.sum("length").alias("n_tokens"))
+    ids = F.aggregate(F.transform("held", lambda h: h["ids"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    return rows.select("sequence_id", "n_tokens", ids.alias("ids"), F.transform("held", lambda h: F.struct(*(h[c].alias(c) for c in ("offset", "doc_id", "piece", "length")))).alias("pieces"))

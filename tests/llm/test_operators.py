@@ -131,6 +131,19 @@ def test_packing(docs, empty, spark):
     assert packing.packed_digests(empty).count() == 0
 
 
+def test_packed_sequences_hold_every_id(docs, empty, library):
+    got = packing.packed_sequences(docs, capacity=64).collect()
+    parts = {}
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.n_tokens <= 64 and [p.offset for p in r.pieces] == np.cumsum([0] + [p.length for p in r.pieces])[:-1].tolist()
+        parts |= {(p.doc_id, p.piece): ids[p.offset : p.offset + p.length].tolist() for p in r.pieces}
+    for i, t, *_ in corpus():
+        ids = (library.encode(t, add_special_tokens=False).ids if t else []) + [0]
+        assert sum((parts.pop((i, k)) for k in range(-(-len(ids) // 64))), []) == ids
+    assert not parts and packing.packed_sequences(empty).count() == 0
+
+
 def test_fullest_is_exact():
     rng = random.Random(4)
     for _ in range(200):
