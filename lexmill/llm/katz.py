@@ -88,6 +88,12 @@ def _unplanes(x: np.ndarray) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.int64)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in no more bytes than the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
 def _ask_words(n_buckets: int, modulus: int):
     """A chunk's tokens as positions in its words, frequent ones first, and for each bucket the words there
     with their training counts."""
@@ -270,25 +276,35 @@ def _count_grams(weight):
     follow it and the sum of ``weight`` of their shorter n-grams' counts."""
 
     def bucket(table: pa.Table) -> pa.RecordBatch:
-        parts = [tuple(map(_unplanes, unpack(b))) for b in table.column("ask").to_pylist()]
-        heads, head_of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        size, trained = (np.concatenate([p[k] for p in parts]) for k in (1, 7))
-        word, lower = np.concatenate([np.cumsum(p[3])[p[4]] for p in parts]), np.concatenate([p[5][p[6]] for p in parts])
+        parts = [unpack(b) for b in table.column("ask").to_pylist()]  # byte planes; a column at a time becomes numbers
+        heads, head_of = np.unique(np.concatenate([np.cumsum(_unplanes(p[0])) for p in parts]), return_inverse=True)
+        head_of = head_of.astype(np.int32)
+        word = np.concatenate([_narrow(np.cumsum(_unplanes(p[3])))[_unplanes(p[4])] for p in parts])
         radix = int(word.max(initial=0)) + 1
-        key, gram_of = np.unique(np.repeat(head_of, size) * radix + word, return_inverse=True)
-        total = np.bincount(gram_of, weights=trained, minlength=len(key)).astype(np.int64)
-        shorter = np.zeros(len(key), np.int64)
-        shorter[gram_of] = lower
-        seen, of = total > 0, key // radix
-        sums = [np.bincount(of[total == r], minlength=len(heads)) for r in range(1, K + 1)]
-        sums.append(np.bincount(of, weights=np.where(total > K, total, 0), minlength=len(heads)).astype(np.int64))
+        key = np.repeat(head_of, np.concatenate([_narrow(_unplanes(p[1])) for p in parts])).astype(np.int64)
+        key *= radix
+        key += word.astype(np.int64)
+        del word
+        key, gram_of = np.unique(key, return_inverse=True)
+        gram_of = gram_of.astype(np.int32)
+        of = (key // radix).astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum([p[4].shape[1] for p in parts])]).tolist()
+        total, shorter = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        del key
+        for p, a, b in zip(parts, bounds, bounds[1:]):
+            np.add.at(total, gram_of[a:b], _unplanes(p[7]))
+            shorter[gram_of[a:b]] = _unplanes(p[5])[_unplanes(p[6])]
+        seen = total > 0
+        sums = [_narrow(np.bincount(of[total == r], minlength=len(heads))) for r in range(1, K + 1)]
+        sums.append(_narrow(np.bincount(of, weights=np.where(total > K, total, 0), minlength=len(heads)).astype(np.int64)))
         below = np.bincount(of[seen], weights=weight(shorter[seen]), minlength=len(heads))
-        out, h, k = [], 0, 0
-        for p in parts:
-            own = head_of[h : h + len(p[0])]
-            out.append(pack((_planes(total[gram_of[k : k + len(p[4])]]), [_planes(s[own]) for s in sums], below[own[p[2] > 0]])))
-            h, k = h + len(p[0]), k + len(p[4])
-        return _answer(table, out, _counts_of_counts(total))
+        stats, total = _counts_of_counts(total), _narrow(total)
+        out, h = [], 0
+        for p, a, b in zip(parts, bounds, bounds[1:]):
+            own = head_of[h : h + p[0].shape[1]]
+            out.append(pack((_planes(total[gram_of[a:b]]), [_planes(s[own]) for s in sums], below[own[_unplanes(p[2]) > 0]])))
+            h += len(own)
+        return _answer(table, out, stats)
 
     return lambda batches: by_run(batches, "bucket", bucket)
 
