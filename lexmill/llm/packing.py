@@ -4,7 +4,8 @@ A bin is filled by a subset-sum dynamic programme over the lengths that are stil
 reachable fills, and the fullest reachable combination is taken and removed.  Only lengths matter to it, so
 it works on the histogram of lengths (at most ``capacity`` rows, whatever the corpus): a combination is
 removed as often at once as the histogram allows.  The resulting plan gives bins to the pieces of each
-length by their rank; ranks are counted within salted groups, so that no length meets in one task.
+length by their rank; ranks are counted within groups of about ``GROUP_ROWS`` pieces of one length, so that no
+length meets in one task.
 
 Null or empty texts are a document of the end id alone; repeated rows are packed each; an empty table gives
 no rows; other columns are ignored, whatever their names.  Only documents longer than the capacity are cut, those
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut
 from lexmill.llm.encoding import encode_with_end, encoder, slices, vocabulary_path
+from lexmill.shipping import ship
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+GROUP_ROWS = 20_000
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -49,6 +52,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """The documents' ids with ``end_id`` appended, cut where longer than ``capacity``: doc_id, piece, start,
     length and ids (little-endian unsigned 32-bit)."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return docs.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), PIECES)
 
@@ -116,15 +120,16 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more columns, none of them ids) with sequence_id and offset.
 
     ``pieces`` is read several times: it should be a table or a checkpoint."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = cut(sizes)  # at most capacity * SALTS rows
-    histogram = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
+    lengths = cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")))  # at most capacity rows
+    histogram = {int(r[0]): int(r[1]) for r in lengths.collect()}
+    salts = lengths.select("length", F.ceil(F.col("_n") / GROUP_ROWS).alias("_salts"))
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts")).cast("int")).drop("_salts")
+    sizes = cut(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))  # a row for GROUP_ROWS pieces, and one for each length at most
     seats = _seats(slack_plan(histogram, capacity), capacity)
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(offsets), ["length", "_salt"])
+    ranked = salted.withColumn("_rank", rank).join(offsets, ["length", "_salt"])  # both are dealt out by these keys
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).select(*pieces.columns, "_rank")
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
