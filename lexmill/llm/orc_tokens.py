@@ -6,7 +6,7 @@ be read by a task of its own.  Positions in the whole corpus come from the count
 a global window.
 
 Null or empty texts give a document of the end id alone; a null ``doc_id`` comes first; repeated rows with
-one ``doc_id`` are ordered by their text; texts of any length are taken whole; other columns are ignored, whatever
+one ``doc_id`` are ordered by a hash of their text and may lie in several files; texts of any length are taken whole; other columns are ignored, whatever
 their names; an empty table gives empty files.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType
 
 from lexmill.llm.common import shared_path
 from lexmill.llm.encoding import encode_with_end, encoder, slices, vocabulary_path
+from lexmill.shipping import ship
 
 SCHEMA = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -44,7 +45,9 @@ def _encode_range(path: str, end_id: int):
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, stripe_bytes: int = 64 << 20, row_stride: int = 10_000, bloom_fpp: float = 0.01, bloom_columns: str = "doc_id") -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``path`` as ORC in ascending order of doc_id."""
-    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ship(docs.sparkSession)
+    hashed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))  # splits rows that repeat an id
+    ranged = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     (
         ranged.mapInArrow(_encode_range(vocabulary or vocabulary_path(), end_id), SCHEMA)
         .write.option("orc.bloom.filter.columns", bloom_columns)
