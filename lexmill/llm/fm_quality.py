@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import words
 from lexmill.llm.memory import claim
+from lexmill.shipping import ship
 
 WORD_BUCKETS = 1 << 17
 BINS = 16
@@ -108,6 +109,7 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000, rank: int = 8, epochs: int = 6, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine | None:
     """Train on the documents that ``labels`` (doc_id, quality) marks; several labels of one document: the largest."""
+    ship(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     total = labels.count()
     share = min(1.0, max_labels / max(1, total))
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000, rank: int
 
 def score(docs: DataFrame, machine: Machine | None, held_out: Column) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size, about 5 MB
+    model = ship(docs.sparkSession).sparkContext.broadcast(machine)  # of fixed size, about 5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = model.value
@@ -162,7 +164,7 @@ def score(docs: DataFrame, machine: Machine | None, held_out: Column) -> DataFra
 
 def keep_good(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """The rows of ``docs`` whose text is predicted to be of quality 1, with all their columns; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = ship(docs.sparkSession).sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = model.value

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexmill.llm.common import cut
+from lexmill.shipping import ship
 
 # Elements of HTML.
 BLOCKS = frozenset(
@@ -382,6 +383,7 @@ def shared_with_nearest(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page (page_id, url, html)."""
+    ship(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     shared = shared_with_nearest(pages)
     packed = pages.mapInArrow(_pack, "page_id bigint, url string, key bigint, packed binary")

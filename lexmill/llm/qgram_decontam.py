@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.shipping import ship
+
 Q = 12
 ERROR_RATE = 0.05
 PASSAGE, PIECE, STEP = 66, 32, 8
@@ -230,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float =
 
     With ``passage``, also of items that occur in part or edited, from so many characters in matching pieces on;
     the errors of those are the characters of the item in no such piece."""
-    context = docs.sparkSession.sparkContext
+    context = ship(docs.sparkSession).sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = [docs.mapInArrow(_search(context.broadcast(Search(block, q, error_rate, passage))), MATCHES) for block in _blocks(benchmark, block_chars)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], MATCHES)
