@@ -93,6 +93,14 @@ def banded(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int]:
     return int(row[at]), int(ends[at])
 
 
+def _verbatim(item: np.ndarray, text: np.ndarray) -> int:
+    """Where ``item`` first stands in ``text`` as it is, -1 if nowhere."""
+    for at in np.flatnonzero(text[: max(0, len(text) - len(item) + 1)] == item[0]).tolist():
+        if np.array_equal(text[at : at + len(item)], item):
+            return at
+    return -1
+
+
 class Index:
     """Q-grams of some benchmark items, for streaming documents past them."""
 
@@ -115,12 +123,17 @@ class Index:
         self.mask = np.zeros(1 << _MASK_BITS, bool)
         self.mask[self.keys >> np.uint32(32 - _MASK_BITS)] = True
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, errors) of every item that the text holds within its budget."""
+    def matches(self, text: str, codes: np.ndarray | None = None, grams: dict[int, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, errors) of every item that the text holds within its budget; ``codes`` and
+        ``grams`` (by q) are the text's, where they are known already."""
         out = [(i, m.start(), m.end(), 0) for i, p in self.short for m in p.finditer(text)]
-        codes = _codes(text)
-        grams = qgrams(codes, self.q)
-        if not len(self.keys) or not len(grams):
+        if not len(self.keys):
+            return out
+        codes, known = _codes(text) if codes is None else codes, {} if grams is None else grams
+        if self.q not in known:
+            known[self.q] = qgrams(codes, self.q)
+        grams = known[self.q]
+        if not len(grams):
             return out
         spot = np.flatnonzero(self.mask[grams >> np.uint32(32 - _MASK_BITS)])
         if not len(spot):
@@ -146,6 +159,10 @@ class Index:
             stride, budget, own = int(self.stride[i]), int(self.budget[i]), self.codes[i]
             low = int(band[b] & ((1 << 40) - 1)) * stride - (1 << 30)
             start, end = max(0, low - budget), min(len(codes), low + 2 * stride + len(own) + budget)
+            at = _verbatim(own, codes[start:end])  # as most are, and that is quickly seen
+            if at >= 0:
+                found.setdefault(i, []).append((start + at, start + at + len(own), 0))
+                continue
             errors, stop = banded(own, codes[start:end], budget)
             if errors <= budget:
                 back = banded(own[::-1], codes[start : start + stop][::-1], budget)[1]
@@ -175,11 +192,12 @@ class Search:
             self.pieces = Index([(k << 32 | at, items[k][1][at : at + PIECE]) for k, at in starts], min(q, PIECE // (int(rate * PIECE) + 1)), rate)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        out = [m for index in self.whole for m in index.matches(text)]
+        codes, grams = _codes(text), {}
+        out = [m for index in self.whole for m in index.matches(text, codes, grams)]
         if self.pieces is None:
             return out
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for name, start, end, _ in self.pieces.matches(text):
+        for name, start, end, _ in self.pieces.matches(text, codes, grams):
             found.setdefault(name >> 32, []).append((start, end, name & 0xFFFFFFFF))
         for k, spans in found.items():
             item, t = self.items[k]
