@@ -27,7 +27,7 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words and pieces kept per worker.  Those beyond it are encoded anew in each batch; the result is the same.
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 200_000
 #: Bytes of text that are looked up at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: Words of these letters are cut as the pre-tokenizer cuts them; others go to the library.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -108,7 +108,7 @@ class Encoder:
         first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         if not len(first):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        up, down = _powers(1 << max(22, len(raw).bit_length()))
+        up, down = _powers(1 << max(20, len(raw).bit_length()))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
         h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
