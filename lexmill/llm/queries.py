@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chosen_path, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
+from lexmill.llm import chosen_path, collocations, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
 from lexmill.llm.common import crc_mod, table
 
 
@@ -55,6 +55,10 @@ def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", orc_tokens.ids_crc32("ids").alias("ids_crc32"))
 
 
+def op11_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_min_bin_slack": op8_min_bin_slack,
     "op9_nearest_url": op9_nearest_url,
     "op10_orc_token_ids": op10_orc_token_ids,
+    "op11_suffix_sigma": op11_suffix_sigma,
 }
 _WORDS = "SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
 
@@ -75,7 +80,7 @@ def _run_of(n: int) -> str:
     return "word" + "".join(f" || ' ' || lead(word, {k}) OVER w" for k in range(1, n))
 
 
-#: What op6 and op7 return, by all windows and all pairs; the others have trained models, alignments or token ids.
+#: What op6 and op7 return, by all windows and all pairs, and op11 by all runs of words; the others have trained models, alignments or token ids.
 ORACLE_SQL: dict[str, str] = {
     "op6_fm_index": f"""WITH tok AS ({_WORDS.format(text="coalesce(text, '')")}), win AS (SELECT doc_id, pos, word, {_run_of(20)} AS run FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 seen AS (SELECT doc_id, pos, word, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS again FROM win),
@@ -89,4 +94,14 @@ both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b
 link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)), e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(coalesce(least, doc_id), doc_id) AS component_id, doc_id = least(coalesce(least, doc_id), doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_suffix_sigma": f"""WITH piece AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM (
+SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+tok AS (SELECT lang, piece, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM piece), total AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
+win AS (SELECT lang, {", ".join(f"{_run_of(k)} AS p{k}" for k in range(1, 6))} FROM tok WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+f AS MATERIALIZED ({" UNION ALL ".join(f"SELECT lang, p{k} AS phrase, {k} AS size, count(*) AS f FROM win WHERE p{k} IS NOT NULL GROUP BY ALL HAVING count(*) >= 100" for k in range(1, 6))}),
+cut AS (SELECT lang, phrase, size, f, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+cand AS (SELECT c.lang, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, n, 1000 * c.f::HUGEINT * n // (x.f::HUGEINT * y.f) AS score FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[: c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 :], ' ') JOIN total t ON t.lang = c.lang),
+low AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i : j], ' ') AS phrase, max(f) AS most FROM (SELECT lang, f, string_split(phrase, ' ') AS ws, size, unnest(range(1, size + 1)) AS i FROM f WHERE size > 2), LATERAL (SELECT unnest(range(i + 1, size + 1)) AS j) WHERE j - i + 1 < size GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a) WHERE rank <= 2000""",
 }
