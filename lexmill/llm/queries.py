@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chosen_path, collocations, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, substring_dedup
+from lexmill.llm import chosen_path, collocations, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, reply_trees, substring_dedup
 from lexmill.llm.common import crc_mod, table
 
 
@@ -59,6 +59,13 @@ def op11_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return reply_trees.digests(reply_trees.written(rows.unionByName(planted)))
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -71,6 +78,7 @@ QUERIES = {
     "op9_nearest_url": op9_nearest_url,
     "op10_orc_token_ids": op10_orc_token_ids,
     "op11_suffix_sigma": op11_suffix_sigma,
+    "op12_reply_trees": op12_reply_trees,
 }
 _WORDS = "SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
 
@@ -80,6 +88,8 @@ def _run_of(n: int) -> str:
     return "word" + "".join(f" || ' ' || lead(word, {k}) OVER w" for k in range(1, n))
 
 
+_ESCAPES = "regexp_replace(regexp_replace(text, '<(\\\\*(?:/?s>|\\|(?:im_start|im_end|endoftext|system|user|assistant)\\|>|unk>|pad>|</?SYS>>))', '<\\\\\\1', 'g'), '\\[(\\\\*/?INST\\])', '[\\\\\\1', 'g')"
+
 #: What op6 and op7 return, by all windows and all pairs, and op11 by all runs of words; the others have trained models, alignments or token ids.
 ORACLE_SQL: dict[str, str] = {
     "op6_fm_index": f"""WITH tok AS ({_WORDS.format(text="coalesce(text, '')")}), win AS (SELECT doc_id, pos, word, {_run_of(20)} AS run FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -104,4 +114,8 @@ cand AS (SELECT c.lang, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, n, 1000 * c
 low AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (SELECT lang, array_to_string(ws[i : j], ' ') AS phrase, max(f) AS most FROM (SELECT lang, f, string_split(phrase, ' ') AS ws, size, unnest(range(1, size + 1)) AS i FROM f WHERE size > 2), LATERAL (SELECT unnest(range(i + 1, size + 1)) AS j) WHERE j - i + 1 < size GROUP BY ALL)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a) WHERE rank <= 2000""",
+    "op12_reply_trees": f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, {_ESCAPES} AS escaped FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(7 + sum(length(role) + length(escaped) + 24) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
 }
