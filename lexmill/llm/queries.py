@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chosen_path, collocations, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, qgram_decontam, reply_trees, substring_dedup
+from lexmill.llm import chosen_path, collocations, fm_quality, html_diff, katz, langid, mcd_rules, orc_tokens, packing, prefix_trie, qgram_decontam, reply_trees, substring_dedup
 from lexmill.llm.common import crc_mod, table
 
 
@@ -66,6 +66,10 @@ def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.digests(reply_trees.written(rows.unionByName(planted)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_orc_token_ids": op10_orc_token_ids,
     "op11_suffix_sigma": op11_suffix_sigma,
     "op12_reply_trees": op12_reply_trees,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _WORDS = "SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"
 
@@ -118,4 +123,14 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT low.*
 e AS (SELECT *, {_ESCAPES} AS escaped FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(7 + sum(length(role) + length(escaped) + 24) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op13_prefix_trie": """WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END), 4294967295), 4294967295) % 4 AS h FROM own),
+turn AS (SELECT c.conv_id, pos AS seq, role, text FROM conv c JOIN own o ON o.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, 10 + pos, role, text FROM conv c JOIN own o USING (conv_id) WHERE pos > h),
+occ AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS prefix, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM turn WINDOW w AS (PARTITION BY conv_id ORDER BY seq) UNION ALL SELECT conv_id, 0, '', 0 FROM conv),
+last AS (SELECT conv_id, max(depth) AS depth FROM occ GROUP BY conv_id),
+node AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(tokens) AS tokens, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (o.depth = last_depth), '') AS ends FROM (SELECT occ.*, last.depth AS last_depth FROM occ JOIN last USING (conv_id)) o GROUP BY prefix, depth),
+link AS (SELECT n.prefix, p.conv_id AS parent FROM node n JOIN occ o ON o.conv_id = n.conv_id AND o.depth = n.depth - 1 JOIN node p ON p.prefix = o.prefix AND p.depth = o.depth),
+kids AS (SELECT o.prefix, count(*) AS n FROM node n JOIN occ o ON o.conv_id = n.conv_id AND o.depth = n.depth - 1 GROUP BY o.prefix),
+below AS (SELECT o.prefix, sum((n.n - 1) * n.tokens) AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM node n JOIN occ o ON o.conv_id = n.conv_id AND o.depth <= n.depth LEFT JOIN kids k ON k.prefix = n.prefix GROUP BY o.prefix)
+SELECT n.conv_id, n.depth, parent AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256 FROM node n JOIN below USING (prefix) LEFT JOIN kids k USING (prefix) LEFT JOIN link USING (prefix)""",
 }
