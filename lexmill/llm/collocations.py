@@ -8,7 +8,9 @@ pass.  Only the phrases open at a range's two ends may go on in another one; the
 
 Words that a language has less than ``least`` times are in no phrase that counts, so suffixes end before them; a
 fixed-size bitmap says which words may be frequent (a word that only shares a bit costs time, not correctness).
-Suffixes that repeat within a chunk of texts travel once, with their number.
+Suffixes that repeat within a chunk of texts travel once, with their number, and each language's most frequent words
+(``CODED`` over all languages) in two or three bytes that begin with one that UTF-8 never has; others are spelled and
+end with a space.  No word's bytes begin another's, so words and bytes agree on what begins with a phrase.
 
 Parts of a phrase are at least as frequent as it, so all their counts are there once phrases below ``least`` are
 gone: they are joined by language and phrase.  Products of counts are decimals of 38 digits, exact up to 10^16 words.
@@ -39,6 +41,9 @@ BITMAP_BITS = 24
 CHUNK_BYTES = 4 << 20
 #: Parts that a language's candidates are ranked in first.
 RANK_PARTS = 64
+#: Words that have a code: 1024 of a language in two bytes, the others in three.
+CODED = 65_536
+_SHORT = 1024
 _MARK = b","
 #: Everything that ends a piece becomes one sign that no word holds.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _MARK * 10)
@@ -100,16 +105,35 @@ def may_be_frequent(lang: str, words: list[bytes], bitmap: np.ndarray) -> np.nda
     return bitmap[at >> 3] >> (at & 7) & 1 > 0
 
 
-def _suffixes(bitmap: bytes, max_n: int):
-    """Distinct truncated suffixes of each chunk with their number; words are followed by a space each."""
+def codes(counts: DataFrame, least: int) -> dict[str, list[bytes]]:
+    """The words of each language that have a code, by number: the ``CODED`` most frequent ones."""
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").limit(CODED)
+    out: dict[str, list[bytes]] = {}
+    for lang, word, _ in top.collect():
+        out.setdefault(lang, []).append(word.encode("utf-8", "surrogatepass"))
+    return out
+
+
+def _code(k: int) -> bytes:
+    if k < _SHORT:
+        return bytes((0xF8 + (k >> 8), k & 255))
+    k -= _SHORT
+    return bytes((0xFC + (k >> 16), k >> 8 & 255, k & 255))
+
+
+def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], max_n: int):
+    """Distinct truncated suffixes of each chunk with their number."""
     bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = {lang: {w: _code(k) for k, w in enumerate(words)} for lang, words in coded.items()}
         for lang, found in _by_lang(batches):
             vocabulary = sorted(set(found) - {_MARK})
             frequent = [w for w, f in zip(vocabulary, may_be_frequent(lang, vocabulary, bits).tolist()) if f]
             if not frequent:
                 continue
+            own = written.get(lang, {})
+            spelled = pa.array([b""] + [own.get(w) or w + b" " for w in frequent], pa.binary())
             code = {w: k for k, w in enumerate(frequent, 1)}
             ids = np.fromiter((code.get(w, 0) for w in found), np.int64, len(found))
             ids = np.concatenate([ids, np.zeros(max_n, np.int64)])
@@ -132,94 +156,132 @@ def _suffixes(bitmap: bytes, max_n: int):
                 new[1:] |= key[order][1:] != key[order][:-1]
             first = np.flatnonzero(new)
             counts = np.diff(np.append(first, len(order)))
-            spelled = pa.array([""] + [w.decode("utf-8", "surrogatepass") + " " for w in frequent], pa.string())
             for a in range(0, len(first), 1 << 16):
                 rows = order[first[a : a + (1 << 16)]]
-                text = pc.binary_join_element_wise(*(spelled.take(pa.array(c[rows])) for c in columns), "")
+                text = pc.binary_join_element_wise(*(spelled.take(pa.array(c[rows])) for c in columns), b"")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), text, pa.array(counts[a : a + (1 << 16)].astype(np.int64))], names=["lang", "suffix", "n"])
 
     return run
 
 
-def _count_prefixes(max_n: int, least: int):
+def word_ends(raw: np.ndarray, offsets: np.ndarray, max_n: int) -> np.ndarray:
+    """For each suffix (a row) where its first, second, ... word ends; the end of the suffix where it has no more."""
+    spaces = np.append(np.flatnonzero(raw == 0x20), len(raw))
+    raw = np.append(raw, 0)
+    at, stop, ends = offsets[:-1], offsets[1:], []
+    for _ in range(max_n):
+        lead = raw[at]
+        after = np.where(lead >= 0xFC, at + 3, np.where(lead >= 0xF8, at + 2, 0))
+        long = np.flatnonzero((after == 0) & (at < stop))
+        after[long] = spaces[np.searchsorted(spaces, at[long])] + 1
+        at = np.where(at < stop, after, stop)
+        ends.append(at)
+    return np.stack(ends)
+
+
+def _shared_bytes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix begins with that the one before it begins with too."""
+    n = len(offsets) - 1
+    out = np.zeros(n, np.int64)
+    size = np.diff(offsets)
+    limit = np.zeros(n, np.int64)
+    limit[1:] = np.minimum(size[1:], size[:-1])
+    live = np.flatnonzero(limit > 0)
+    while len(live):
+        same = raw[offsets[live] + out[live]] == raw[offsets[live - 1] + out[live]]
+        live = live[same]
+        out[live] += 1
+        live = live[out[live] < limit[live]]
+    return out
+
+
+def _spell(raw: bytes, words: list[bytes]) -> str:
+    """The phrase that bytes of a suffix stand for."""
+    out, at = [], 0
+    while at < len(raw):
+        if raw[at] >= 0xFC:
+            out.append(words[_SHORT + ((raw[at] - 0xFC) << 16 | raw[at + 1] << 8 | raw[at + 2])])
+            at += 3
+        elif raw[at] >= 0xF8:
+            out.append(words[(raw[at] - 0xF8) << 8 | raw[at + 1]])
+            at += 2
+        else:
+            end = raw.index(b" ", at)
+            out.append(raw[at:end])
+            at = end + 1
+    return b" ".join(out).decode("utf-8", "surrogatepass")
+
+
+def _count_prefixes(coded: dict[str, list[bytes]], max_n: int, least: int):
     """Counts of all phrases of a range of suffixes in order; below ``least`` only those that may go on in another range."""
 
+    def counted(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
+        spelled = [(lang, _spell(phrase, coded.get(lang, [])), size, n) for lang, phrase, size, n in rows]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spelled), kinds)], names=["lang", "phrase", "size", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list = [None] * (max_n + 1)  # for each size the phrase now open: [lang, phrase, count, began the range]
+        stack: list = [None] * (max_n + 1)  # for each size the phrase now open: language, phrase, count, whether it began the range
         began = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            split = pc.split_pattern(batch.column("suffix"), " ")
-            offsets = split.offsets.to_numpy().astype(np.int64)
-            flat = split.flatten().dictionary_encode()
-            codes, spelled = flat.indices.to_numpy(), flat.dictionary
+            lang, column, count = batch.column("lang"), batch.column("suffix"), batch.column("n").to_numpy()
+            buffers = column.buffers()
+            offsets = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
-            sizes = np.diff(offsets) - 1  # the last space ends the suffix
-            count = batch.column("n").to_numpy()
-            lang = batch.column("lang")
+            shared = _shared_bytes(raw, offsets)
             langs = lang.dictionary_encode().indices.to_numpy()
-            changed = np.ones(len(sizes), bool)
-            changed[1:] = langs[1:] != langs[:-1]
-            done: list[tuple[str, str, int, int]] = []
-
-            def phrase(row: int, size: int) -> str:
-                return " ".join(spelled[int(c)].as_py() for c in codes[offsets[row] : offsets[row] + size])
-
-            for size in range(1, max_n + 1):
-                at = np.full(len(sizes), -1, np.int64)
-                there = sizes >= size
-                at[there] = codes[offsets[:-1][there] + size - 1]
-                changed = changed.copy()
-                changed[1:] |= at[1:] != at[:-1]
-                starts = np.flatnonzero(changed & there)
-                open_ = stack[size]
+            shared[1:][langs[1:] != langs[:-1]] = -1
+            shared[0] = -1
+            done: list[tuple[str, bytes, int, int]] = []
+            begin = offsets[:-1]
+            there = np.ones(len(begin), bool)
+            for size, end in enumerate(word_ends(raw, offsets, max_n), 1):
+                there = there & (end > begin) if size == 1 else there & (end > last_end)
+                last_end, open_ = end, stack[size]
+                stack[size] = None
+                starts = np.flatnonzero(there & (shared < end - offsets[:-1]))
+                spell = lambda row, end=end: (lang[row].as_py(), raw[offsets[row] : end[row]].tobytes())
+                goes_on = len(starts) and starts[0] == 0 and open_ is not None and spell(0) == open_[:2]
+                if open_ is not None and not goes_on and (open_[2] >= least or open_[3]):
+                    done.append((*open_[:2], size, open_[2]))
                 if not len(starts):
-                    if open_ is not None and (open_[2] >= least or open_[3]):
-                        done.append((open_[0], open_[1], size, open_[2]))
-                    stack[size] = None
                     continue
                 sums = np.add.reduceat(np.where(there, count, 0), starts)
                 edge = not began and starts[0] == 0
-                if open_ is not None:  # the first row may go on with the phrase that is open
-                    if starts[0] == 0 and open_[0] == lang[0].as_py() and open_[1] == phrase(0, size):
-                        sums[0] += open_[2]
-                        edge = open_[3]
-                    elif open_[2] >= least or open_[3]:
-                        done.append((open_[0], open_[1], size, open_[2]))
-                stack[size] = None
-                last = len(starts) - 1
-                goes_on = bool(there[-1])  # the last row's phrase stays open
-                for k in np.flatnonzero(sums >= least).tolist():
-                    if not (k == last and goes_on):
-                        done.append((lang[int(starts[k])].as_py(), phrase(int(starts[k]), size), size, int(sums[k])))
-                if edge and sums[0] < least and not (last == 0 and goes_on):
-                    done.append((lang[int(starts[0])].as_py(), phrase(int(starts[0]), size), size, int(sums[0])))
                 if goes_on:
-                    row = int(starts[last])
-                    stack[size] = [lang[row].as_py(), phrase(row, size), int(sums[last]), edge and last == 0]
+                    sums[0] += open_[2]
+                    edge = open_[3]
+                last = len(starts) - 1
+                if there[-1]:  # the last row's phrase stays open
+                    stack[size] = (*spell(int(starts[last])), int(sums[last]), edge and last == 0)
+                out = sums >= least
+                out[0] |= edge
+                if there[-1]:
+                    out[last] = False
+                done += [(*spell(k), size, n) for k, n in zip(starts[out].tolist(), sums[out].tolist())]
             began = True
             if done:
-                yield _counted(done)
-        rest = [(s[0], s[1], size, s[2]) for size, s in enumerate(stack) if s is not None]
+                yield counted(done)
+        rest = [(*s[:2], size, s[2]) for size, s in enumerate(stack) if s is not None]
         if rest:
-            yield _counted(rest)
+            yield counted(rest)
 
     return run
 
 
-def _counted(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "phrase", "size", "n"])
-
+def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = 5, least: int = 100) -> DataFrame:
+    """lang, phrase, size and n of all phrases of up to ``max_n`` words that a language has ``least`` times.
 
-def phrase_counts(docs: DataFrame, bitmap: bytes, max_n: int = 5, least: int = 100) -> DataFrame:
-    """lang, phrase, size and n of all phrases of up to ``max_n`` words that a language has ``least`` times."""
+    ``words`` are ``word_counts``, kept in a table."""
     ship(docs.sparkSession)
+    bitmap, coded = frequent_bitmap(words, least), codes(words, least)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    suffixes = rows.mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n bigint")
+    suffixes = rows.mapInArrow(_suffixes(bitmap, coded, max_n), "lang string, suffix binary, n bigint")
     ranged = suffixes.repartitionByRange("lang", "suffix").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    counted = ranged.mapInArrow(_count_prefixes(max_n, least), "lang string, phrase string, size int, n bigint")
+    counted = ranged.mapInArrow(_count_prefixes(coded, max_n, least), "lang string, phrase string, size int, n bigint")
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -246,7 +308,7 @@ def maximal(counts: DataFrame, share: int = 100) -> DataFrame:
 def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2000, share: int = 100) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by 1000 a n / (l r), rounded down, of the weakest cut."""
     words = cut(word_counts(docs))
-    counts = cut(phrase_counts(docs, frequent_bitmap(words, least), max_n, least))
+    counts = cut(phrase_counts(docs, words, max_n, least))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).cast("int").alias("salt")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))))
     kept = parts(counts).join(maximal(counts, share), ["lang", "phrase"], "left_semi").withColumn("salt", salt)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import zlib
 
@@ -19,6 +20,8 @@ from lexmill.llm.common import crc_mod
 def test_query(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     rows = df.collect()
+    if name.startswith(("op11_", "op12_", "op13_")):
+        return  # test_oracle compares their rows
     table, key = ("pages", "page_id") if name.startswith("op9_") else ("documents", "doc_id")
     ids = {r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").select(key).collect()}
     assert ids >= {r[key] for r in rows}
@@ -30,10 +33,10 @@ def columns_of(found, names):
     return sorted(tuple(r[n] for n in names) for r in found)
 
 
-def by_sql(frame, name):
-    """The oracle's rows for a frame of documents."""
+def by_sql(frame, name, kind="documents"):
+    """The oracle's rows for a frame of ``kind``."""
     con = duckdb.connect()
-    con.register("documents", frame.select("doc_id", "text").toArrow())
+    con.register(kind, frame.toArrow())
     out = con.sql(queries.ORACLE_SQL[name])
     return [dict(zip(out.columns, r)) for r in out.fetchall()]
 
@@ -41,7 +44,9 @@ def by_sql(frame, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, data, name):
     df = queries.QUERIES[name](spark, data)
-    assert columns_of(df.collect(), df.columns) == columns_of(by_sql(spark.read.parquet(f"{data}/documents.parquet"), name), df.columns)
+    kind = "conversations" if name.startswith(("op12_", "op13_")) else "documents"
+    got, want = (collections.Counter(tuple(r[n] for n in df.columns) for r in rows) for rows in (df.collect(), by_sql(spark.read.parquet(f"{data}/{kind}.parquet"), name, kind)))
+    assert got == want
 
 
 def test_pipeline_stages(spark, data, tmp_path):
