@@ -6,8 +6,8 @@ each other.  Words are cut at ASCII white space; each distinct word is encoded o
 ``tokenizers`` library (its pieces likewise), and found again by a 64-bit hash in a table of fixed size,
 for all words of a batch at once.  Under a pre-tokenizer of another kind each text is one such word.
 
-A word is taken for a known one if the 64-bit hash of its bytes and length agrees; the bytes are not compared
-again.  With a full table of a million words, that is one wrong word in about 10^13 distinct ones.
+The hash only proposes a word: the bytes of every word are compared with those of the known one that it found, all
+words of a batch in one pass, and a word that differs is encoded by itself.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from lexmill.llm.memory import claim
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words and pieces kept per worker.  Those beyond it are encoded anew in each batch; the result is the same.
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 200_000
+#: Bytes of the words kept per worker.
+CACHE_BYTES = 32 << 20
 #: Bytes of text that are looked up at once.
 BATCH_BYTES = 1 << 20
 
@@ -71,7 +73,8 @@ class Encoder:
         self._keys = np.zeros(self._slots, np.uint64)
         self._entry = np.zeros(self._slots, np.int32)
         self._start, self._length, self._pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
-        self._known = self._used = 0
+        self._at, self._size, self._bytes = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint8)
+        self._known = self._used = self._spelled = 0
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit bytes."""
@@ -116,7 +119,7 @@ class Encoder:
         h[h == 0] = 1
         entry = self._find(h)
         missing = np.flatnonzero(entry < 0)
-        kept = self._known, self._used
+        kept = self._known, self._used, self._spelled
         if len(missing):
             _, where, of = np.unique(h[missing], return_index=True, return_inverse=True)
             order = np.argsort(where, kind="stable")  # in the order of the text
@@ -124,10 +127,15 @@ class Encoder:
             rank[order] = np.arange(len(order))
             entry[missing] = self._known + rank[of]
             kept = self._add(raw, first[where], last[where], h[where])
+        wrong = self._differ(raw[inside], last - first, entry)
+        if len(wrong):  # words whose hash is that of another word
+            spelled: dict[bytes, int] = {}
+            entry[wrong] = self._known + np.array([spelled.setdefault(raw[a:b].tobytes(), len(spelled)) for a, b in zip(first[wrong].tolist(), last[wrong].tolist())])
+            self._append(list(spelled))
         size = self._length[entry].astype(np.int64)
         ends = np.cumsum(size)
         ids = self._pool[np.repeat(self._start[entry] - (ends - size), size) + np.arange(int(ends[-1]))]
-        self._known, self._used = kept  # words beyond the limit are forgotten
+        self._known, self._used, self._spelled = kept  # words beyond the limit are forgotten
         upto = np.searchsorted(first, offsets[1:], side="left")
         return ids, np.concatenate([[0], ends])[upto]
 
@@ -144,22 +152,43 @@ class Encoder:
             left, at = left[on], (at[on] + 1) & (self._slots - 1)
         return entry
 
-    def _add(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray) -> tuple[int, int]:
-        """Encode new words and append them; those that the table has room for are entered.  Returns how many
-        words and ids may stay."""
-        text = raw.tobytes()
-        found = [self._word(text[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(first.tolist(), last.tolist())]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        n, used = self._known + len(found), self._used + int(size.sum())
+    def _differ(self, letters: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which words, whose bytes follow each other in ``letters``, are not those of their entries."""
+        ends = np.cumsum(sizes)
+        same = sizes == self._size[entry]
+        known = np.repeat(np.where(same, self._at[entry], 0) - (ends - sizes), sizes) + np.arange(len(letters))
+        other = np.flatnonzero((self._bytes[np.minimum(known, len(self._bytes) - 1)] != letters) & np.repeat(same, sizes))
+        same[np.searchsorted(ends, other, side="right")] = False
+        return np.flatnonzero(~same)
+
+    def _append(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words and append them; ends of their ids and of their bytes."""
+        found = [self._word(w.decode("utf-8", "surrogatepass")) for w in words]
+        ids, size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, words))
+        ids //= 4
+        n, used, spelled = self._known + len(found), self._used + int(ids.sum()), self._spelled + int(size.sum())
         while n > len(self._start):
-            self._start, self._length = np.resize(self._start, 2 * len(self._start)), np.resize(self._length, 2 * len(self._length))
+            self._start, self._length, self._at, self._size = (np.resize(x, 2 * len(x)) for x in (self._start, self._length, self._at, self._size))
         while used > len(self._pool):
             self._pool = np.resize(self._pool, 2 * len(self._pool))
+        while spelled > len(self._bytes):
+            self._bytes = np.resize(self._bytes, 2 * len(self._bytes))
         self._pool[self._used : used] = np.frombuffer(b"".join(found), "<i4")
-        ends = self._used + np.cumsum(size)
-        self._start[self._known : n], self._length[self._known : n] = ends - size, size
-        stay = max(0, min(len(found), self._limit - self._known))
-        entries, h = np.arange(self._known, self._known + stay, dtype=np.int32), h[:stay]
+        self._bytes[self._spelled : spelled] = np.frombuffer(b"".join(words), np.uint8)
+        id_ends, byte_ends = self._used + np.cumsum(ids), self._spelled + np.cumsum(size)
+        self._start[self._known : n], self._length[self._known : n] = id_ends - ids, ids
+        self._at[self._known : n], self._size[self._known : n] = byte_ends - size, size
+        self._known, self._used, self._spelled = n, used, spelled
+        return id_ends, byte_ends
+
+    def _add(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray) -> tuple[int, int, int]:
+        """Encode new words and append them; those that the table has room for are entered.  Returns how many
+        words, ids and bytes may stay."""
+        text = raw.tobytes()
+        known, used, spelled = self._known, self._used, self._spelled
+        id_ends, byte_ends = self._append([text[a:b] for a, b in zip(first.tolist(), last.tolist())])
+        stay = max(0, min(len(h), self._limit - known, int(np.searchsorted(byte_ends, CACHE_BYTES, side="right"))))
+        entries, h = np.arange(known, known + stay, dtype=np.int32), h[:stay]
         at = (h & np.uint64(self._slots - 1)).astype(np.int64)
         left = np.arange(stay)
         while len(left):
@@ -172,9 +201,7 @@ class Encoder:
             left, at = left[on], at[on]
             taken = self._keys[at] != 0
             at[taken] = (at[taken] + 1) & (self._slots - 1)
-        keep = self._known + stay, int(ends[stay - 1]) if stay else self._used
-        self._known, self._used = n, used
-        return keep
+        return (known + stay, int(id_ends[stay - 1]), int(byte_ends[stay - 1])) if stay else (known, used, spelled)
 
     def _word(self, word: str) -> bytes:
         if self._by_word and _PLAIN.fullmatch(word) and "<|" not in word:

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,27 @@ def test_encoder_equals_library(library):
         assert enc.encode(t) == want, t
 
 
+def thue_morse(n, a="a", b="b"):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_encoder_tells_words_of_one_hash_apart(library, monkeypatch):
+    """Words that polynomials modulo 2^64 confuse, and words under a hash that only knows their length."""
+    pair = [thue_morse(n, *ab) for n in (512, 1024, 2048, 4096) for ab in ("ab", "ba")]
+    texts = pair + [" ".join(pair), "ab ba ab", "ba", "the teh eth\nhet", "the", None, "x y z xy yx the"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes() for t in texts]
+    for weights, limits in ((encoding._BYTE, (100_000, 1000)), (np.ones(256, np.uint64), (100_000, 1000)), (np.ones(256, np.uint64), (2, 2))):
+        monkeypatch.setattr(encoding, "_BYTE", weights)
+        enc = encoding.Encoder(encoding.vocabulary_path(), *limits)
+        for _ in range(2):
+            assert [enc.encode(t) for t in texts] == want
+            ids, bounds = enc.encode_batch(pa.array(texts, pa.string()))
+            assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])] == want
+
+
 def test_token_files(spark, docs, empty, library):
     got = {r.doc_id: r for r in orc_tokens.token_files(docs).withColumn("crc", orc_tokens.ids_crc32("ids")).collect()}
     start = 0
