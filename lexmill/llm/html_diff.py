@@ -6,8 +6,8 @@ there, whatever their number, so all of them have the same partner and result.
 common subsequence and the shared ones are deleted: what two pages of a site have in common is its frame.
 Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
 elements and go as well, before lines are compared, so copies under other adverts are equal too.  Where a page
-marks its article, a line of it goes if a second page, different from both, shares it too, unless what would
-go is more than half of the article: then the pages are versions of it and would delete each other.
+marks its article, no words of it go because another page has them too: pages quote each other.  Only a line that is
+links and nothing else goes, if the nearest page and a second one, different from both, share it ("share", "next page").
 
 Pages are dealt out by ranges of (host, path), so a host of any size spreads over tasks; the outermost runs
 of equal pages of each range are known to all tasks, so that pairs do not depend on the ranges.
@@ -79,32 +79,42 @@ def _is_clutter(said: list[tuple[str, str]]) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """The text lines of a page and what each is: 0 part of a frame element, 1 open text, 2 article."""
+    """The text lines of a page and what each is: 0 part of a frame element, 1 open text, 2 article, 3 a line of an
+    article that is all links."""
     if not page:
         return []
-    found: list[tuple[str, bool, tuple[int, ...], bool]] = []  # line, in a frame element, in which elements named so, in an article
+    found: list[tuple[str, bool, tuple[int, ...], int]] = []  # line, in a frame element, in which elements named so, 1 open, 2 in an article, 3 and all links
     stack: list[tuple[str, bool, int, bool]] = []  # name, is a frame, number of an element named like one, is an article
     named, cleared = 0, set()  # elements named like frames; those of them that hold an article
     text: list[str] = []
+    plain = False  # whether the line has words outside links
     at, end = 0, len(page)
 
+    def add(part: str) -> None:
+        nonlocal plain
+        text.append(part)
+        plain = plain or not (part.isspace() or any(s[0] == "a" for s in stack))
+
     def flush() -> None:
+        nonlocal plain
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if line:
-                found.append((line, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), any(s[3] for s in stack)))
+                kind = (2 if plain else 3) if any(s[3] for s in stack) else 1
+                found.append((line, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), kind))
+            plain = False
 
     while at < end:
         tag = page.find("<", at)
         if tag < 0:
-            text.append(page[at:])
+            add(page[at:])
             break
         if tag > at:
-            text.append(page[at:tag])
+            add(page[at:tag])
         m = _TAG.match(page, tag)
         if m is None:
-            text.append("<")
+            add("<")
             at = tag + 1
             continue
         at = m.end()
@@ -150,7 +160,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             cleared.update(s[2] for s in stack)
         stack.append((name, frame, own, article))
     flush()
-    return [(line, 0 if frame or not cleared.issuperset(names) else 2 if marked else 1) for line, frame, names, marked in found]
+    return [(line, 0 if frame or not cleared.issuperset(names) else kind) for line, frame, names, kind in found]
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -352,12 +362,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remaining(lines: list[tuple[str, int]], shared: set[int], twice: set[int]) -> list[str]:
     """The main text of a page, of which the lines in ``shared`` (counted without those of frame elements) are
     also in its nearest page, and those in ``twice`` in a second one too."""
-    lines = [x for x in lines if x[1]]
-    size = sum(len(line) for line, kind in lines if kind == 2)
-    repeated = {k for k in twice if lines[k][1] == 2}
-    if 2 * sum(len(lines[k][0]) for k in repeated) > size:  # versions of one article rather than a template in it
-        repeated = set()
-    return [line for k, (line, kind) in enumerate(lines) if k not in (repeated if kind == 2 else shared)]
+    gone = {1: shared, 2: frozenset(), 3: twice}
+    return [line for k, (line, kind) in enumerate(x for x in lines if x[1]) if k not in gone[kind]]
 
 
 @F.pandas_udf(StringType())

@@ -633,6 +633,68 @@ def test_pages_lose_their_frame(spark):
     assert html_diff.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_articles_keep_what_they_share(spark):
+    """Pages that quote one sentence keep it; a line of links that three pages share goes, and only by their pairing."""
+    article = "<body><p>Frame</p><article><h1>Head {0}</h1><p>Own {0}<p>A <a href=x>quoted</a> sentence.<p><a href=y>Share</a> <a href=z>Print</a></article></body>"
+    rows = [(i, f"http://q.org/a/{i}", article.format(i)) for i in range(3)] + [(9, "http://r.org/a/9", article.format(9))]
+    got = {r.page_id: r.text for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\nOwn {i}\nA quoted sentence." for i in range(3))
+    assert got[9] == "Frame\nHead 9\nOwn 9\nA quoted sentence.\nShare Print"
+
+
+def brute_main_text(rows):
+    """Pairs by comparing each page with all of its host, and lines by the full table of common subsequences."""
+    pages = [(k, *html_diff.address(url), [x for x in html_diff.blocks(page) if x[1]]) for k, (_, url, page) in enumerate(rows)]
+    order = sorted((p for p in pages if p[3]), key=lambda p: (p[1], p[2]))
+    runs = []
+    for p in order:
+        if runs and runs[-1][0][1] == p[1] and [x for x, _ in runs[-1][0][3]] == [x for x, _ in p[3]]:
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        return table[0][0]
+
+    def prefix(a, b):
+        return len(a) if a == b else next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    out = {k: [] for k, *_ in pages}
+    for at, run in enumerate(runs):
+        near = []
+        for step in (1, 2):
+            for j in (at - step, at + step):
+                if 0 <= j < len(runs) and runs[j][0][1] == run[0][1] and [x for x, _ in runs[j][0][3]] != [x for x, _ in run[0][3]]:
+                    other = runs[j][-1] if j < at else runs[j][0]
+                    near.append((-prefix(run[0][2] if j < at else run[-1][2], other[2]), len(near), [x for x, _ in other[3]]))
+        for p in run:
+            lines = [x for x, _ in p[3]]
+            out[p[0]] = (p[3], lines, min(near)[2] if near else None)
+    return pages, out, common
+
+
+def test_whole_pages_against_brute_force(spark):
+    """Each page loses as many open lines as the longest common subsequence with its nearest page has, all of them shared."""
+    rng = random.Random(12)
+    lines = [f"line {k}" for k in range(7)]
+    rows = [(k, f"http://h{k % 3}.org/{rng.choice('ab')}/{rng.choice('xyz')}{k:02}", "<body>" + "".join(f"<div>{x}</div>" for x in rng.choices(lines, k=rng.randint(0, 6))) + f"<div>own {rng.randint(0, 30)}</div></body>") for k in range(60)]
+    pages, want, common = brute_main_text(rows)
+    got = {r.page_id: r.text.split("\n") if r.text else [] for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    changed = 0
+    for k, _, _, _ in pages:
+        _, own, other = want[k]
+        lost = common(own, other) if other else 0
+        assert len(own) - len(got[k]) == lost
+        rest = iter(own)
+        assert all(x in rest for x in got[k])
+        changed += lost > 0
+    assert changed > 10
+
+
 def test_runs_of_copies_have_one_partner(spark):
     frame = "<body><div>Menu</div><p>{}</p><div>Legal</div></body>"
     rows = [(i, f"http://c.org/a/{i:02}", frame.format("copied text")) for i in range(12)] + [(20, "http://c.org/b/1", frame.format("other text")), (21, "http://c.org/b/0", "")]
@@ -653,7 +715,7 @@ def test_runs_of_copies_have_one_partner(spark):
 
 
 def test_differencing_acts_on_articles(spark):
-    page = "<body><div>Menu</div><article><h1>Title {0}</h1><p>Body of page {0}, which is longer than its template</p><p>Share this page</p></article></body>"
+    page = "<body><div>Menu</div><article><h1>Title {0}</h1><p>Body of page {0}, which is longer than its template</p><p><a href='/s'>Share this page</a></p></article></body>"
     teasers = "<body><div>Menu</div><article>Teaser {0}</article><div>The plain body of {0}</div></body>"
     rows = [(i, f"http://t.org/a/{i}", page.format(i)) for i in range(4)] + [(10 + i, f"http://u.org/a/{i}", teasers.format(i)) for i in range(3)]
     version = "<body><article><h1>News</h1><p>The same long story on each of these pages</p><p>version {}</p></article></body>"
