@@ -11,7 +11,7 @@ distinct and aggregated first (each stretch once, with its earliest place), and
 at most.  So a passage that all documents share reaches a shard once for each chunk.  Documents of the very
 same words are one class: all but the smallest id repeat it from the first word on.
 
-Words are compared by 64-bit hashes, stretches by 64-bit names of these; the number of shards follows the size
+Words are compared by 64-bit hashes, stretches by 128-bit cryptographic digests of these (BLAKE2); the number of shards follows the size
 of the texts, so that a shard holds what about ``common.BUCKET_BYTES`` of text have in common with others.
 
 Null or empty texts have no words and lose none; texts of any length are taken whole, periodic ones too; a null
@@ -23,6 +23,7 @@ earlier start; other columns are ignored whatever their names, or travel along u
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +176,7 @@ def _cut_stretches(width: int, n_buckets: int):
                 shared = np.unique(_long(b"".join(keys or [])))
                 skip = set(skip or [])
                 doc_of, first, last, names, bucket, content = [], [], [], [], [], []
+                known: dict[bytes, int] = {}
                 for d, text in enumerate(unpack(payload)[0] if len(shared) else []):
                     if d in skip:
                         continue
@@ -185,14 +187,13 @@ def _cut_stretches(width: int, n_buckets: int):
                     if not len(keep):
                         continue
                     key, a, b = key[keep], a[keep], b[keep]
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * _powers(len(h)), dtype=np.uint64)])
-                    name = mix((total[b + width] - total[a]) * _inverse_powers(len(h))[a]) ^ (b - a).astype(np.uint64)
+                    own = [h[x : y + width] for x, y in zip(a.tolist(), b.tolist())]
                     doc_of.append(np.full(len(a), d))
                     first.append(a)
                     last.append(b)
-                    names.append(name)
+                    names.append(_names(own, known))
                     bucket.append(_buckets(key, n_buckets))
-                    content += [h[x : y + width] for x, y in zip(a.tolist(), b.tolist())]
+                    content += own
                 if not doc_of:
                     continue
                 doc_of, first, last, names, bucket = map(np.concatenate, (doc_of, first, last, names, bucket))
@@ -216,23 +217,9 @@ def _cut_stretches(width: int, n_buckets: int):
     return run
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = _POWERS[base] = np.cumprod(np.full(max(1 << 16, n), base, np.uint64), dtype=np.uint64)
-    return have[:n]
-
-
-def _powers(n: int) -> np.ndarray:
-    return _power_table(_BASE, n)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _power_table(pow(_BASE, -1, 1 << 64), n)
+def _names(stretches: list[np.ndarray], known: dict[bytes, int]) -> np.ndarray:
+    """A number for each stretch, equal for equal ones; ``known`` holds the digests numbered so far."""
+    return np.array([known.setdefault(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), len(known)) for x in stretches], np.int64)
 
 
 def _search_shard(width: int):
@@ -246,8 +233,7 @@ def _search_shard(width: int):
         lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
         id_of, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
         ends = np.cumsum(lengths)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.astype(np.uint64)) * _powers(len(words)), dtype=np.uint64)])
-        name = (total[ends] - total[ends - lengths]) * _inverse_powers(len(words))[ends - lengths]
+        name = _names([words[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())], {})
         order = np.lexsort((start, id_of, name, lengths))
         new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])])
         which = np.empty(len(order), np.int64)
