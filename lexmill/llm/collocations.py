@@ -10,7 +10,8 @@ Words that a language has less than ``least`` times are in no phrase that counts
 fixed-size bitmap says which words may be frequent (a word that only shares a bit costs time, not correctness).
 Suffixes that repeat within a chunk of texts travel once, with their number, and each language's most frequent words
 (``CODED`` over all languages) in two or three bytes that begin with one that UTF-8 never has; others are spelled and
-end with a space.  No word's bytes begin another's, so words and bytes agree on what begins with a phrase.
+end with a space.  No word's bytes begin another's, so words and bytes agree on what begins with a phrase.  A row is
+one value: the language, the words, and behind them how often the chunk has them.
 
 Parts of a phrase are at least as frequent as it, so all their counts are there once phrases below ``least`` are
 gone: they are joined by language and phrase.  Products of counts are decimals of 38 digits, exact up to 10^16 words.
@@ -44,6 +45,10 @@ RANK_PARTS = 64
 #: Words that have a code: 1024 of a language in two bytes, the others in three.
 CODED = 65_536
 _SHORT = 1024
+#: Languages that have a code of one byte; others are spelled.
+CODED_LANGS = 200
+#: Ends the words of a suffix; no word has it.
+_STOP = 0x09
 _MARK = b","
 #: Everything that ends a piece becomes one sign that no word holds.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _MARK * 10)
@@ -56,7 +61,7 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_ENDS).replace(_MARK, b" , ").split()
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+def _by_lang(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes]]]:
     """Language and tokens of chunks of texts; a mark stands between texts."""
     held: dict[str, list[bytes]] = {}
     sizes: Counter = Counter()
@@ -67,25 +72,28 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
             own += tokens(text)
             own.append(_MARK)
             sizes[lang] += len(text or "")
-            if sum(sizes.values()) >= CHUNK_BYTES:
+            if sum(sizes.values()) >= most:
                 lang = max(sizes, key=sizes.get)
                 del sizes[lang]
                 yield lang, held.pop(lang)
     yield from held.items()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, found in _by_lang(batches):
-        counts = Counter(found)
-        del counts[_MARK]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([w.decode("utf-8", "surrogatepass") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+def _count_words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, found in _by_lang(batches, most):
+            counts = Counter(found)
+            del counts[_MARK]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([w.decode("utf-8", "surrogatepass") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    return run
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n: how often each language has each word."""
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count_words(CHUNK_BYTES), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def frequent_bitmap(counts: DataFrame, least: int) -> bytes:
@@ -121,13 +129,24 @@ def _code(k: int) -> bytes:
     return bytes((0xFC + (k >> 16), k >> 8 & 255, k & 255))
 
 
-def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], max_n: int):
+def lang_codes(coded: dict[str, list[bytes]]) -> dict[str, bytes]:
+    """One byte for each of the first languages that have coded words."""
+    return {lang: bytes((k,)) for k, lang in enumerate(sorted(coded)[:CODED_LANGS], 1)}
+
+
+def _lang_bytes(lang: str, known: dict[str, bytes]) -> bytes:
+    """A language's code, or 0, its length in four bytes and its letters; none begins another."""
+    raw = lang.encode("utf-8", "surrogatepass")
+    return known.get(lang) or b"\0" + len(raw).to_bytes(4, "big") + raw
+
+
+def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], langs: dict[str, bytes], max_n: int, most: int):
     """Distinct truncated suffixes of each chunk with their number."""
     bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written = {lang: {w: _code(k) for k, w in enumerate(words)} for lang, words in coded.items()}
-        for lang, found in _by_lang(batches):
+        for lang, found in _by_lang(batches, most):
             vocabulary = sorted(set(found) - {_MARK})
             frequent = [w for w, f in zip(vocabulary, may_be_frequent(lang, vocabulary, bits).tolist()) if f]
             if not frequent:
@@ -158,38 +177,46 @@ def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], max_n: int):
             counts = np.diff(np.append(first, len(order)))
             for a in range(0, len(first), 1 << 16):
                 rows = order[first[a : a + (1 << 16)]]
-                text = pc.binary_join_element_wise(*(spelled.take(pa.array(c[rows])) for c in columns), b"")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), text, pa.array(counts[a : a + (1 << 16)].astype(np.int64))], names=["lang", "suffix", "n"])
+                number = counts[a : a + (1 << 16)]
+                ends = pa.array([bytes((_STOP,)) + n.to_bytes((n.bit_length() + 7) // 8, "big") for n in range(1, 257)], pa.binary()).take(pa.array(np.minimum(number, 256) - 1))
+                if number.max() > 256:
+                    ends = pa.array([bytes((_STOP,)) + n.to_bytes((n.bit_length() + 7) // 8, "big") for n in number.tolist()], pa.binary())
+                begin = pa.scalar(_lang_bytes(lang, langs), pa.binary())
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(begin, *(spelled.take(pa.array(c[rows])) for c in columns), ends, b"")], names=["suffix"])
 
     return run
 
 
-def word_ends(raw: np.ndarray, offsets: np.ndarray, max_n: int) -> np.ndarray:
-    """For each suffix (a row) where its first, second, ... word ends; the end of the suffix where it has no more."""
-    spaces = np.append(np.flatnonzero(raw == 0x20), len(raw))
-    raw = np.append(raw, 0)
-    at, stop, ends = offsets[:-1], offsets[1:], []
+def word_ends(raw: np.ndarray, at: np.ndarray, max_n: int) -> np.ndarray:
+    """For suffixes whose words begin at ``at``, where the first, second, ... word ends; where there are no more, the end
+    of the last one."""
+    spaces, ends = np.append(np.flatnonzero(raw == 0x20), len(raw) - 1), []
     for _ in range(max_n):
         lead = raw[at]
-        after = np.where(lead >= 0xFC, at + 3, np.where(lead >= 0xF8, at + 2, 0))
-        long = np.flatnonzero((after == 0) & (at < stop))
+        after = np.where(lead >= 0xFC, at + 3, np.where(lead >= 0xF8, at + 2, at))
+        long = np.flatnonzero((lead < 0xF8) & (lead != _STOP))
         after[long] = spaces[np.searchsorted(spaces, at[long])] + 1
-        at = np.where(at < stop, after, stop)
+        at = after
         ends.append(at)
     return np.stack(ends)
 
 
+_WINDOW = np.arange(32)
+
+
 def _shared_bytes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many bytes each suffix begins with that the one before it begins with too."""
-    n = len(offsets) - 1
-    out = np.zeros(n, np.int64)
+    """How many bytes each row begins with that the one before it begins with too."""
     size = np.diff(offsets)
-    limit = np.zeros(n, np.int64)
+    limit = np.zeros(len(size), np.int64)
     limit[1:] = np.minimum(size[1:], size[:-1])
-    live = np.flatnonzero(limit > 0)
-    while len(live):
-        same = raw[offsets[live] + out[live]] == raw[offsets[live - 1] + out[live]]
-        live = live[same]
+    head = raw[np.minimum(offsets[:-1, None] + _WINDOW, len(raw) - 1)]
+    out = np.zeros(len(size), np.int64)
+    differ = head[1:] != head[:-1]
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), len(_WINDOW))
+    out = np.minimum(out, limit)
+    live = np.flatnonzero((out == len(_WINDOW)) & (out < limit))
+    while len(live):  # what is longer is compared byte by byte
+        live = live[raw[offsets[live] + out[live]] == raw[offsets[live - 1] + out[live]]]
         out[live] += 1
         live = live[out[live] < limit[live]]
     return out
@@ -212,39 +239,48 @@ def _spell(raw: bytes, words: list[bytes]) -> str:
     return b" ".join(out).decode("utf-8", "surrogatepass")
 
 
-def _count_prefixes(coded: dict[str, list[bytes]], max_n: int, least: int):
+def _count_prefixes(coded: dict[str, list[bytes]], langs: dict[str, bytes], max_n: int, least: int):
     """Counts of all phrases of a range of suffixes in order; below ``least`` only those that may go on in another range."""
 
-    def counted(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
-        spelled = [(lang, _spell(phrase, coded.get(lang, [])), size, n) for lang, phrase, size, n in rows]
+    names = {code[0]: lang for lang, code in langs.items()}
+
+    def counted(rows: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+        out = []
+        for raw, begin, size, n in rows:
+            lang = names[raw[0]] if raw[0] else raw[5:begin].decode("utf-8", "surrogatepass")
+            out.append((lang, _spell(raw[begin:], coded.get(lang, [])), size, n))
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spelled), kinds)], names=["lang", "phrase", "size", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["lang", "phrase", "size", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list = [None] * (max_n + 1)  # for each size the phrase now open: language, phrase, count, whether it began the range
+        stack: list = [None] * (max_n + 1)  # for each size the phrase now open: its bytes, where words begin in them, its count, whether it began the range
         began = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, column, count = batch.column("lang"), batch.column("suffix"), batch.column("n").to_numpy()
-            buffers = column.buffers()
-            offsets = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
+            column = batch.column("suffix")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
+            at = offsets[:-1]
+            lead = np.ones(len(at), np.int64)  # bytes of the language
+            for k in np.flatnonzero(raw[at] == 0).tolist():
+                lead[k] = 5 + int.from_bytes(raw[at[k] + 1 : at[k] + 5].tobytes(), "big")
+            ends = word_ends(raw, at + lead, max_n)
+            count = np.zeros(len(at), np.int64)
+            for place in range(1, int((offsets[1:] - ends[-1]).max())):
+                there = ends[-1] + place < offsets[1:]
+                count[there] = count[there] << 8 | raw[(ends[-1] + place)[there]]
             shared = _shared_bytes(raw, offsets)
-            langs = lang.dictionary_encode().indices.to_numpy()
-            shared[1:][langs[1:] != langs[:-1]] = -1
             shared[0] = -1
-            done: list[tuple[str, bytes, int, int]] = []
-            begin = offsets[:-1]
-            there = np.ones(len(begin), bool)
-            for size, end in enumerate(word_ends(raw, offsets, max_n), 1):
-                there = there & (end > begin) if size == 1 else there & (end > last_end)
-                last_end, open_ = end, stack[size]
+            done: list[tuple[bytes, int, int, int]] = []
+            last_end = at + lead
+            for size, end in enumerate(ends, 1):
+                there, last_end, open_ = end > last_end, end, stack[size]
                 stack[size] = None
-                starts = np.flatnonzero(there & (shared < end - offsets[:-1]))
-                spell = lambda row, end=end: (lang[row].as_py(), raw[offsets[row] : end[row]].tobytes())
-                goes_on = len(starts) and starts[0] == 0 and open_ is not None and spell(0) == open_[:2]
+                starts = np.flatnonzero(there & (shared < end - at))
+                spell = lambda row, end=end: (raw[at[row] : end[row]].tobytes(), int(lead[row]))
+                goes_on = len(starts) and starts[0] == 0 and open_ is not None and spell(0)[0] == open_[0]
                 if open_ is not None and not goes_on and (open_[2] >= least or open_[3]):
                     done.append((*open_[:2], size, open_[2]))
                 if not len(starts):
@@ -278,10 +314,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = 5, least: int
     ``words`` are ``word_counts``, kept in a table."""
     ship(docs.sparkSession)
     bitmap, coded = frequent_bitmap(words, least), codes(words, least)
+    langs = lang_codes(coded)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    suffixes = rows.mapInArrow(_suffixes(bitmap, coded, max_n), "lang string, suffix binary, n bigint")
-    ranged = suffixes.repartitionByRange("lang", "suffix").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    counted = ranged.mapInArrow(_count_prefixes(coded, max_n, least), "lang string, phrase string, size int, n bigint")
+    suffixes = rows.mapInArrow(_suffixes(bitmap, coded, langs, max_n, CHUNK_BYTES), "suffix binary")
+    ranged = suffixes.repartitionByRange("suffix").sortWithinPartitions(F.desc("suffix"))
+    counted = ranged.mapInArrow(_count_prefixes(coded, langs, max_n, least), "lang string, phrase string, size int, n bigint")
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 

@@ -95,25 +95,29 @@ def _marked(rows: DataFrame) -> DataFrame:
     return out.drop("_salt", "_first", "_far")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(most: int):
     """Ids of a node in a row, comma-joined, with the place of the first."""
-    held: list[str] = []
-    last = at = None
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in last), pa.array([at], pa.int64()), pa.array([",".join(held)])], names=[*_NODE, "first", "ids"])
-        held.clear()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        last = at = None
 
-    for batch in batches:
-        for *node, conv_id in zip(*(batch.column(c).to_pylist() for c in (*_NODE, "conv_id"))):
-            if held and (node != last or len(held) >= PIECE):
-                yield flush()
-            if not held:
-                last, at = node, conv_id
-            held.append(str(conv_id))
-    if held:
-        yield flush()
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in last), pa.array([at], pa.int64()), pa.array([",".join(held)])], names=[*_NODE, "first", "ids"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for *node, conv_id in zip(*(batch.column(c).to_pylist() for c in (*_NODE, "conv_id"))):
+                if held and (node != last or len(held) >= most):
+                    yield flush()
+                if not held:
+                    last, at = node, conv_id
+                held.append(str(conv_id))
+        if held:
+            yield flush()
+
+    return run
 
 
 def _joined_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +143,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     """depth, k1, k2 and ends_sha256 of the nodes that conversations (conv_id, depth, k1, k2) end at."""
     keys = ", ".join(f"{c} bigint" for c in _NODE)
     ranged = ends.repartitionByRange(*_NODE, "conv_id").sortWithinPartitions(*_NODE, "conv_id")
-    pieces = ranged.mapInArrow(_pieces, f"{keys}, first bigint, ids string")
+    pieces = ranged.mapInArrow(_pieces(PIECE), f"{keys}, first bigint, ids string")
     return pieces.repartition(*_NODE).sortWithinPartitions(*_NODE, "first").mapInArrow(_joined_digests, f"{keys}, ends_sha256 string")
 
 

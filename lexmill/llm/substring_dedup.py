@@ -11,7 +11,7 @@ distinct and aggregated first (each stretch once, with its earliest place), and
 at most.  So a passage that all documents share reaches a shard once for each chunk.  Documents of the very
 same words are one class: all but the smallest id repeat it from the first word on.
 
-Words are compared by 64-bit hashes, stretches by 128-bit cryptographic digests of these (BLAKE2); the number of shards follows the size
+Words are compared by 64-bit hashes, stretches by all of these; the number of shards follows the size
 of the texts, so that a shard holds what about ``common.BUCKET_BYTES`` of text have in common with others.
 
 Null or empty texts have no words and lose none; texts of any length are taken whole, periodic ones too; a null
@@ -23,7 +23,6 @@ earlier start; other columns are ignored whatever their names, or travel along u
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,8 +217,8 @@ def _cut_stretches(width: int, n_buckets: int):
 
 
 def _names(stretches: list[np.ndarray], known: dict[bytes, int]) -> np.ndarray:
-    """A number for each stretch, equal for equal ones; ``known`` holds the digests numbered so far."""
-    return np.array([known.setdefault(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), len(known)) for x in stretches], np.int64)
+    """A number for each stretch, equal for equal ones; ``known`` holds those numbered so far."""
+    return np.array([known.setdefault(x.tobytes(), len(known)) for x in stretches], np.int64)
 
 
 def _search_shard(width: int):
@@ -233,7 +232,8 @@ def _search_shard(width: int):
         lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
         id_of, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
         ends = np.cumsum(lengths)
-        name = _names([words[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())], {})
+        short = words.astype(np.int32)
+        name = _names([short[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())], {})
         order = np.lexsort((start, id_of, name, lengths))
         new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])])
         which = np.empty(len(order), np.int64)

@@ -89,13 +89,14 @@ def test_phrase_scores_are_exact(spark):
 
 def test_phrases_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
-    rows = [(1, "a b c " * 20_000, "en", "", "")]  # a piece of 60,000 words
+    rows = [(1, "a b " + "y" * 300 + " c " * 20 + "z" * 90 + " ", "en", "", "")] * 120 + [(1, "a b c " * 20_000, "en", "", "")]  # a piece of 60,000 words
     assert sorted(tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, DOCS)).collect()) == brute_phrases(rows, 5, 100, 2000)
 
 
-@pytest.mark.parametrize("coded", [1, 5, 100])
-def test_phrases_whatever_words_have_codes(spark, monkeypatch, coded):
+@pytest.mark.parametrize("coded,langs", [(1, 0), (5, 1), (100, 2)])
+def test_phrases_whatever_has_codes(spark, monkeypatch, coded, langs):
     monkeypatch.setattr(collocations, "CODED", coded)
+    monkeypatch.setattr(collocations, "CODED_LANGS", langs)
     rows = phrase_docs(8, 120)
     assert sorted(tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, DOCS), 5, 3, 60).collect()) == brute_phrases(rows, 5, 3, 60)
 
