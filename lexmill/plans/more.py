@@ -14,6 +14,8 @@ from lexmill.operators import morphology as P
 from lexmill.plans.correction import _EDITS, _SUBST, FORMS, KNOWN, LOG, TYPED, _forms, _gone, _known, _log, _typed, _words
 from lexmill.plans.language import BI, CAL, REQ, TOK, _bi, _evidence, _request_pairs, _requests, _scored, _uni, blend_sql, scored_sql
 from lexmill.plans.registry import ORACLE_SQL, query, table
+from lexmill.sources import event_logs as E
+from lexmill.sources import morphology_files as B
 from lexmill.sources import text_tables as X
 from lexmill.storage import shared_path
 from lexmill.streaming import sessions
@@ -213,3 +215,48 @@ def event_log_truncate(s, d):
     first = _log(s, d).agg(F.min("day")).first()[0]
     X.truncated(s.read.text(f"{path}/generation=1"), first).write.text(f"{path}/generation=2")
     return X.parse_events(s.read.text(f"{path}/generation=2")).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"WITH {LOG} SELECT seq % 3 AS log, day, kind, count(*) AS events FROM log WHERE kind IN ('wc', 'wt') GROUP BY ALL")
+def event_log_stream(s, d):
+    """Three logs read as a stream that stops, while writers append and start generations without what was folded."""
+    s.dataSource.register(E.EventLogs)
+    log = _log(s, d).filter("kind IN ('wc', 'wt')").select(F.concat(F.lit("log-"), (F.col("seq") % 3).cast("string")).alias("log"), "seq", "day", "kind", F.col("word").alias("a"), F.col("previous").alias("b"), F.col("hint").alias("c"))
+    lines = X.event_lines(log, "log", "seq")
+    path, out = shared_path(s, "event-logs"), shared_path(s, "event-stream")
+    for part, folded in ((0, None), (1, 0.5), (2, 0.9)):
+        E.write_generation(lines.filter(F.floor(F.col("seq") / 3) % 3 == part), path, part + 1, folded)
+        stream = s.readStream.format("event_logs").load(path)
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = s.read.schema(E.SCHEMA).parquet(f"{out}/rows")
+    return X.parse_events(read, keep=("log",)).groupBy(F.substring("log", 5, 9).cast("bigint").alias("log"), "day", "kind").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"WITH {TOK}, {FORMS} SELECT form, lemma, 'no' AS pos, ['nf', 'þf', 'þgf', 'ef'][(bundle & 3) + 1] AS \"case\", ['kk', 'kvk'][gender + 1] AS gender, CASE WHEN (bundle >> 2) & 1 = 1 THEN 'ft' ELSE 'et' END AS number FROM forms")
+def morphology_scan(s, d):
+    """Forms written as binary morphology files and scanned by ranges of words."""
+    s.dataSource.register(B.MorphologyFiles)
+    f = P.unpack(F.col("bundle"))
+    named = lambda names, code: F.element_at(F.array(*[F.lit(n) for n in names]), code + 1)
+    forms = _forms(s, d).select("form", "lemma", F.lit("no").alias("pos"), named(P.CASES, f["case_code"]).alias("case"), named(("kk", "kvk"), F.col("gender")).alias("gender"), F.when(f["plural"], "ft").otherwise("et").alias("number"))
+    path = shared_path(s, "forms")
+    B.write_forms(forms, path)
+    return s.read.format("morphology_files").option("rangeRecords", 2000).load(path)
+
+
+@query(f"WITH {TOK}, {BI} SELECT w1, w2, sum(frequency)::BIGINT AS frequency FROM bi GROUP BY ALL")
+def word_pair_scan(s, d):
+    """Word pairs of both lanes written as sections of binary files and scanned by ranges."""
+    s.dataSource.register(B.MorphologyFiles)
+    path = shared_path(s, "word-pairs")
+    B.write_pairs(_bi(s, d).groupBy("w1", "w2").agg(F.sum("frequency").alias("frequency")), path)
+    return s.read.format("morphology_files").option("section", "pairs").load(path)
+
+
+@query(f"WITH {TOK}, {FORMS} SELECT lemma, pos, gender, form, bundle FROM forms")
+def paradigm_scan(s, d):
+    """Paradigms written as binary files with an index by form, scanned by ranges of entries."""
+    s.dataSource.register(B.ParadigmFiles)
+    path = shared_path(s, "paradigms")
+    B.write_paradigms(_forms(s, d), path)
+    return s.read.format("paradigm_files").option("rangeRecords", 2000).load(path)

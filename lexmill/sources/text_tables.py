@@ -72,14 +72,14 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """Lines of events (day, kind, a, b, c): the fields that the kind has, escaped."""
+def event_lines(events: DataFrame, *keep: str) -> DataFrame:
+    """Lines of events (day, kind, a, b, c): the fields that the kind has, escaped; ``keep`` are columns beside them."""
     fields = F.when(F.col("kind") == "wt", F.array("a")).when(F.col("kind").isin("sa", "cr"), F.array("a", "b")).otherwise(F.array("a", F.coalesce("b", F.lit("")), "c"))
     parts = F.concat(F.array(F.lit("1"), F.col("day").cast("string"), F.col("kind")), F.transform(fields, escape))
-    return events.select(F.array_join(parts, "\t").alias("value"))
+    return events.select(*keep, F.array_join(parts, "\t").alias("value"))
 
 
-def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_events(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Events of log lines: day, kind, fields and ``ok``; header lines are left out, bad lines have ok false."""
     f = F.split(F.col(value), "\t")
     rows = lines.filter(~F.col(value).startswith("#gen\t")).select("*", f.alias("_f"))
@@ -95,7 +95,7 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     )
     ok = F.coalesce((F.get(F.col("_f"), 0) == "1") & day.isNotNull() & shape, F.lit(False))
     return rows.select(
-        day.alias("day"), kind.alias("kind"), at(3).alias("a"), F.nullif(F.when(size > 4, at(4)), F.lit("")).alias("b"), F.when(size > 5, F.get(F.col("_f"), 5)).alias("c"),
+        *keep, day.alias("day"), kind.alias("kind"), at(3).alias("a"), F.nullif(F.when(size > 4, at(4)), F.lit("")).alias("b"), F.when(size > 5, F.get(F.col("_f"), 5)).alias("c"),
         F.when(kind == "ts", number(4)).alias("dx"), F.when(kind == "ts", number(5)).alias("dy"), ok.alias("ok"),
     )
 
