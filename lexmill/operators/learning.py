@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.ordering import numbered
+
 
 def committed(events: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The word commits among events (seq, day, kind, word, previous, hint): wc as it is, sa and cr in an unknown
@@ -78,23 +82,74 @@ def shrunk(stats: DataFrame, prior: float = 0.49, weight: int = 50, least: int =
     return stats.select("*", *(F.when(enough, x).alias(n) for n, x in (("shift_x", w * F.col("mean_dx")), ("shift_y", w * F.col("mean_dy")), ("sigma_x", sx), ("sigma_y", sy), ("rho", bounded))))
 
 
-def decaying_moments(touches: DataFrame, limit: int = 500, factor: float = 0.5) -> DataFrame:
-    """Moments whose weight is halved whenever a key has more than ``limit`` rows: a fold in the order of seq."""
-    import pandas as pd
+def halvings(limit: int, factor: float) -> tuple[np.ndarray, int]:
+    """After how many rows the weight of all is cut, until weights repeat, and the cut from which they do.
+
+    Weights are those of a fold in double precision, in which they come back to one that was there before."""
+    rows, weight, cuts, seen = 0, 0.0, [], {}
+    while weight not in seen:
+        seen[weight] = len(cuts)
+        while weight <= limit:
+            weight, rows = weight + 1, rows + 1
+        weight *= factor
+        cuts.append(rows)
+        if len(cuts) > 100_000:
+            raise ValueError(f"weights below {limit} times {factor} do not come back")
+    return np.array(cuts, np.int64), seen[weight]
+
+
+def cuts_until(rows: np.ndarray, cuts: np.ndarray, again: int) -> np.ndarray:
+    """How often weight was cut once so many rows were there: ``cuts``, whose part behind number ``again`` - 1 repeats."""
+    start = int(cuts[again - 1]) if again else 0
+    period, count = int(cuts[-1]) - start, len(cuts) - again
+    turns = np.maximum(rows - start, 0) // period
+    return np.searchsorted(cuts, rows - turns * period, side="right") + turns * count
+
+
+def _merged(a: Column, b: Column, factor: Column) -> Column:
+    """Moments ``a``, weighted by ``factor``, and ``b`` together: n, means, sums of squares and of products, decay."""
+    n = a["n"] * factor
+    total = n + b["n"]
+    share = F.when(total > 0, b["n"] / total).otherwise(0.0)
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    cross = n * share
+    return F.struct(
+        total.alias("n"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"), (a["sx"] * factor + b["sx"] + dx * dx * cross).alias("sx"),
+        (a["sy"] * factor + b["sy"] + dy * dy * cross).alias("sy"), (a["c"] * factor + b["c"] + dx * dy * cross).alias("c"), (a["decay"] * b["decay"]).alias("decay"),
+    )
+
+
+def _in_order(parts: Column) -> Column:
+    """Fold of parts in order: what is there decays by each part's own decay first."""
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mx", "my", "sx", "sy", "c")), F.lit(1.0).alias("decay"))
+    return F.aggregate(parts, start, lambda a, b: _merged(a, b, b["decay"]))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = mx = my = sx = sy = c = 0.0
-        for x, y in pdf.sort_values("seq")[["dx", "dy"]].itertuples(index=False):
-            n += 1
-            ox, oy = x - mx, y - my
-            mx, my = mx + ox / n, my + oy / n
-            sx, sy, c = sx + ox * (x - mx), sy + oy * (y - my), c + ox * (y - my)
-            if n > limit:
-                n, sx, sy, c = n * factor, sx * factor, sy * factor, c * factor
-        d = n - 1 if n > 1 else float("nan")
-        return pd.DataFrame([(pdf["key"].iloc[0], n, mx, my, sx / d, sy / d, c / d)], columns=["key", "n", "mean_dx", "mean_dy", "var_dx", "var_dy", "cov"])
 
-    return touches.groupBy("key").applyInPandas(fold, "key string, n double, mean_dx double, mean_dy double, var_dx double, var_dy double, cov double")
+def decaying_moments(touches: DataFrame, limit: int = 500, factor: float = 0.5, block: int = 1000) -> DataFrame:
+    """Moments whose weight is cut to ``factor`` whenever a key has more than ``limit`` rows, in the order of seq.
+
+    Where cuts fall follows from counts alone, so the rows between two cuts are plain sums; stretches are put together
+    in their order, ``block`` at a time and then blocks, each with the decay that it brings to what was before.  A key of
+    any size spreads over tasks; ties of seq go by dx and dy; rows without dx or dy do not count."""
+    cuts, again = halvings(limit, factor)
+
+    @F.pandas_udf("long")
+    def stretch(rows: pd.Series) -> pd.Series:
+        return pd.Series(cuts_until(rows.to_numpy(np.int64), cuts, again))
+
+    rows = numbered(touches.select("key", "seq", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).dropna(subset=["dx", "dy"]), ["key"], ["seq", "dx", "dy"])
+    sums = rows.groupBy("key", stretch("pos").alias("stretch")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("dx").alias("mx"), F.avg("dy").alias("my"), F.var_pop("dx").alias("vx"), F.var_pop("dy").alias("vy"), F.covar_pop("dx", "dy").alias("vc"),
+    )
+    of = F.when(F.col("stretch") > 0, F.lit(factor)).otherwise(1.0)  # the cut at the end of the stretch before
+    one = F.struct("stretch", "n", "mx", "my", (F.col("vx") * F.col("n")).alias("sx"), (F.col("vy") * F.col("n")).alias("sy"), (F.col("vc") * F.col("n")).alias("c"), of.alias("decay"))
+    blocks = sums.groupBy("key", F.floor(F.col("stretch") / block).alias("block")).agg(_in_order(F.array_sort(F.collect_list(one))).alias("m"), F.sum("n").cast("bigint").alias("rows"))
+    whole = blocks.groupBy("key").agg(_in_order(F.transform(F.array_sort(F.collect_list(F.struct("block", "m"))), lambda b: b["m"])).alias("m"), F.sum("rows").alias("rows"))
+    cut_last = stretch("rows") > stretch(F.col("rows") - 1)  # a cut that falls on the very last row
+    end = F.when(cut_last, F.lit(factor)).otherwise(1.0)
+    n = F.col("m.n") * end
+    per = F.when(n > 1, n - 1)
+    return whole.select("key", n.alias("n"), F.col("m.mx").alias("mean_dx"), F.col("m.my").alias("mean_dy"), *((F.col(f"m.{a}") * end / per).alias(b) for a, b in (("sx", "var_dx"), ("sy", "var_dy"), ("c", "cov"))))
 
 
 def case_index(words: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.config import DEFAULT, Config
+from lexmill.operators.ordering import folded_runs
 
 
 def add_k(frequency: Column, total: Column, config: Config = DEFAULT) -> Column:
@@ -51,14 +54,45 @@ def boundary_step(p: Column) -> Column:
     return 0.5 + (p - 0.5) * 0.8
 
 
+_MAP = ["a", "b", "c", "d", "low", "high"]
+
+
+def _step_maps(batch: pa.RecordBatch) -> np.ndarray:
+    """Each step as p -> (a p + b) / (c p + d) between two bounds: a rising map, whatever the evidence."""
+    column = batch.column("evidence")
+    evidence, boundary = column.fill_null(0.0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+    odds = np.exp(np.minimum(evidence, 0)), np.exp(np.minimum(-evidence, 0))  # of one word for either lane, none of them above 1
+    out = np.empty((len(evidence), 6))
+    out[:, 0], out[:, 1] = 0.84 * odds[0], 0.08 * odds[0]
+    out[:, 2], out[:, 3] = 0.84 * (odds[0] - odds[1]), 0.08 * odds[0] + 0.92 * odds[1]
+    out[:, 4], out[:, 5] = 0.1, 0.9
+    out[boundary] = (0.8, 0.1, 0.0, 1.0, 0.0, 1.0)
+    return out
+
+
+def _at(maps: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.clip((maps[:, 0] * p + maps[:, 1]) / (maps[:, 2] * p + maps[:, 3]), maps[:, 4], maps[:, 5])
+
+
+def _then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One map for two in a row: bounds of the first go through the second, which rises."""
+    a, b, c, d = (first[:, k] for k in range(4))
+    e, f, g, h = (second[:, k] for k in range(4))
+    both = np.stack([e * a + f * c, e * b + f * d, g * a + h * c, g * b + h * d], axis=1)
+    both /= np.abs(both).max(axis=1, keepdims=True)  # only ratios count
+    return np.column_stack([both, _at(second, first[:, 4]), _at(second, first[:, 5])])
+
+
 def lane_posterior(steps: DataFrame, by: list[str], order: str) -> DataFrame:
     """The filter over each session's words in order: evidence, or null at a sentence boundary.
 
-    A session is one array that is sorted and folded in the JVM; for sessions without an end use
-    ``streaming.sessions``, which keeps one number for each."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, "evidence"))), lambda s: s["evidence"])
-    fold = F.aggregate(ordered, F.lit(0.5), lambda p, e: F.when(e.isNull(), boundary_step(p)).otherwise(lane_step(p, e)))
-    return steps.groupBy(*by).agg(fold.alias("p_primary"))
+    A step is a rising fractional map between two bounds, and so are steps in a row: each task makes one map of the part
+    of a session that it has, and a session's few maps, one for each task that it meets, are applied in their order."""
+    rows = steps.select(*by, order, F.col("evidence").cast("double").alias("evidence"))
+    maps = folded_runs(rows, by, order, _step_maps, _then, _MAP, ", ".join(f"{c} double" for c in _MAP))
+    ordered = F.array_sort(F.collect_list(F.struct("_part", *_MAP)))
+    apply = lambda p, m: F.least(F.greatest((m["a"] * p + m["b"]) / (m["c"] * p + m["d"]), m["low"]), m["high"])
+    return maps.groupBy(*by).agg(F.aggregate(ordered, F.lit(0.5), apply).alias("p_primary"))
 
 
 def _lanes(config: Config) -> tuple[tuple[str, str], ...]:

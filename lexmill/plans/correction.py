@@ -222,9 +222,18 @@ def shrinkage_blend(s, d):
     return m.select("key", *(F.round(c, 6).alias(c) for c in ("shift_x", "sigma_x", "sigma_y", "rho")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LOG}, r AS (SELECT word AS key, row_number() OVER (PARTITION BY word ORDER BY seq) AS i, dx, dy FROM log),
+f AS (SELECT key, 0::BIGINT AS i, 0::DOUBLE AS n, 0::DOUBLE AS mx, 0::DOUBLE AS my, 0::DOUBLE AS sx, 0::DOUBLE AS sy, 0::DOUBLE AS c FROM (SELECT DISTINCT key FROM r)
+UNION ALL SELECT key, i, CASE WHEN n > 200 THEN n / 2 ELSE n END, mx, my, CASE WHEN n > 200 THEN sx / 2 ELSE sx END, CASE WHEN n > 200 THEN sy / 2 ELSE sy END, CASE WHEN n > 200 THEN c / 2 ELSE c END
+FROM (SELECT key, i, n, nx AS mx, ny AS my, sx + ox * (dx - nx) AS sx, sy + oy * (dy - ny) AS sy, c + ox * (dy - ny) AS c
+FROM (SELECT r.key, r.i, r.dx, r.dy, f.n + 1 AS n, f.sx, f.sy, f.c, r.dx - f.mx AS ox, r.dy - f.my AS oy, f.mx + (r.dx - f.mx) / (f.n + 1) AS nx, f.my + (r.dy - f.my) / (f.n + 1) AS ny FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1) x) y)
+SELECT key, round(n, 6) AS n, round(mx, 6) AS mean_dx, round(my, 6) AS mean_dy, round(sx / (n - 1), 6) AS var_dx, round(sy / (n - 1), 6) AS var_dy, round(c / (n - 1), 6) AS cov FROM f WHERE i = (SELECT count(*) FROM r WHERE r.key = f.key)"""
+)
 def decaying_touch_moments(s, d):
-    return A.decaying_moments(_log(s, d).select(F.col("word").alias("key"), "seq", "dx", "dy"), limit=200)
+    """Moments of each word's touches, of which weight is halved whenever there are more than 200."""
+    found = A.decaying_moments(_log(s, d).select(F.col("word").alias("key"), "seq", "dx", "dy"), limit=200)
+    return found.select("key", *(F.round(c, 6).alias(c) for c in ("n", "mean_dx", "mean_dy", "var_dx", "var_dy", "cov")))
 
 
 _SURFACES = f"raw AS (SELECT unnest(regexp_extract_all(replace(text, '’', ''''), '[\\p{{L}}'']+')) AS word, doc_id FROM documents), surf AS (SELECT word, count(*) AS count, min(doc_id) AS seq FROM raw GROUP BY word)"
