@@ -128,8 +128,11 @@ def _both_scored(s: SparkSession, d: str) -> DataFrame:
     return pairs.join(score("typed", "t"), "typed").join(score("word", "w"), "word")
 
 
-_TWIN_SCORES = f"""{_TWINS}, tx AS ({scored_sql('(SELECT DISTINCT typed AS word FROM bare)', '1 AS one').replace('FROM uni WHERE', 'FROM uni2 WHERE')}), wx AS ({scored_sql('(SELECT DISTINCT word FROM bare)', '1 AS one').replace('FROM uni WHERE', 'FROM uni2 WHERE')}),
-both_ AS (SELECT b.typed, b.word, t.f1 AS tf1, t.f2 AS tf2, t.z1 AS tz1, t.z2 AS tz2, w.f1 AS wf1, w.f2 AS wf2, w.z1 AS wz1, w.z2 AS wz2 FROM bare b JOIN tx t ON t.word = b.typed JOIN wx w ON w.word = b.word)"""
+_TWIN_Z = "(ln((coalesce({f}, 0) + 0.5) / (n{k} + 50000.0)) - (mu{k} - ln(n{k} + 50000.0))) / s{k}"
+_TWIN_SCORES = f"""{_TWINS}, lex AS MATERIALIZED (SELECT word, max(frequency) FILTER (lane = 'es') AS f1, max(frequency) FILTER (lane = 'en') AS f2 FROM uni2 GROUP BY word),
+one AS MATERIALIZED (SELECT {", ".join(f"max(mu) FILTER (lane = '{lane}') AS mu{k}, max(sigma) FILTER (lane = '{lane}') AS s{k}, max(total) FILTER (lane = '{lane}') AS n{k}" for k, lane in ((1, "es"), (2, "en")))} FROM cal JOIN tot USING (lane)),
+both_ AS MATERIALIZED (SELECT typed, bare.word, t.f1 AS tf1, t.f2 AS tf2, w.f1 AS wf1, w.f2 AS wf2, {_TWIN_Z.format(f="t.f1", k=1)} AS tz1, {_TWIN_Z.format(f="t.f2", k=2)} AS tz2, {_TWIN_Z.format(f="w.f1", k=1)} AS wz1, {_TWIN_Z.format(f="w.f2", k=2)} AS wz2
+FROM bare LEFT JOIN lex t ON t.word = typed LEFT JOIN lex w ON w.word = bare.word CROSS JOIN one)"""
 
 
 @query(

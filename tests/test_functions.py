@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -157,3 +160,22 @@ def test_addresses(spark):
     for pattern, good, bad in cases:
         rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", F.col("t").rlike(f"^(?:{pattern})$").alias("ok")).collect()
         assert {r.t: r.ok for r in rows} == {t: True for t in good} | {t: False for t in bad}
+
+
+@pytest.mark.parametrize("n", [0, 7, 10, 19, 99, 100, 255, 409, 65535])
+def test_numbers_at_most(n):
+    pattern = re.compile(T.at_most(n))
+    assert all(bool(pattern.fullmatch(str(k))) == (k <= n) for k in [*range(0, 1200), n - 1, n, n + 1, 10 * n + 9, 65536, 70000, 99999] if k >= 0)
+    assert not pattern.fullmatch("01") and not pattern.fullmatch("")
+
+
+def test_addresses_follow_their_grammars(spark):
+    label = "a" * 63
+    cases = {
+        T.URL: (["http://a.is", f"{label}.org", "https://host/p/a%20b;c=1?q=/x&y#top", "x-y.example.com/ö", "http://[2001:db8::1]:80/", "ab.cd:0"], ["a_b", f"{label}a", "-a", "http://", "a.b1", "ftp"]),
+        T.EMAIL: (["a@b.cd", "o'neil+tag@x-y.example.com", '"quoted \\" sign"@example.org', "x@192.168.0.255"], ["a@-b.cd", "a.@b.cd", "a b@c.de", "x@300.1.1.1"]),
+        T.PHONE: (["+354 555 1234", "0045-12345678", "(020) 7946 0958", "5551234", "+1 (212) 555-0100"], ["1234", "+", "12 (34", "+0 12345"]),
+    }
+    for pattern, (good, bad) in cases.items():
+        rows = spark.createDataFrame([(x,) for x in good + bad], "x string").select("x", F.col("x").rlike(f"^(?:{pattern})$").alias("ok")).collect()
+        assert {r.x: r.ok for r in rows} == {x: True for x in good} | {x: False for x in bad}
