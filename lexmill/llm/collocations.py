@@ -10,8 +10,9 @@ Words that a language has less than ``least`` times are in no phrase that counts
 fixed-size bitmap says which words may be frequent (a word that only shares a bit costs time, not correctness).
 Suffixes that repeat within a chunk of texts travel once, with their number, and each language's most frequent words
 (``CODED`` over all languages) in two or three bytes that begin with one that UTF-8 never has; others are spelled and
-end with a space.  No word's bytes begin another's, so words and bytes agree on what begins with a phrase.  A row is
-one value: the language, the words, and behind them how often the chunk has them.
+begin with "!" and end with a space.  No word's bytes begin another's, so words and bytes agree on what begins with a
+phrase and on the order.  A row is one value: the language, the words, and behind them how often the chunk has them.
+Bounds of the ranges come from a sample of texts; they say where rows go, never what is counted.
 
 Parts of a phrase are at least as frequent as it, so all their counts are there once phrases below ``least`` are
 gone: they are joined by language and phrase.  Products of counts are decimals of 38 digits, exact up to 10^16 words.
@@ -23,6 +24,7 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +41,7 @@ from lexmill.shipping import ship
 #: Bits of the map of words that may be frequent: 2 MB.
 BITMAP_BITS = 24
 #: Bytes of text whose suffixes are put together before they travel.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Parts that a language's candidates are ranked in first.
 RANK_PARTS = 64
 #: Words that have a code: 1024 of a language in two bytes, the others in three.
@@ -47,7 +49,9 @@ CODED = 65_536
 _SHORT = 1024
 #: Languages that have a code of one byte; others are spelled.
 CODED_LANGS = 200
-#: Ends the words of a suffix; no word has it.
+#: Words of the texts, and suffixes for each range, that bounds of ranges are taken from.
+SAMPLE_WORDS, SAMPLED = 3_000_000, 200
+#: Ends the words of a suffix; no word's bytes begin with it or with less.
 _STOP = 0x09
 _MARK = b","
 #: Everything that ends a piece becomes one sign that no word holds.
@@ -96,10 +100,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count_words(CHUNK_BYTES), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def frequent_bitmap(counts: DataFrame, least: int) -> bytes:
-    """A bit for the hash of each word with ``least`` occurrences; at most 512 rows of 4 kB come to the driver."""
+def frequent_words(counts: DataFrame, least: int) -> DataFrame:
+    """lang, word and n of words with ``least`` occurrences, and a row without word for all others of a language."""
+    return counts.groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+
+
+def frequent_bitmap(words: DataFrame) -> bytes:
+    """A bit for the hash of each of ``frequent_words``; at most 512 rows of 4 kB come to the driver."""
     at = F.pmod(F.xxhash64("lang", "word"), F.lit(1 << BITMAP_BITS)) + 1  # the functions' first bucket holds 1 to 32768
-    bits = counts.filter(F.col("n") >= least).select(at.alias("at"))
+    bits = words.filter("word IS NOT NULL").select(at.alias("at"))
     blocks = bits.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray((1 << BITMAP_BITS) // 8)
     for block, raw in blocks.collect():
@@ -113,9 +122,9 @@ def may_be_frequent(lang: str, words: list[bytes], bitmap: np.ndarray) -> np.nda
     return bitmap[at >> 3] >> (at & 7) & 1 > 0
 
 
-def codes(counts: DataFrame, least: int) -> dict[str, list[bytes]]:
+def codes(words: DataFrame) -> dict[str, list[bytes]]:
     """The words of each language that have a code, by number: the ``CODED`` most frequent ones."""
-    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").limit(CODED)
+    top = words.filter("word IS NOT NULL").orderBy(F.desc("n"), "lang", "word").limit(CODED)
     out: dict[str, list[bytes]] = {}
     for lang, word, _ in top.collect():
         out.setdefault(lang, []).append(word.encode("utf-8", "surrogatepass"))
@@ -140,8 +149,8 @@ def _lang_bytes(lang: str, known: dict[str, bytes]) -> bytes:
     return known.get(lang) or b"\0" + len(raw).to_bytes(4, "big") + raw
 
 
-def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], langs: dict[str, bytes], max_n: int, most: int):
-    """Distinct truncated suffixes of each chunk with their number."""
+def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], langs: dict[str, bytes], max_n: int, most: int, bounds: list[bytes] | None = None):
+    """Distinct truncated suffixes of each chunk with their number, and the range that each goes to."""
     bits = np.frombuffer(bitmap, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +161,9 @@ def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], langs: dict[str, byt
             if not frequent:
                 continue
             own = written.get(lang, {})
-            spelled = pa.array([b""] + [own.get(w) or w + b" " for w in frequent], pa.binary())
+            spelling = {w: own.get(w) or b"!" + w + b" " for w in frequent}
+            frequent.sort(key=spelling.get)  # so that suffixes come in the order of their bytes
+            spelled = pa.array([b""] + [spelling[w] for w in frequent], pa.binary())
             code = {w: k for k, w in enumerate(frequent, 1)}
             ids = np.fromiter((code.get(w, 0) for w in found), np.int64, len(found))
             ids = np.concatenate([ids, np.zeros(max_n, np.int64)])
@@ -182,7 +193,10 @@ def _suffixes(bitmap: bytes, coded: dict[str, list[bytes]], langs: dict[str, byt
                 if number.max() > 256:
                     ends = pa.array([bytes((_STOP,)) + n.to_bytes((n.bit_length() + 7) // 8, "big") for n in number.tolist()], pa.binary())
                 begin = pa.scalar(_lang_bytes(lang, langs), pa.binary())
-                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(begin, *(spelled.take(pa.array(c[rows])) for c in columns), ends, b"")], names=["suffix"])
+                suffixes = pc.binary_join_element_wise(begin, *(spelled.take(pa.array(c[rows])) for c in columns), ends, b"")
+                stops = [bisect.bisect_left(range(len(suffixes)), bound, key=lambda k: suffixes[k].as_py()) for bound in bounds or []]
+                to = np.repeat(np.arange(len(stops) + 1), np.diff([0, *stops, len(suffixes)]))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), suffixes], names=["range", "suffix"])
 
     return run
 
@@ -195,7 +209,7 @@ def word_ends(raw: np.ndarray, at: np.ndarray, max_n: int) -> np.ndarray:
         lead = raw[at]
         after = np.where(lead >= 0xFC, at + 3, np.where(lead >= 0xF8, at + 2, at))
         long = np.flatnonzero((lead < 0xF8) & (lead != _STOP))
-        after[long] = spaces[np.searchsorted(spaces, at[long])] + 1
+        after[long] = spaces[np.searchsorted(spaces, at[long])] + 1  # a spelled word
         at = after
         ends.append(at)
     return np.stack(ends)
@@ -234,7 +248,7 @@ def _spell(raw: bytes, words: list[bytes]) -> str:
             at += 2
         else:
             end = raw.index(b" ", at)
-            out.append(raw[at:end])
+            out.append(raw[at + 1 : end])
             at = end + 1
     return b" ".join(out).decode("utf-8", "surrogatepass")
 
@@ -308,16 +322,26 @@ def _count_prefixes(coded: dict[str, list[bytes]], langs: dict[str, bytes], max_
     return run
 
 
+def _bounds(suffixes: DataFrame, ranges: int) -> list[bytes]:
+    """Where ranges of about equal size end, by ``SAMPLED`` suffixes for each of them."""
+    found = sorted(r[0] for r in suffixes.select("suffix").orderBy(F.rand(7)).limit(SAMPLED * ranges).collect())
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
+
+
 def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = 5, least: int = 100) -> DataFrame:
     """lang, phrase, size and n of all phrases of up to ``max_n`` words that a language has ``least`` times.
 
-    ``words`` are ``word_counts``, kept in a table."""
+    ``words`` are ``frequent_words``, kept in a table."""
     ship(docs.sparkSession)
-    bitmap, coded = frequent_bitmap(words, least), codes(words, least)
+    bitmap, coded = frequent_bitmap(words), codes(words)
     langs = lang_codes(coded)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    suffixes = rows.mapInArrow(_suffixes(bitmap, coded, langs, max_n, CHUNK_BYTES), "suffix binary")
-    ranged = suffixes.repartitionByRange("suffix").sortWithinPartitions(F.desc("suffix"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    suffixes = lambda df, bounds=None: df.mapInArrow(_suffixes(bitmap, coded, langs, max_n, CHUNK_BYTES, bounds), "range int, suffix binary")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = SAMPLE_WORDS / max(1, total)
+    bounds = _bounds(suffixes(rows if share >= 1 else rows.sample(share, 11)), ranges)
+    ranged = suffixes(rows, bounds).repartitionById(len(bounds) + 1, "range").sortWithinPartitions(F.desc("suffix")).select("suffix")
     counted = ranged.mapInArrow(_count_prefixes(coded, langs, max_n, least), "lang string, phrase string, size int, n bigint")
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
@@ -344,7 +368,7 @@ def maximal(counts: DataFrame, share: int = 100) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2000, share: int = 100) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by 1000 a n / (l r), rounded down, of the weakest cut."""
-    words = cut(word_counts(docs))
+    words = cut(frequent_words(word_counts(docs), least))
     counts = cut(phrase_counts(docs, words, max_n, least))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).cast("int").alias("salt")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))))
