@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.config import ACUTE, DEFAULT
+from lexmill.config import ACUTE, DEFAULT, key_centers
 from lexmill.functions import text as T
 from lexmill.operators import candidates as C
+from lexmill.operators import decision as D
 from lexmill.operators import lexicon as L
 from lexmill.operators import model as M
 from lexmill.operators import morphology as P
@@ -423,3 +424,66 @@ def single_letter_rules(s, d):
     scored = M.with_scores(asked, lexicon, _stored(s, d).scale).withColumn("score", M.blend(F.col("z_primary"), F.col("z_secondary"), F.lit(0.7)))
     rows = letters.join(scored.select("word", "f_primary", "z_primary", "score"), "word").join(scored.select(F.col("word").alias("typed"), F.col("score").alias("bare")), "typed")
     return C.single_letters(rows, 0.7).select("typed", "word", "offered", "auto", F.round("confidence", 6).alias("confidence"))
+
+
+# ---- the whole decision: words without a letter after the word before them, words that ran together, and taps
+_ASKED = """wordreq AS (SELECT substr(word, 1, 2) || substr(word, 4) AS typed, min(previous) AS previous FROM reqpair WHERE length(word) BETWEEN 4 AND 12 GROUP BY 1),
+joined AS (SELECT previous || word AS typed, min(previous || ' ' || word) AS word FROM reqpair WHERE length(previous) BETWEEN 2 AND 5 AND length(word) BETWEEN 2 AND 5 GROUP BY 1),
+typed AS (SELECT typed FROM wordreq UNION SELECT typed FROM joined)"""
+_LIFT = "CASE WHEN c1 > 0 THEN (ln(0.6 * coalesce(b1, 0) / c1 + 0.4 * p1) - ln(p1)) / s1 END"
+
+
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pairs = _request_pairs(s, d)
+    cut = F.concat(F.left("word", F.lit(2)), F.substr("word", F.lit(4), F.length("word")))
+    words = pairs.filter(F.length("word").between(4, 12)).groupBy(cut.alias("typed")).agg(F.min("previous").alias("previous"))
+    short = F.length("previous").between(2, 5) & F.length("word").between(2, 5)
+    joined = pairs.filter(short).groupBy(F.concat("previous", "word").alias("typed")).agg(F.min(F.concat_ws(" ", "previous", "word")).alias("word"))
+    return words, joined
+
+
+@query(
+    f"""WITH {TOK}, {BI}, {CAL}, {REQ}, {KNOWN}, {_ASKED}, {_SUBST}, {_EDITS}, {_RESTORE}, pairs AS ({_PAIRS}),
+c AS (SELECT typed, word, cost, previous FROM edits SEMI JOIN known USING (word) LEFT JOIN wordreq USING (typed)), x AS ({scored_sql("c", "q.typed, q.cost, q.previous")}),
+y AS (SELECT x.*, u1.frequency AS c1, b1.frequency AS b1 FROM x LEFT JOIN uni u1 ON u1.word = previous AND u1.lane = 'es' LEFT JOIN bi b1 ON b1.w1 = previous AND b1.w2 = x.word AND b1.lane = 'es'),
+h AS MATERIALIZED ({scored_sql("(SELECT DISTINCT unnest(string_split(word, ' ')) AS word FROM joined)", "1 AS one")}),
+pool AS (SELECT typed, word, cost::DOUBLE AS cost, previous IS NOT NULL AS context, greatest(z1, z2) AS z, {_LIFT} AS lift, round(-cost + {blend_sql("z1", "z2")}, 9) AS score FROM y
+UNION ALL SELECT typed, j.word, 5.0, false, least(greatest(a.z1, a.z2), greatest(b.z1, b.z2)), NULL, round(-5.0 + ({blend_sql("a.z1", "a.z2")} + {blend_sql("b.z1", "b.z2")}) / 2, 9) FROM joined j JOIN h a ON a.word = string_split(j.word, ' ')[1] JOIN h b ON b.word = string_split(j.word, ' ')[2]),
+k AS MATERIALIZED (SELECT *, row_number() OVER w AS r, score - lead(score) OVER w AS margin, lead(lift) OVER w AS runner_lift, min(CASE WHEN NOT contains(word, ' ') THEN cost END) OVER (PARTITION BY typed) AS single_cost FROM pool WINDOW w AS (PARTITION BY typed ORDER BY score DESC, word)),
+same AS (SELECT typed, word, unnest(range(1, length(typed) + 1)) AS i FROM k WHERE r = 1 AND length(typed) = length(word)), diff AS (SELECT typed, count(*) AS n, min(substr(typed, i, 1) || substr(word, i, 1)) AS p FROM same WHERE substr(typed, i, 1) <> substr(word, i, 1) GROUP BY ALL),
+taps AS (SELECT typed, pos, typed[pos] AS letter, x + ((pos * 3) % 7 - 3) / 10.0 AS x, y FROM (SELECT typed, unnest(range(1, length(typed) + 1)) AS pos FROM typed) JOIN keys ON k = typed[pos] WHERE typed[pos] NOT IN ('á', 'é', 'í', 'ó', 'ú', 'ý')),
+post AS (SELECT typed, pos, sum(exp(-d)) FILTER (letter = k) / sum(exp(-d)) AS p FROM (SELECT typed, pos, letter, k, (pow(taps.x - keys.x, 2) + pow(taps.y - keys.y, 2)) / (2 * 0.4 * 0.4) AS d FROM taps, keys WHERE k NOT IN ('á', 'é', 'í', 'ó', 'ú', 'ý')) GROUP BY ALL), sure AS (SELECT typed, avg(p) AS confidence FROM post GROUP BY typed),
+w AS (SELECT k.*, contains(word, ' ') AS split, NOT contains(word, ' ') AND coalesce(n = 1 AND p IN (SELECT p FROM pairs) OR length(word) = length(typed) + 1 AND contains(word, '''') AND replace(word, '''', '') = replace(typed, '''', ''), false) AS restored, typed IN (SELECT word FROM known) AS valid, length(typed) % 2 = 0 AS capital, confidence,
+ typed[: -2] IN (SELECT word FROM uni WHERE lane = 'es') AS stem1, typed[: -2] IN (SELECT word FROM uni WHERE lane = 'en') AS stem2 FROM k LEFT JOIN diff USING (typed) LEFT JOIN sure USING (typed) WHERE r = 1),
+v AS (SELECT *, CASE WHEN NOT valid AND split THEN 'split' WHEN NOT valid AND restored THEN 'restoration' WHEN NOT valid THEN 'ordinary' WHEN restored THEN 'restoration of a word' ELSE 'none' END AS rule,
+ CASE WHEN length(typed) <= 2 THEN 1.5 WHEN length(typed) <= 3 AND NOT restored AND context AND coalesce(lift < 0.25, true) THEN 1.5 ELSE -2.5 END AS floor, z < -1.0 AS junk FROM w),
+g AS (SELECT *, CASE WHEN split THEN 2.5 WHEN restored THEN 0.5 ELSE 1.15 * CASE WHEN junk THEN 3.0 ELSE 1.0 END * CASE WHEN NOT junk AND coalesce(lift >= 0.75, false) AND coalesce(runner_lift <= 0, true) THEN 0.7 ELSE 1.0 END END * CASE WHEN restored THEN 1.0 ELSE least(4.0, 1 + 6.0 * greatest(coalesce(confidence, 0) - 0.5, 0)) END AS required FROM v),
+d AS (SELECT typed, word, rule, round(required, 6)::DOUBLE AS required, length(typed) >= 2 AS long_enough, cost <= 6.0 AS cheap, length(replace(replace(word, '''', ''), '’', '')) - length(word) <= length(replace(replace(typed, '''', ''), '’', '')) - length(typed) AS marks_kept, rule <> 'none' AS open_rule,
+ split OR starts_with(rule, 'restoration of') OR z >= floor AS typical, margin IS NULL OR margin >= required AS ahead, NOT split OR single_cost IS NULL OR single_cost > 2.5 AS no_single_word, NOT (length(typed) <= 2 AND length(word) > length(typed) AND starts_with(word, typed)) AS no_short_completion,
+ NOT (capital AND NOT restored AND length(typed) >= 4 AND regexp_full_match(typed, '\\p{{L}}+s')) OR stem2 OR NOT stem1 AS no_name FROM g)
+SELECT *, long_enough AND cheap AND marks_kept AND open_rule AND typical AND ahead AND no_single_word AND no_short_completion AND no_name AS apply FROM d"""
+)
+def autocorrect_decision(s, d):
+    """The best suggestion for each typed word under every rule and gate: known words one edit away with the word before,
+    words that ran together, taps a little beside their keys."""
+    words, joined = _asked(s, d)
+    uni, known = _uni(s, d), _known(s, d)
+    asked = words.select("typed").union(joined.select("typed")).distinct()
+    pool = C.edits(asked).join(known.select("word"), "word", "left_semi").join(words, "typed", "left")
+    scored = M.with_pair_scores(_scored(s, d, pool), uni, _bi(s, d))
+    lift = F.when(F.coalesce("first_primary", F.lit(0)) > 0, F.col("zp_primary") - F.col("z_primary"))
+    blend, best = M.blend(F.col("z_primary"), F.col("z_secondary"), F.lit(0.5)), F.greatest("z_primary", "z_secondary")
+    singles = scored.select("typed", "word", F.col("cost").cast("double").alias("cost"), F.col("previous").isNotNull().alias("context"), best.alias("z"), lift.alias("lift"), F.round(-F.col("cost") + blend, 9).alias("score"))
+    half = _scored(s, d, joined.select(F.explode(F.split("word", " ")).alias("word")).distinct()).select("word", best.alias("z"), blend.alias("b"))
+    left, right = (half.select(*(F.col(c).alias(f"{c}{k}") for c in ("word", "z", "b"))) for k in (1, 2))
+    two = joined.join(left, F.substring_index("word", " ", 1) == F.col("word1")).join(right, F.substring_index("word", " ", -1) == F.col("word2"))
+    two = two.select("typed", "word", F.lit(5.0).alias("cost"), F.lit(False).alias("context"), F.least("z1", "z2").alias("z"), F.lit(None).cast("double").alias("lift"), F.round(-5.0 + (F.col("b1") + F.col("b2")) / 2, 9).alias("score"))
+    won = D.winners(singles.unionByName(two))
+    keys = s.createDataFrame([(k, float(x), float(y)) for k, (x, y) in sorted(key_centers().items()) if k not in ACUTE], "letter string, kx double, ky double")
+    letters = asked.select("typed", F.posexplode(F.split("typed", "")).alias("p", "letter")).withColumn("pos", F.col("p") + 1)
+    taps = letters.join(F.broadcast(keys), "letter").select("typed", "pos", "letter", (F.col("kx") + (F.col("pos") * 3 % 7 - 3) / 10).alias("x"), F.col("ky").alias("y"))  # 30 keys
+    lane = lambda name, own: uni.filter(F.col("lane") == own).select(F.col("word").alias("stem"), F.lit(True).alias(name)).distinct()
+    rows = won.join(known.select(F.col("word").alias("typed"), F.lit(True).alias("valid")), "typed", "left").withColumn("stem", F.left("typed", F.length("typed") - 1))
+    rows = rows.join(lane("stem_primary", DEFAULT.primary), "stem", "left").join(lane("stem_secondary", DEFAULT.secondary), "stem", "left").join(D.tap_confidence(taps, 0.4), "typed", "left")
+    rows = rows.na.fill(False, ["valid", "stem_primary", "stem_secondary"]).withColumns({"personal": F.lit(False), "capital": F.length("typed") % 2 == 0, "rewrite": C.rewrite_distance("typed", "word")})
+    return D.decide(rows).select("typed", "word", "rule", F.round("required", 6).alias("required"), *D.GATES, "apply")
