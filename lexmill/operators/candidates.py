@@ -5,12 +5,14 @@ taken distinct first, so a word that is typed often is expanded once."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lexmill.config import ACUTE, CONFUSIONS, DEFAULT, EDIT_ALPHABET, LANE_CONFUSIONS, RESTORATIONS, Config, key_centers, substitution_cost
+from lexmill.config import ACUTE, DEFAULT, EDIT_ALPHABET, RESTORATIONS, Config, key_centers, substitution_cost
+from lexmill.operators.alignment import channel_costs, rewrite_distances, typing_costs
 
 INSERTION, DELETION, TRANSPOSITION = 4.0, 4.0, 2.0
 
@@ -163,96 +165,40 @@ def fold_price(p: Column, low: float = 0.5, high: float = 0.75) -> Column:
     return t * t * (3 - 2 * t)
 
 
-def _typing(a: str, b: str, table: dict) -> float:
-    if not a or not b:
-        return DELETION * len(b) + INSERTION * len(a)
-    before, row = None, [DELETION * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [INSERTION * i]
-        for j, y in enumerate(b, 1):
-            cost = table.get(x + y)
-            if cost is None:
-                cost = table[x + y] = substitution_cost(x, y)
-            best = min(row[j - 1] + cost, row[j] + INSERTION, new[-1] + DELETION)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != a[i - 2]:
-                best = min(best, before[j - 2] + TRANSPOSITION)
-            new.append(best)
-        before, row = row, new
-    return row[-1]
+def _complete(*columns: pd.Series) -> np.ndarray:
+    """Which rows have no null in any column."""
+    out = np.ones(len(columns[0]), bool)
+    for c in columns:
+        out &= c.notna().to_numpy()
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def typing_cost(typed: pd.Series, word: pd.Series) -> pd.Series:
-    """Weighted edit distance with neighbouring letters swapped, by key distance."""
-    table: dict = {}
-    return pd.Series([None if a is None or b is None else _typing(a, b, table) for a, b in zip(typed, word)], dtype="float64")
+    """Weighted edit distance with neighbouring letters swapped, by key distance; null for null."""
+    out, there = pd.Series([None] * len(typed), dtype="float64"), _complete(typed, word)
+    out[there] = typing_costs(typed[there].tolist(), word[there].tolist(), INSERTION, DELETION, TRANSPOSITION)
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def rewrite_distance(typed: pd.Series, word: pd.Series) -> pd.Series:
-    """Edits that are no restoration: restored letters and apostrophes are free."""
-    free = {a + b for b, a in ACUTE.items()} | {b + a for b, a in ACUTE.items()} | set(CONFUSIONS)
-
-    def one(a: str, b: str) -> int:
-        if not a:
-            return sum(c not in "'’" for c in b)
-        row, before = [0], None
-        for y in b:
-            row.append(row[-1] + (y not in "'’"))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                best = min(row[j - 1] + (x != y and x + y not in free), row[j] + 1, new[-1] + (y not in "'’"))
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != a[i - 2]:
-                    best = min(best, before[j - 2] + 1)
-                new.append(best)
-            before, row = row, new
-        return row[-1]
-
-    return pd.Series([one(a, b) for a, b in zip(typed, word)], dtype="int32")
+    """Edits that are no restoration: restored letters and apostrophes are free; null for null."""
+    out, there = pd.Series([None] * len(typed), dtype="Int32"), _complete(typed, word)
+    out[there] = rewrite_distances(typed[there].tolist(), word[there].tolist())
+    return out
 
 
 @F.pandas_udf(StructType([StructField("total", DoubleType()), StructField("error_ops", IntegerType()), StructField("restoration_ops", IntegerType())]))
 def channel_cost(typed: pd.Series, word: pd.Series, p_primary: pd.Series) -> pd.DataFrame:
     """Typing cost with restorations priced by the lane, and how many errors and restorations it takes;
-    among equal costs the one with fewer errors."""
-    table: dict = {}
-
-    def one(a: str, b: str, p: float):
-        t = min(max((p - 0.5) / 0.25, 0.0), 1.0)
-        u = min(max((1 - p - 0.5) / 0.25, 0.0), 1.0)
-        w, v = t * t * (3 - 2 * t), u * u * (3 - 2 * u)
-        acute, confusion = max(0.02, 0.35 * (1 - w)), 1 - 0.5 * w
-
-        def sub(x, y):
-            if x == y:
-                return 0.0, 0, 0
-            if ACUTE.get(y) == x:
-                return acute, 0, 1
-            if x + y in LANE_CONFUSIONS:
-                return max(0.02, 1.5 * confusion), 0, 1
-            if x + y not in table:
-                table[x + y] = substitution_cost(x, y)
-            return table[x + y], 1, 0
-
-        def omit(y):
-            return (max(0.02, min(DELETION, DELETION * (1 - v))), 0, 1) if y in "'’" else (DELETION, 1, 0)
-
-        add = lambda s, c: (s[0] + c[0], s[1] + c[1], s[2] + c[2])
-        row, before = [(0.0, 0, 0)], None
-        for y in b:
-            row.append(add(row[-1], omit(y)))
-        for i, x in enumerate(a, 1):
-            new = [(INSERTION * i, i, 0)]
-            for j, y in enumerate(b, 1):
-                best = min(add(row[j - 1], sub(x, y)), add(row[j], (INSERTION, 1, 0)), add(new[-1], omit(y)))
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != a[i - 2]:
-                    best = min(best, add(before[j - 2], (TRANSPOSITION, 1, 0)))
-                new.append(best)
-            before, row = row, new
-        return row[-1]
-
-    return pd.DataFrame([one(a, b, p) for a, b, p in zip(typed, word, p_primary)], columns=["total", "error_ops", "restoration_ops"])
+    among equal costs the one with fewer errors; nulls for null."""
+    there = _complete(typed, word, p_primary)
+    out = pd.DataFrame({"total": pd.Series([None] * len(typed), dtype="float64"), "error_ops": pd.Series([None] * len(typed), dtype="Int32"), "restoration_ops": pd.Series([None] * len(typed), dtype="Int32")})
+    found = channel_costs(typed[there].tolist(), word[there].tolist(), p_primary[there].to_numpy(float), INSERTION, DELETION, TRANSPOSITION)
+    for name, values in zip(out.columns, found):
+        out.loc[there, name] = values
+    return out
 
 
 def tap_likelihoods(taps: DataFrame, sigma: float = 0.7) -> DataFrame:

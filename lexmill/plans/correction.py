@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.config import CONFUSIONS, DEFAULT, EDIT_ALPHABET, RESTORATIONS, key_centers
+from lexmill.config import CONFUSIONS, DEFAULT, EDIT_ALPHABET, LANE_CONFUSIONS, RESTORATIONS, key_centers
 from lexmill.functions import text as T
 from lexmill.operators import candidates as C
 from lexmill.operators import glide as G
@@ -133,12 +133,28 @@ def provider_summary(s, d):
     return rows.groupBy(F.when(F.col("cost") == 2.0, "transposition").when(F.col("cost") == 4.0, "indel").otherwise("substitution").alias("provider")).agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query()
+_FREE = "(SELECT a || b FROM rest WHERE b IN ('á', 'é', 'í', 'ó', 'ú', 'ý') UNION SELECT b || a FROM rest WHERE b IN ('á', 'é', 'í', 'ó', 'ú', 'ý') UNION SELECT unnest(['" + "', '".join(CONFUSIONS) + "']))"
+_ACUTES = "(SELECT a || b FROM rest WHERE b IN ('á', 'é', 'í', 'ó', 'ú', 'ý'))"
+_LANES = "('" + "', '".join(LANE_CONFUSIONS) + "')"
+
+
+@query(
+    f"""WITH {TOK}, {REQ}, {TYPED}, {KNOWN}, {_SUBST}, {_EDITS}, {_RESTORE}, c AS (SELECT typed, word, cost FROM edits SEMI JOIN known USING (word)), sub AS (SELECT typed_c || c AS p, cost FROM subst),
+same AS (SELECT typed, word, unnest(range(1, length(typed) + 1)) AS i FROM c WHERE length(typed) = length(word)),
+one AS (SELECT typed, word, substr(typed, i, 1) || substr(word, i, 1) AS p FROM same WHERE substr(typed, i, 1) <> substr(word, i, 1)),
+price AS (SELECT o.*, coalesce(sub.cost, 5.0) AS plain, o.p IN {_ACUTES} AS acute, o.p IN {_LANES} AS lane, o.p IN {_FREE} AS free FROM one o LEFT JOIN sub USING (p)),
+both_ AS (SELECT typed, word, count(*) AS n, sum(plain) AS plain, sum(CASE WHEN acute THEN 0.35 * (1 - 0.896) WHEN lane THEN 1.5 * (1 - 0.5 * 0.896) ELSE plain END) AS priced, count(*) FILTER (acute OR lane) AS restored, count(*) FILTER (NOT free) AS edits FROM price GROUP BY ALL),
+mark AS (SELECT typed, word, length(word) = length(typed) + 1 AND contains(word, '''') AND replace(word, '''', '') = replace(typed, '''', '') AS mark FROM c)
+SELECT typed, word, round(cost, 6)::DOUBLE AS cost, round(CASE WHEN n IS NULL THEN 4.0 WHEN n = 2 THEN least(2.0, plain) ELSE plain END, 6)::DOUBLE AS typing, CASE WHEN n IS NULL THEN CASE WHEN mark THEN 0 ELSE 1 END ELSE least(edits, 1) END::BIGINT AS rewrite,
+ round(CASE WHEN n IS NULL THEN 4.0 WHEN n = 2 THEN least(2.0, priced) ELSE priced END, 6)::DOUBLE AS total, CASE WHEN n IS NULL THEN CASE WHEN mark THEN 0 ELSE 1 END WHEN n = 2 AND priced >= 2.0 THEN 1 ELSE n - restored END::BIGINT AS error_ops, CASE WHEN n IS NULL THEN CASE WHEN mark THEN 1 ELSE 0 END WHEN n = 2 AND priced >= 2.0 THEN 0 ELSE restored END::BIGINT AS restoration_ops
+FROM c LEFT JOIN both_ USING (typed, word) LEFT JOIN mark USING (typed, word)"""
+)
 def channel_costs(s, d):
     """Typing cost, rewrite distance and lane-priced channel cost of each one-edit candidate."""
     rows = C.edits(_typed(s, d)).join(_known(s, d).select("word"), "word", "left_semi")
     rows = rows.withColumn("c", C.channel_cost("typed", "word", F.lit(0.7)))
-    return rows.select("typed", "word", "cost", C.typing_cost("typed", "word").alias("typing"), C.rewrite_distance("typed", "word").alias("rewrite"), "c.total", "c.error_ops", "c.restoration_ops")
+    costs = [F.round(c, 6).alias(n) for n, c in (("cost", F.col("cost")), ("typing", C.typing_cost("typed", "word")), ("total", F.col("c.total")))]
+    return rows.select("typed", "word", *costs, C.rewrite_distance("typed", "word").cast("bigint").alias("rewrite"), *(F.col(f"c.{n}").cast("bigint").alias(n) for n in ("error_ops", "restoration_ops")))
 
 
 @query(
