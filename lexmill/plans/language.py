@@ -55,7 +55,7 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 def _stored(s: SparkSession, d: str) -> Lexicon:
     """The lexicon of the documents, counted once in a session; all lookups read its tables."""
-    return lexicon_of(_docs(s, d), d, LANES)
+    return lexicon_of(_docs(s, d), f"{d}/documents.parquet", LANES)
 
 
 def _uni(s: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stored lexicons: unigrams, bigrams and the scale of each lane as Parquet tables.
 
-``unigrams`` and ``bigrams`` are partitioned by lane and sorted by word within a file, so lookups of a lane read
-its partition alone and a range of words the row groups that hold it.  ``scale`` has a row for each lane:
+``unigrams`` and ``bigrams`` are partitioned by lane and dealt out by ranges of words, sorted within a file, so look-ups
+of a lane read its partition alone and a range of words the files and row groups that hold it.  ``scale`` has a row for each lane:
 mean and deviation of the sampled log frequencies, and the lane's tokens.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.config import DEFAULT, Config
 from lexmill.operators import lexicon as L
@@ -40,22 +41,27 @@ def write_lexicon(docs: DataFrame, path: str, lanes: tuple[str, ...], config: Co
     """Count the words and pairs of ``docs`` (doc_id, text, lang) into tables at ``path``; two scans of the texts."""
     out = Lexicon(docs.sparkSession, path)
     with shuffles_removed(docs.sparkSession):
-        L.unigrams(L.tokens(docs, lanes)).sortWithinPartitions("lane", "word").write.mode("overwrite").partitionBy("lane").parquet(f"{path}/unigrams")
-        L.bigrams(docs, lanes).sortWithinPartitions("lane", "w1", "w2").write.mode("overwrite").partitionBy("lane").parquet(f"{path}/bigrams")
+        L.unigrams(L.tokens(docs, lanes)).repartitionByRange("lane", "word").sortWithinPartitions("lane", "word").write.mode("overwrite").partitionBy("lane").parquet(f"{path}/unigrams")
+        L.bigrams(docs, lanes).repartitionByRange("lane", "w1", "w2").sortWithinPartitions("lane", "w1", "w2").write.mode("overwrite").partitionBy("lane").parquet(f"{path}/bigrams")
         scale = L.totals(out.unigrams).join(L.calibration(out.unigrams, config=config), "lane", "left")
         scale.select("lane", "mu", "sigma", "samples", "total").coalesce(1).write.mode("overwrite").parquet(f"{path}/scale")
     return out
 
 
-_BUILT: dict[tuple[str, str, tuple[str, ...]], Lexicon] = {}
+_BUILT: dict[tuple[str, str, tuple[str, ...]], tuple[int, Lexicon]] = {}
 
 
-def lexicon_of(docs: DataFrame, source: str, lanes: tuple[str, ...]) -> Lexicon:
-    """The lexicon of ``source``, built on first use in a session and read from the shared folder afterwards.
+def file_state(spark: SparkSession, source: str) -> int:
+    """A number that changes with the names, sizes and times of a table's files; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    return files.agg(F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0))).first()[0]
+
 
-    It is a snapshot: a source that changes under the same name keeps its first lexicon for the session."""
+def lexicon_of(docs: DataFrame, source: str, lanes: tuple[str, ...]) -> Lexicon:
+    """The lexicon of the table at ``source``, built on first use in a session and read from the shared folder afterwards;
+    built again once the table's files have changed."""
     spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, source, lanes)
-    if key not in _BUILT:
-        _BUILT[key] = write_lexicon(docs, shared_path(spark, "lexicon"), lanes)
-    return _BUILT[key]
+    key, state = (spark.sparkContext.applicationId, source, lanes), file_state(spark, source)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        _BUILT[key] = state, write_lexicon(docs, shared_path(spark, "lexicon"), lanes)
+    return _BUILT[key][1]

@@ -50,3 +50,18 @@ def test_curated_and_import(spark):
     assert sorted(r.word for r in X.curated(df).collect()) == ["Orð", "x"]
     words = X.importable(df).withColumn("k", F.lit(1))
     assert sorted(r.word for r in words.collect()) == ["Orð", "orð", "x"]
+
+
+def test_lexicon_follows_its_files(spark, tmp_path):
+    from lexmill.sources.lexicon_tables import lexicon_of
+
+    path = str(tmp_path / "documents.parquet")
+
+    def words(rows):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").write.mode("overwrite").parquet(path)
+        found = lexicon_of(spark.read.parquet(path), path, ("es", "en"))
+        assert lexicon_of(spark.read.parquet(path), path, ("es", "en")) is found
+        return {(r.lane, r.word): r.frequency for r in found.unigrams.collect()}
+
+    assert words([(1, "uno dos dos", "es")]) == {("es", "uno"): 1, ("es", "dos"): 2}
+    assert words([(1, "uno", "es"), (2, "one", "en")]) == {("es", "uno"): 1, ("en", "one"): 1}
