@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return
 the columns of documents; where a stage changes a text, ``n_chars`` follows it.
+
+In every stage null and empty texts are texts of no words, texts of any length are taken whole, more columns travel
+along whatever their names, and an empty table gives an empty table.  A null doc_id is an id of its own for the
+classifier, which scores each row by itself; it is compared with nothing when near-duplicates go and stays; it counts
+as the smallest one for passages; rows without id go together when one of them holds a benchmark item.  Rows that
+repeat an id stay or go together: as near-duplicates they are one document, so exact copies under one id all stay.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ of logits for each bucket, which is all that scoring needs.  A temperature and a
 calibrated on a part of the sample that is not trained on.
 
 Scoring reads whole texts, has no shuffle, and its model has a fixed number of rows.  A text that is null
-or has no letter gets ``und`` and score 0; with no labelled row at all every text does.  Repeated rows are
+or has no letter gets ``und`` and score 0; with no labelled row at all every text does.  A null doc_id is kept and
+counts as an id of its own in the sample.  Repeated rows are
 scored each; texts of any length are taken whole; of languages with equal scores the first in alphabetical order is
 predicted; other columns are ignored, whatever their names; an empty table gives no rows.
 """
