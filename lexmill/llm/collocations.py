@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import Stored, cut
 from lexmill.shipping import ship
 
 #: Bits of the map of words that may be frequent: 2 MB.
@@ -50,7 +50,7 @@ _SHORT = 1024
 #: Languages that have a code of one byte; others are spelled.
 CODED_LANGS = 200
 #: Words of the texts, and suffixes for each range, that bounds of ranges are taken from.
-SAMPLE_WORDS, SAMPLED = 3_000_000, 200
+SAMPLE_WORDS, SAMPLED = 3_000_000, 50
 #: Ends the words of a suffix; no word's bytes begin with it or with less.
 _STOP = 0x09
 _MARK = b","
@@ -323,8 +323,9 @@ def _count_prefixes(coded: dict[str, list[bytes]], langs: dict[str, bytes], max_
 
 
 def _bounds(suffixes: DataFrame, ranges: int) -> list[bytes]:
-    """Where ranges of about equal size end, by ``SAMPLED`` suffixes for each of them."""
-    found = sorted(r[0] for r in suffixes.select("suffix").orderBy(F.rand(7)).limit(SAMPLED * ranges).collect())
+    """Where ranges of about equal size end, by about ``SAMPLED`` suffixes for each of them."""
+    share = min(1.0, SAMPLED * ranges / SAMPLE_WORDS)  # a sample has fewer suffixes than words
+    found = sorted(r[0] for r in suffixes.select("suffix").filter(F.rand(7) < share).collect())
     return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
 
 
@@ -368,7 +369,7 @@ def maximal(counts: DataFrame, share: int = 100) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2000, share: int = 100) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by 1000 a n / (l r), rounded down, of the weakest cut."""
-    words = cut(frequent_words(word_counts(docs), least))
+    words = Stored(frequent_words(word_counts(docs), least), "frequent-words").rows  # written by a query, after which its shuffle files go
     counts = cut(phrase_counts(docs, words, max_n, least))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).cast("int").alias("salt")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))))
