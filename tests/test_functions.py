@@ -180,3 +180,19 @@ def test_addresses_follow_their_grammars(spark):
     for pattern, (good, bad) in cases.items():
         rows = spark.createDataFrame([(x,) for x in good + bad], "x string").select("x", F.col("x").rlike(f"^(?:{pattern})$").alias("ok")).collect()
         assert {r.x: r.ok for r in rows} == {x: True for x in good} | {x: False for x in bad}
+
+
+def test_emails_in_long_texts(spark):
+    """Long quoted texts, labels, escapes and runs do not go deep; the addresses are those of the grammar."""
+    x = F.col("x")
+    long = ['"' + "ab " * 40_000 + '"@a.bc', '"' + "\\a" * 40_000 + '"@a.bc', "u@" + "a." * 40_000 + "bc", "a" * 200_000 + " b@c.de", "a." * 100_000 + "@ b@c.de"]
+    assert [[len(e) for e in r] for r in one(spark, long, T.extract(x, T.EMAIL_SCAN))] == [[120_007], [80_007], [80_004], [6], [6]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='ab1."@\\ -[]:,é', max_size=24), min_size=1, max_size=30))
+def test_email_patterns_agree(spark, texts):
+    """Both patterns find the same, and the one without loops that go deep is the one that is run."""
+    x = F.col("x")
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.extract(x, T.EMAIL).alias("a"), T.extract(x, T.EMAIL_SCAN).alias("b"))
+    assert not df.filter("a <> b").collect()
