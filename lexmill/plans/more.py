@@ -62,7 +62,7 @@ def possessive_restoration(s, d):
 def context_continuation(s, d):
     """Words that follow the previous word and look like what was typed: about as long, with the same first letter."""
     typed = _request_pairs(s, d).filter(F.length("word") >= 4).select("previous", F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3), F.length("word"))).alias("typed")).distinct()
-    pool = L.continuations(typed.select(F.col("previous").alias("w1")).distinct(), _bi(s, d), 500).select(F.col("w1").alias("previous"), "word").distinct()
+    pool = L.continuations(typed.select(F.col("previous").alias("w1")).distinct(), _bi(s, d), 500, scan_limit=False).select(F.col("w1").alias("previous"), "word").distinct()
     near = (F.col("word") != F.col("typed")) & (F.abs(F.length("word") - F.length("typed")) <= 1) & (F.left("word", F.lit(1)) == F.left("typed", F.lit(1)))
     return typed.join(pool, "previous").filter(near).select("previous", "typed", "word").distinct()
 

@@ -75,3 +75,19 @@ def test_commits_span_batches(spark, tmp_path):
         sessions.commits(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.session, r["at"], r.word, r.previous) for r in spark.read.schema(sessions.COMMITS).parquet(f"{tmp_path}/out").collect())
     assert got == [("a", 1, "hello", None), ("a", 1, "wor", "hello"), ("b", 1, "one", None), ("b", 1, "two", None)]
+
+
+def _crowd(spark, path):
+    """A document in which one word is followed by 20,010 others, the commonest of them last in byte order."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    others = [letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26] + letters[i // 17576] for i in range(20_010)]
+    text = " ".join(f"hub {w}" for w in sorted(others)) + " hub zzzz" * 30
+    spark.createDataFrame([(1, text, "es", "s", len(text)), (2, "the end", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "hub zzzaz")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_continuations_of_a_word_with_many(spark, tmp_path):
+    """All words after a frequent word count, not the first 20,000 in byte order."""
+    _crowd(spark, tmp_path)
+    rows = catalog.QUERIES["context_continuation"](spark, str(tmp_path)).collect()
+    assert ("hub", "zzaz", "zzzz") in {(r.previous, r.typed, r.word) for r in rows}
