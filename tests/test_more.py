@@ -91,3 +91,9 @@ def test_continuations_of_a_word_with_many(spark, tmp_path):
     _crowd(spark, tmp_path)
     rows = catalog.QUERIES["context_continuation"](spark, str(tmp_path)).collect()
     assert ("hub", "zzaz", "zzzz") in {(r.previous, r.typed, r.word) for r in rows}
+
+
+def test_fallback_of_a_word_with_many(spark, tmp_path):
+    _crowd(spark, tmp_path)
+    rows = catalog.QUERIES["next_word_fallback"](spark, str(tmp_path)).collect()
+    assert ("hub", "zzzz") in {(r.previous, r.word) for r in rows}
