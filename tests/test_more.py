@@ -97,3 +97,17 @@ def test_fallback_of_a_word_with_many(spark, tmp_path):
     _crowd(spark, tmp_path)
     rows = catalog.QUERIES["next_word_fallback"](spark, str(tmp_path)).collect()
     assert ("hub", "zzzz") in {(r.previous, r.word) for r in rows}
+
+
+def test_confidence_is_of_the_unrounded_score(spark):
+    from lexmill.operators import model
+
+    rows = spark.createDataFrame([("p", "a", 1.4, 1.0), ("p", "b", 0.6, 1.0)], "previous string, word string, score double, by double")
+    got = {r.word: r.confidence for r in model.ranked(rows, ["previous"], 5, "by").collect()}
+    assert abs(got["a"] - 1 / (1 + 2.718281828459045 ** -0.8)) < 1e-9
+
+
+def test_next_words_of_a_word_with_many(spark, tmp_path):
+    _crowd(spark, tmp_path)
+    rows = catalog.QUERIES["next_word_topk"](spark, str(tmp_path)).collect()
+    assert ("hub", "zzzz", 1) in {(r.previous, r.word, r["rank"]) for r in rows}
