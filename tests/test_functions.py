@@ -196,3 +196,18 @@ def test_email_patterns_agree(spark, texts):
     x = F.col("x")
     df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.extract(x, T.EMAIL).alias("a"), T.extract(x, T.EMAIL_SCAN).alias("b"))
     assert not df.filter("a <> b").collect()
+
+
+def test_capitals_are_one_letter(spark):
+    x = F.col("x")
+    assert one(spark, ["ßie", "ᾳx", "ŉx", "ör", "ǆ", "", None], T.title_case(x)) == ["ẞie", "ᾼx", "ŉx", "Ör", "Ǆ", "", None]
+    assert one(spark, ["İX", "ΑΣ", "ẞIE"], T.lower_case(x)) == ["ix", "ασ", "ßie"]
+
+
+def test_pair_counts_keep_sharp_s_apart(spark, tmp_path):
+    from lexmill import catalog
+
+    rows = [(1, 0, "user", "die ßie die SSie die SSie die ẞie")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.previous, r.word): r["count"] for r in catalog.QUERIES["pair_count_case_variants"](spark, str(tmp_path)).collect()}
+    assert got["die", "ßie"] == 1
