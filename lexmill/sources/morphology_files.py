@@ -3,7 +3,7 @@
 Both keep all strings in one pool and fixed-size records in sections behind each other, so any range of records can be
 read alone.  A scan takes a file or a folder of files, plans a task for each range of records, reads the bytes of
 its sections and, of the pool, what its records point to; it gives the long table.  Writers deal the long table out by
-ranges of its sort key and write a file for each range, which is complete in itself: the order within a file is that
+ranges of its sort key and write files of bounded size for each range, complete in themselves: the order within a file is that
 of UTF-8 bytes, as look-ups by halving need it.
 
 Strings are at most 255 bytes long, which the format gives; longer ones, and null keys, are refused by an error.
@@ -295,16 +295,36 @@ def par1_file(rows: list[tuple], least: int = 0) -> bytes:
     )
 
 
-def _write(rows: DataFrame, path: str, keys: list[str], make) -> None:
+#: Rows of a file at which it ends with its key: what a task holds does not grow with what it is dealt.
+FILE_ROWS = 100_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[list[tuple]]:
+    """The rows in runs of ``most`` or a little more, cut where one of the first ``keys`` columns changes."""
+    held: list[tuple] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 10_000):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 10_000).columns)):
+                if len(held) >= most and row[:keys] != held[-1][:keys]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
+def _write(rows: DataFrame, path: str, keys: list[str], make, most: int | None = None) -> None:
+    """Files of rows, which begin with the ``keys``; those of a task follow each other in its range."""
+    most = most or FILE_ROWS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
-        if held:
+        for k, held in enumerate(_runs(batches, len(keys), most)):
             store, root = _opened(path)
             store.create_dir(root, recursive=True)
             part = f"{root}/.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as out:
                 out.write(make(held))
-            store.move(part, f"{root}/part-{TaskContext.get().partitionId():05}")  # a task that runs again writes the same file
+            store.move(part, f"{root}/part-{TaskContext.get().partitionId():05}-{k:05}")  # a task that runs again writes the same file
         yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["file"])
 
     rows.repartitionByRange(*keys).sortWithinPartitions(*rows.columns).mapInArrow(run, "file string").count()

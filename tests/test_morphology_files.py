@@ -102,3 +102,21 @@ def test_damaged_files_are_refused(sources):
         M.par1_layout(opened(M.par1_file([("a", 0, 0, "b", 1)])[:-2]))
     with pytest.raises(M.FormatError):
         M.lema_file([("x" * 300, "x", "no", None, None, "et")])
+
+
+def test_files_of_a_task_are_bounded(sources, monkeypatch):
+    """A task ends a file at a number of rows, never within a key, and all files together hold every row."""
+    spark = sources
+    monkeypatch.setattr(M, "FILE_ROWS", 50)
+    pairs = [(f"w{i:04}", f"v{i % 7}", i + 1) for i in range(1000)]
+    path = shared_path(spark, "bounded")
+    M.write_pairs(spark.createDataFrame(pairs, M.PAIRS).coalesce(1), path)
+    assert sorted(tuple(r) for r in spark.read.format("morphology_files").option("section", "pairs").load(path).collect()) == pairs
+    store, _ = M._opened(path)
+    sizes = []
+    for file in M._files(path):
+        with store.open_input_file(file) as f:
+            sizes.append(M.lema_layout(f)[1]["pairs"])
+    assert max(sizes) <= 50 and sum(sizes) == 1000
+    runs = list(M._runs(iter([M.pa.RecordBatch.from_pylist([{"k": i // 30, "v": i} for i in range(100)])]), 1, 50))
+    assert [len(r) for r in runs] == [60, 40] and [r[0] for r in runs] == [(0, 0), (2, 60)]
