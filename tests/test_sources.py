@@ -65,3 +65,13 @@ def test_lexicon_follows_its_files(spark, tmp_path):
 
     assert words([(1, "uno dos dos", "es")]) == {("es", "uno"): 1, ("es", "dos"): 2}
     assert words([(1, "uno", "es"), (2, "one", "en")]) == {("es", "uno"): 1, ("en", "one"): 1}
+
+
+def test_pairs_are_counted_when_asked_for(spark, tmp_path):
+    from lexmill.sources.lexicon_tables import write_lexicon
+
+    lexicon = write_lexicon(spark.createDataFrame([(1, "uno dos", "es")], "doc_id long, text string, lang string"), str(tmp_path), ("es", "en"))
+    assert lexicon.unigrams.count() == 2 and lexicon.scale.count() == 1 and not (tmp_path / "bigrams").exists()
+    assert [tuple(r) for r in lexicon.bigrams.collect()] == [("uno", "dos", 1, "es")] and (tmp_path / "bigrams").exists()
+    (tmp_path / "bigrams").rename(tmp_path / "elsewhere")
+    assert lexicon.uncounted is None  # counted once
