@@ -211,3 +211,12 @@ def test_pair_counts_keep_sharp_s_apart(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.previous, r.word): r["count"] for r in catalog.QUERIES["pair_count_case_variants"](spark, str(tmp_path)).collect()}
     assert got["die", "ßie"] == 1
+
+
+def test_last_sentence(spark, tmp_path):
+    from lexmill import catalog
+
+    texts = ["One. Two", "One. Two.  ", "a.b!\nc", "x" * 300, "end." + " " * 300, "...", "", "a. b.\u2028", None, "a. b\r", "a.\x0b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.shown for r in catalog.QUERIES["document_window"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(11)] == [" Two", " Two.  ", " c", "x" * 200, " " * 200, ".", "", "\u2028", None, " b\r", "\x0b"]
