@@ -17,7 +17,7 @@ _STEP = 100_000  # numbers of actions for each word
 
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Within this block streams that start keep their state in RocksDB, which state of several kinds needs."""
+    """Within this block streams that start keep their state in RocksDB, so that it need not fit into memory."""
     before = spark.conf.get(ledger.PROVIDER, None)
     spark.conf.set(ledger.PROVIDER, ledger.ROCKSDB)
     try:
@@ -27,9 +27,12 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _words(s: SparkSession, d: str, roles: tuple[str, ...]) -> DataFrame:
-    """session, i (from 1), n and w, the words of each turn."""
+    """session, i (from 1), n and w, the words of each turn, and last, the word before.
+
+    A word's row has no more of its turn than that, so that rows grow with the words and not with their square."""
     talk = table(s, d, "conversations").filter(F.col("role").isin(*roles)).select(F.concat_ws("/", "conv_id", "turn").alias("session"), F.regexp_extract_all("text", F.lit("\\p{L}+"), 0).alias("ws"))
-    return talk.select("session", F.posexplode("ws").alias("p", "w"), F.size("ws").alias("n"), "ws").withColumn("i", F.col("p") + 1)
+    pairs = F.transform("ws", lambda w, k: F.struct(w.alias("w"), F.get("ws", k - 1).alias("last")))
+    return talk.select("session", F.size("ws").alias("n"), F.posexplode(pairs).alias("p", "x")).select("session", "n", "x.w", "x.last", (F.col("p") + 1).alias("i"))
 
 
 def _action(kind: str, seq: Column | int, **fields: Column) -> Column:
@@ -79,7 +82,7 @@ def session_ledger(s, d):
     several times or not at all, and at times the field shows something else."""
     words = _words(s, d, ("user", "assistant"))
     i, w = F.col("i"), F.col("w")
-    before = F.when(i > 1, F.get("ws", i - 2)).otherwise("")
+    before = F.coalesce("last", F.lit(""))
     at = lambda kind, k, **f: _action(kind, F.lit(k), **f)
     late = [F.when((i % 7 == 0) & (F.lit(k) <= i % 3 + 1), at("see", k, window=before)) for k in (1, 2, 3)]
     steps = F.array(at("edit", 0, before=before, after=w), *late, F.when((i % 5 != 0) & (i % 100 < 60), at("see", 5, window=w)), F.when(i % 13 == 0, at("see", 6, window=F.lit("elsewhere"))))
@@ -96,7 +99,7 @@ def _typed_actions(s: SparkSession, d: str) -> DataFrame:
     i, w = F.col("i"), F.col("w")
     corrected = lambda k, x: (k % 11 != 0) & (k % 5 == 0) & (F.length(x) >= 3)
     cut = lambda x: F.left(x, F.length(x) - 1)
-    last = F.get("ws", i - 2)
+    last = F.col("last")
     context = F.when(i == 1, "").when((i - 1) % 17 == 0, "elsewhere. ").otherwise(F.concat(F.when(corrected(i - 1, last) & ((i - 1) % 10 == 0), cut(last)).otherwise(last), F.lit(" ")))
     fixed = corrected(i, w)
     words = words.withColumn("typed", F.when(fixed, cut(w)).otherwise(w)).withColumn("context", context)

@@ -130,3 +130,31 @@ def test_rows_without_session_or_seq(spark):
 @pytest.mark.parametrize("window,word", [("", ""), ("a ", ""), ("one two", "two"), ("don't", "don't"), ("x.", "")])
 def test_word_at_end(window, word):
     assert ledger._word_at_end(window) == word
+
+
+def test_sessions_of_a_bucket(spark):
+    """Sessions that share a stateful group keep apart, over restarts; the state has a row for each bucket, not each session."""
+    names = [f"s{k}" for k in range(40)]
+    rows = [(name, *r[1:]) for name in names for r in actions(script())]
+    spark.conf.set(ledger.PROVIDER, ledger.ROCKSDB)
+    at, states = shared_path(spark, "ledger-test"), 0
+    try:
+        for part in (0, 1):
+            spark.createDataFrame([r for r in rows if (r[1] > 8) == part], ledger.ACTIONS).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            stream = ledger.learning_events(spark.readStream.schema(ledger.ACTIONS).parquet(f"{at}/in"), buckets=3)
+            query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+            query.awaitTermination()
+            states = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.unset(ledger.PROVIDER)
+    got = spark.read.parquet(f"{at}/out").collect()
+    assert all(found([r for r in got if r.session == name]) == EXPECTED for name in names) and len(got) == len(names) * len(EXPECTED)
+    assert states == 3
+
+
+def test_a_word_does_not_carry_its_turn(spark, data):
+    from lexmill.plans.typing import _words
+
+    words = _words(spark, data, ("user", "assistant"))
+    assert set(words.columns) == {"session", "n", "i", "w", "last"}
+    assert words.filter((words.i == 1) != words.last.isNull()).count() == 0
