@@ -111,3 +111,12 @@ def test_next_words_of_a_word_with_many(spark, tmp_path):
     _crowd(spark, tmp_path)
     rows = catalog.QUERIES["next_word_topk"](spark, str(tmp_path)).collect()
     assert ("hub", "zzzz", 1) in {(r.previous, r.word, r["rank"]) for r in rows}
+
+
+def test_edits_are_dealt_out(spark):
+    """Few words have many edits: they do not meet in one task, though their own bytes are few."""
+    from lexmill.operators import candidates as C
+
+    words = spark.createDataFrame([(f"word{a}{b}",) for a in "abcdefghij" for b in "abcdefghij"], "typed string").distinct()
+    sizes = C.edits(words).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len([n for n in sizes if n]) > 2 and max(sizes) < sum(sizes) / 2
