@@ -120,3 +120,17 @@ def test_edits_are_dealt_out(spark):
     words = spark.createDataFrame([(f"word{a}{b}",) for a in "abcdefghij" for b in "abcdefghij"], "typed string").distinct()
     sizes = C.edits(words).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len([n for n in sizes if n]) > 2 and max(sizes) < sum(sizes) / 2
+
+
+def test_pairs_after_some_words(spark):
+    """Only the pairs that are asked for are counted, with the counts that the whole table has."""
+    from lexmill.sources.lexicon_tables import write_lexicon
+    from lexmill.storage import shared_path
+
+    docs = spark.createDataFrame([(1, "a b a b c a c", "es"), (2, "b a b", "en"), (3, "a b", "de"), (4, None, "es")], "doc_id long, text string, lang string")
+    lexicon = write_lexicon(docs, shared_path(spark, "lexicon-test"), ("es", "en"))
+    first = spark.createDataFrame([("a",), ("x",)], "w1 string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("lane", "w1", "w2", "frequency").collect())
+    got = rows(lexicon.bigrams_after(first))
+    assert lexicon.uncounted is not None and got == [("en", "a", "b", 1), ("es", "a", "b", 2), ("es", "a", "c", 1)]
+    assert rows(lexicon.bigrams.filter("w1 = 'a'")) == got == rows(lexicon.bigrams_after(first))
