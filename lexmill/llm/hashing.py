@@ -9,9 +9,6 @@ import xxhash
 
 from lexmill.llm.memory import claim, trim
 
-#: Hashes kept per worker; beyond it words are hashed anew each time.
-CACHE_WORDS = 200_000
-_CACHE: dict[bytes, bytes] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -23,22 +20,10 @@ def split_words(text: str | None, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def _hash(word: bytes) -> bytes:
-    h = xxhash.xxh64_digest(word)
-    if len(_CACHE) < CACHE_WORDS and len(word) <= 48:
-        _CACHE[word] = h
-    return h
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word."""
-    claim("word hashes", _CACHE.clear)
-    out = list(map(_CACHE.get, words))
-    at = -1
-    for _ in range(out.count(None)):
-        at = out.index(None, at + 1)
-        out[at] = _CACHE.get(words[at]) or _hash(words[at])
-    return np.frombuffer(b"".join(out), dtype=np.uint64)
+    """64-bit hash of each word; to hash one anew takes less than to look it up among some 100,000."""
+    claim("word hashes", lambda: None)  # other memories of words go
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,22 +40,65 @@ from lexmill.shipping import ship
 
 GRAM = 8
 CHUNK_DOCS, CHUNK_BYTES = 8000, 12 << 20
+#: Words that are worked on at a time.
+BLOCK_WORDS = 1 << 16
 NULL_ID = -(1 << 63)
 _CHUNKS = "chunk bigint, ids array<bigint>, n_words array<int>, sig1 array<bigint>, sig2 array<bigint>, payload binary, minimizers array<binary>"
 
 
-def stretches(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer hash, first window and last window of each run of windows with one minimizer."""
-    if len(h) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram = min(GRAM, width)
-    least, span, size = window_hashes(h, gram), width - gram + 1, 1
-    while size < span:  # minimum over ``span`` grams by doubling
+def blocks(texts: list[str | None], skip: set[int] = frozenset()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of some texts, how many words each has, and all their words' hashes; as many texts at a time as have about
+    ``BLOCK_WORDS`` words."""
+    held: list[bytes] = []
+    which, n = [], []
+    for d, text in enumerate(texts):
+        if d in skip:
+            continue
+        words = split_words(text, lower=False)
+        which.append(d)
+        n.append(len(words))
+        held += words
+        if len(held) >= BLOCK_WORDS:
+            yield np.array(which), np.array(n), word_hashes(held)
+            held, which, n = [], [], []
+    if which:
+        yield np.array(which), np.array(n), word_hashes(held)
+
+
+def stretches(grams: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, minimizer hash, first window and last window of each run of a document's windows with one minimizer.
+
+    ``grams`` are the hashes of all runs of ``GRAM`` words in documents of ``n`` words that stand end to end."""
+    least, span, size = grams, width - min(GRAM, width) + 1, 1
+    while size < span and len(least):  # minimum over ``span`` grams by doubling
         step = min(size, span - size)
         least = np.minimum(least[:-step], least[step:])
         size += step
-    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[new], new, np.concatenate([new[1:], [len(least)]]) - 1
+    of = np.repeat(np.arange(len(n)), n)[: len(least)]
+    windows = np.flatnonzero(np.arange(len(least)) + width <= np.cumsum(n)[of])  # those within one document
+    least, of = least[windows], of[windows]
+    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])])[: len(windows)])
+    return of[new], least[new], windows[new], windows[np.append(new[1:], len(windows))[: len(new)] - 1]
+
+
+def _signatures(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each document's words and their places; 0 for documents without words."""
+    begin, some = np.cumsum(n) - n, np.flatnonzero(n)
+    order = (2 * (np.arange(len(h)) - np.repeat(begin, n)) + 1).astype(np.uint64)
+    out = np.zeros((2, len(n)), np.uint64)
+    for k, words in enumerate((h, h ^ np.uint64(0x9E3779B97F4A7C15))):
+        if len(some):
+            out[k, some] = np.add.reduceat(mix(words * order), begin[some])
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _repeating(grams: np.ndarray, n: np.ndarray, of: np.ndarray, key: np.ndarray, gram: int) -> np.ndarray:
+    """Those of the minimizers ``key`` of documents ``of`` that stand twice in their document."""
+    salt = mix(np.arange(1, len(n) + 1, dtype=np.uint64))
+    doc = np.repeat(np.arange(len(n)), n)[: len(grams)]
+    own = np.sort((grams ^ salt[doc])[np.arange(len(grams)) + gram <= np.cumsum(n)[doc]])
+    again = own[1:][own[1:] == own[:-1]]
+    return key[np.isin(key ^ salt[of], again)] if len(again) else key[:0]
 
 
 def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
@@ -85,21 +128,18 @@ def _chunk(width: int, n_buckets: int):
         def flush() -> pa.RecordBatch:
             nonlocal seq, size
             n, s1, s2, keys = [], [], [], []
-            for text in texts:
-                h = word_hashes(split_words(text, lower=False))
-                n.append(len(h))
-                order = np.arange(1, 2 * len(h), 2, dtype=np.uint64)
-                sig = np.array([mix(h * order).sum(dtype=np.uint64), mix((h ^ np.uint64(0x9E3779B97F4A7C15)) * order).sum(dtype=np.uint64)]).view(np.int64)
-                s1.append(int(sig[0]))
-                s2.append(int(sig[1]))
-                key = stretches(h, width)[0]
-                if len(key):
-                    gram, times = np.unique(window_hashes(h, min(GRAM, width)), return_counts=True)
-                    again = gram[times > 1]  # such a minimizer may repeat within one stretch
-                    keys += [key, key[np.isin(key, again)]] if len(again) else [key]
+            gram = min(GRAM, width)
+            for _, size_of, h in blocks(texts):
+                n.append(size_of)
+                for out, sig in zip((s1, s2), _signatures(h, size_of)):
+                    out.append(sig)
+                grams = window_hashes(h, gram)
+                of, key, _, _ = stretches(grams, size_of, width)
+                keys += [key, _repeating(grams, size_of, of, key, gram)]  # such a minimizer may repeat within one stretch
+            n, s1, s2 = map(np.concatenate, (n, s1, s2))
             key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
             bucket = _buckets(key, n_buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             blobs = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -176,20 +216,18 @@ def _cut_stretches(width: int, n_buckets: int):
                 skip = set(skip or [])
                 doc_of, first, last, names, bucket, content = [], [], [], [], [], []
                 known: dict[bytes, int] = {}
-                for d, text in enumerate(unpack(payload)[0] if len(shared) else []):
-                    if d in skip:
-                        continue
-                    h = word_hashes(split_words(text, lower=False))
-                    key, a, b = stretches(h, width)
+                for which, n, h in blocks(unpack(payload)[0] if len(shared) else [], skip):
+                    of, key, a, b = stretches(window_hashes(h, min(GRAM, width)), n, width)
                     short = key & np.uint64(0xFFFFFFFFFF000000)
                     keep = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short)
                     if not len(keep):
                         continue
-                    key, a, b = key[keep], a[keep], b[keep]
+                    of, key, a, b = of[keep], key[keep], a[keep], b[keep]
                     own = [h[x : y + width] for x, y in zip(a.tolist(), b.tolist())]
-                    doc_of.append(np.full(len(a), d))
-                    first.append(a)
-                    last.append(b)
+                    begin = (np.cumsum(n) - n)[of]
+                    doc_of.append(which[of])
+                    first.append(a - begin)
+                    last.append(b - begin)
                     names.append(_names(own, known))
                     bucket.append(_buckets(key, n_buckets))
                     content += own
@@ -234,8 +272,8 @@ def _search_shard(width: int):
         ends = np.cumsum(lengths)
         short = words.astype(np.int32)
         name = _names([short[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())], {})
-        order = np.lexsort((start, id_of, name, lengths))
-        new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])])
+        order = np.lexsort((start, id_of, name))
+        new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         lead = order[new]

@@ -420,6 +420,45 @@ def test_fm_index_matching_statistics():
         assert all(i in found for i in range(40 - depth + 1))
 
 
+def test_suffix_order_sorts_again_only_what_ties(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 3, 60), np.zeros(9, np.int64), np.array([5]), np.tile([1, 2, 3], 20), rng.integers(0, 70_000, 50), np.arange(40)[::-1].copy()]
+    for text in texts:
+        for depth in (1, 2, 3, 5, 7, 20, 100):
+            order, new = fm_index.suffix_order(text, depth)
+            want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+            assert order.tolist() == want
+            heads = [text[i : i + depth].tolist() for i in want]
+            assert new.tolist() == [k == 0 or heads[k] != heads[k - 1] for k in range(len(heads))]
+    taken, sort = [], np.argsort
+    monkeypatch.setattr(fm_index.np, "argsort", lambda x, **k: taken.append(len(x)) or sort(x, **k))
+    fm_index.suffix_order(rng.permutation(2000), 20)
+    assert sum(taken) <= 2 * 2000
+
+
+def test_stretches_of_documents_end_to_end():
+    from lexmill.llm.hashing import window_hashes
+
+    rng, gram = np.random.default_rng(2), substring_dedup.GRAM
+    docs = [rng.integers(0, 4, n).astype(np.uint64) for n in (0, 30, 5, 19, 20, 21, 200, 0, 7)] + [np.tile(np.arange(3, dtype=np.uint64), 30)]
+    n, h = np.array([len(d) for d in docs]), np.concatenate(docs)
+    of, key, first, last = substring_dedup.stretches(window_hashes(h, gram), n, 20)
+    got = list(zip(of.tolist(), key.tolist(), (first - (np.cumsum(n) - n)[of]).tolist(), (last - (np.cumsum(n) - n)[of]).tolist()))
+    want = []
+    for d, doc in enumerate(docs):
+        grams = window_hashes(doc, gram)
+        for i in range(len(doc) - 19):
+            least = int(grams[i : i + 13].min())
+            if want and want[-1][:2] == (d, least):
+                want[-1] = (*want[-1][:3], i)
+            else:
+                want.append((d, least, i, i))
+    assert got == want
+    twice = substring_dedup._repeating(window_hashes(h, gram), n, of, key, gram)
+    assert sorted(twice.tolist()) == sorted(k for d, k, _, _ in want if window_hashes(docs[d], gram).tolist().count(k) > 1)
+    assert all(len(x) == 0 for x in substring_dedup.stretches(window_hashes(h[:3], gram), np.array([3]), 20))
+
+
 # ---- decontamination
 def edits_to_part(a, b):
     row = [0] * (len(b) + 1)
