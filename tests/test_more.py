@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill import catalog
@@ -53,6 +54,17 @@ def test_stored_lexicon_is_read_not_counted_again(spark, data):
         assert "documents.parquet" not in plan and "lexicon-" in plan, name
 
 
+WORDS_ALONE = ("fold_pricing",)
+
+
+@pytest.mark.parametrize("name", WORDS_ALONE)
+def test_words_alone_leave_pairs_uncounted(spark, data, name, monkeypatch):
+    """Counting pairs was most of what these queries shuffled, wrote and held."""
+    monkeypatch.setattr(lexicon_tables, "_BUILT", {})
+    assert catalog.QUERIES[name](spark, data).count() > 0
+    assert [built.uncounted is None for _, built in lexicon_tables._BUILT.values()] == [False]
+
+
 def test_lexicon_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, "uno dos uno", "es"), (2, "one two one", "en"), (3, None, "en"), (4, "eins", "de"), (5, "", None)], "doc_id long, text string, lang string")
     lexicon = lexicon_tables.write_lexicon(docs, f"{tmp_path}/lexicon", ("es", "en"))
