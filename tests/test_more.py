@@ -54,7 +54,7 @@ def test_stored_lexicon_is_read_not_counted_again(spark, data):
         assert "documents.parquet" not in plan and "lexicon-" in plan, name
 
 
-WORDS_ALONE = ("fold_pricing", "lane_posterior", "known_forms", "possessives_derived")
+WORDS_ALONE = ("fold_pricing", "lane_posterior", "known_forms", "possessives_derived", "lexicon_calibration")
 
 
 @pytest.mark.parametrize("name", WORDS_ALONE)
