@@ -12,7 +12,7 @@ from lexmill.operators import lexicon as L
 from lexmill.operators import model as M
 from lexmill.operators import morphology as P
 from lexmill.plans.correction import _EDITS, _SUBST, FORMS, KNOWN, LOG, TYPED, _forms, _gone, _known, _log, _typed, _words
-from lexmill.plans.language import BI, CAL, REQ, TOK, _bi, _evidence, _request_pairs, _requests, _scored, _uni, blend_sql, scored_sql
+from lexmill.plans.language import BI, CAL, REQ, TOK, _bi, _evidence, _request_pairs, _requests, _scored, _stored, _uni, blend_sql, scored_sql
 from lexmill.plans.registry import ORACLE_SQL, query, table
 from lexmill.sources import event_logs as E
 from lexmill.sources import morphology_files as B
@@ -58,13 +58,18 @@ def possessive_restoration(s, d):
     return rows.join(known, "base", "left_semi").select("typed", F.concat("base", F.lit("'s")).alias("word"))
 
 
-@query(f"WITH {TOK}, {BI}, {REQ}, c AS (SELECT w1, w2, row_number() OVER (PARTITION BY w1, lane ORDER BY frequency DESC, w2) AS r FROM bi), t AS (SELECT DISTINCT previous, substr(word, 1, 1) || substr(word, 3) AS typed FROM reqpair WHERE length(word) >= 4) SELECT DISTINCT previous, typed, w2 AS word FROM t JOIN c ON w1 = previous WHERE r <= 500 AND w2 <> typed AND abs(length(w2) - length(typed)) <= 1 AND substr(w2, 1, 1) = substr(typed, 1, 1)")
+@query(f"WITH {TOK}, {BI}, {REQ}, t AS (SELECT DISTINCT previous, substr(word, 1, 1) || substr(word, 3) AS typed FROM reqpair WHERE length(word) >= 4) SELECT DISTINCT previous, typed, w2 AS word FROM t JOIN bi ON w1 = previous WHERE w2 <> typed AND abs(length(w2) - length(typed)) <= 1 AND substr(w2, 1, 1) = substr(typed, 1, 1)")
 def context_continuation(s, d):
-    """Words that follow the previous word and look like what was typed: about as long, with the same first letter."""
+    """Words that follow the previous word and look like what was typed: about as long, with the same first letter.
+
+    All of them, however rare.  Pairs are told by the first letter and the length of their second word before they are shuffled."""
     typed = _request_pairs(s, d).filter(F.length("word") >= 4).select("previous", F.concat(F.left("word", F.lit(1)), F.substr("word", F.lit(3), F.length("word"))).alias("typed")).distinct()
-    pool = L.continuations(typed.select(F.col("previous").alias("w1")).distinct(), _bi(s, d), 500, scan_limit=False).select(F.col("w1").alias("previous"), "word").distinct()
-    near = (F.col("word") != F.col("typed")) & (F.abs(F.length("word") - F.length("typed")) <= 1) & (F.left("word", F.lit(1)) == F.left("typed", F.lit(1)))
-    return typed.join(pool, "previous").filter(near).select("previous", "typed", "word").distinct()
+    near = typed.select("previous", "typed", F.left("typed", F.lit(1)).alias("initial"), F.explode(F.array(*[F.length("typed") + k for k in (-1, 0, 1)])).alias("letters"))
+    pool = _stored(s, d).bigrams_after(near.select(F.col("previous").alias("w1")).distinct()).select(F.col("w1").alias("previous"), F.col("w2").alias("word")).distinct()
+    pool = pool.withColumns({"initial": F.left("word", F.lit(1)), "letters": F.length("word")})
+    by = ["previous", "initial", "letters"]
+    pool = pool.join(near.select(*by).distinct(), by, "left_semi")
+    return near.join(pool, by).filter(F.col("word") != F.col("typed")).select("previous", "typed", "word")
 
 
 @query(f"WITH {TOK}, piece AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents), dot AS (SELECT DISTINCT unnest(regexp_extract_all(w, '\\p{{L}}+\\.\\p{{L}}+')) AS token FROM piece WHERE contains(w, '.')), h AS (SELECT token, split_part(token, '.', 1) AS first_half, split_part(token, '.', 2) AS second_half FROM dot), lanes AS (SELECT word, bit_or(CASE lane WHEN 'es' THEN 1 ELSE 2 END) AS bits FROM uni GROUP BY word) SELECT token, first_half, second_half FROM h JOIN lanes a ON a.word = first_half JOIN lanes b ON b.word = second_half WHERE a.bits & b.bits <> 0 AND first_half <> 'www' AND second_half NOT IN ({', '.join(repr(x) for x in T.DOMAINS)})")

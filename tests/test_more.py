@@ -105,6 +105,18 @@ def test_continuations_of_a_word_with_many(spark, tmp_path):
     assert ("hub", "zzaz", "zzzz") in {(r.previous, r.typed, r.word) for r in rows}
 
 
+def test_rare_continuations_count(spark, tmp_path):
+    """A word that follows once counts though 520 others follow more often; letter and lengths decide alone."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = [f"hub {letters[i // 26]}{letters[i % 26]}q" for i in range(520)] * 2
+    once = [f"hub {w}" for w in ("zz", "zzy", "zzyy", "zzyyx", "zzyyxx", "azyy", "zzaz")]
+    rows = [(1, " ".join(often + once), "es"), (2, "hub zéyy hub zzyy", "en"), (3, "hub zzby", "de"), (4, "other zzcy", "es"), (5, None, "en")]
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "hub zzzaz"), (2, "hub zézaz"), (3, "hub zzz"), (4, "none zzzaz"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["context_continuation"](spark, str(tmp_path)).select("previous", "typed", "word").collect())
+    assert got == [("hub", "zzaz", w) for w in ("zzy", "zzyy", "zzyyx", "zéyy")]
+
+
 def test_fallback_of_a_word_with_many(spark, tmp_path):
     _crowd(spark, tmp_path)
     rows = catalog.QUERIES["next_word_fallback"](spark, str(tmp_path)).collect()
